@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import quality, sharding
+from quillgraph.llm import quality, sharding, tokens
 from quillgraph.session import table
 
 
@@ -12,9 +12,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op10_sharding": op10_sharding}
+QUERIES = {"op1_quality": op1_quality, "op2_tokens": op2_tokens, "op10_sharding": op10_sharding}
 ORACLE_SQL = {"op1_quality": quality.SQL}
