@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontam, langid, quality, sharding, tokens
+from quillgraph.llm import decontam, langid, minhash, mixing, quality, sharding, tokens
 from quillgraph.session import table
 
 
@@ -18,6 +18,10 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,9 +30,13 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_tokens": op2_tokens, "op5_decontaminate": op5_decontaminate, "op7_langid": op7_langid, "op10_sharding": op10_sharding}
+QUERIES = {"op1_quality": op1_quality, "op2_tokens": op2_tokens, "op3_minhash": op3_minhash, "op5_decontaminate": op5_decontaminate, "op7_langid": op7_langid, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
 ORACLE_SQL = {"op1_quality": quality.SQL, "op5_decontaminate": decontam.SQL}
