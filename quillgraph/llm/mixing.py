@@ -1,8 +1,9 @@
 """Soft-membership mixing: document rates whose expected domain token totals match target weights. DataFrame work only.
 
 The labelled table gives three domains: ``good`` (quality 1, not toxic), ``poor`` (quality 0, not toxic) and ``toxic``.
-A classifier of ``FEATURES`` telling tokens, chosen by information over a documented, hash-drawn set of about ``FIT_ROWS``
-labelled rows, is compiled into the projection as a lookup table of fixed size and gives every document its posteriors.
+A classifier with a head for quality and one for toxicity sums the log odds of presence and absence of telling tokens, chosen by
+information over a hash-drawn set of about ``FIT_ROWS`` labelled rows. It is compiled into the projection as a lookup
+table of fixed size and gives every document its posteriors.
 
 Rates minimise the relative squared distance between expected domain totals (sum of rate x tokens x posterior) and the
 targets, over nonnegative rates, by projected gradient from rate 1. A step moves a document's rate by the posterior-
@@ -20,16 +21,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quillgraph.llm.columns import SPACE, let, text_of
 from quillgraph.session import cut
 
+HEADS = ("quality", "toxic")
 DOMAINS = ("good", "poor", "toxic")
 #: Target shares of tokens.
-TARGETS = {"good": 0.9, "poor": 0.1, "toxic": 0.0}
-FIT_ROWS, FEATURES, MIN_DOCS, SLOTS = 20_000, 400, 8, 1 << 16
+TARGETS = {"good": 0.97, "poor": 0.03, "toxic": 0.0}
+FIT_ROWS, FEATURES, MIN_DOCS, SLOTS = 20_000, 128, 8, 1 << 13
+MIN_SHARE = 0.02  # of the rows of the side that a token speaks for
+MIN_ODDS = 2.5  # log odds under which a token tells too little; sums of many weak, dependent tokens mislead
 ITERATIONS, CLOSE = 30, 1e-4
 
 
@@ -38,67 +42,77 @@ def features(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+|[#*$%&|<>!]+"), F.lit(0)))
 
 
-def domain(quality: Column, toxic: Column) -> Column:
-    return F.when(toxic == 1, F.lit("toxic")).when(quality == 1, F.lit("good")).when(quality == 0, F.lit("poor"))
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[float], list[tuple[int, list[float]]]]:
-    """(log priors, (token hash, log odds by domain) of the telling tokens); at most FEATURES rows reach the driver."""
-    named = labels.select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("d")).where("d IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    """(log odds by head of a text without any telling token, (token hash, log odds by head) of the telling tokens); at most FEATURES rows are collected."""
+    named = labels.select("doc_id", *[(F.col(h) == 1).alias(h) for h in HEADS]).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     share = min(1.0, FIT_ROWS / max(1, named.count()))
     drawn = named.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = cut(docs.select("doc_id", text_of("text").alias("text")).join(drawn, "doc_id").select("d", features(F.col("text")).alias("f")))
-    totals = {r.d: r.n for r in rows.groupBy("d").agg(F.count("*").alias("n")).collect()}  # three rows
-    n = [totals.get(d, 0) for d in DOMAINS]
-    all_n = max(1, sum(n))
-    counts = rows.select("d", F.explode("f").alias("t")).groupBy("t").agg(*[F.count(F.when(F.col("d") == d, 1)).alias(d) for d in DOMAINS])
-    here = sum((F.col(d) for d in DOMAINS[1:]), F.col(DOMAINS[0]))
-
-    def gain(k: Column, total: Column | int, of: int) -> Column:
-        """Information of a token about one domain, in presence and absence."""
-        exp = total * of / all_n
-        return F.when(k > 0, k * F.ln(k / F.greatest(exp, F.lit(1e-9)))).otherwise(0.0)
-
-    score = sum((gain(F.col(d), F.col("df"), m) + gain(F.lit(m) - F.col(d), F.lit(all_n) - F.col("df"), m) for d, m in zip(DOMAINS, n, strict=True)), F.lit(0.0))
-    best = counts.withColumn("df", here).where(F.col("df") >= MIN_DOCS).withColumn("g", score).where("g > 8").orderBy(F.desc("g"), "t").limit(FEATURES)
-    logs = []
-    for r in best.select(F.xxhash64("t").alias("h"), *DOMAINS).collect():
-        p = [math.log((r[d] + 0.5) / (m + 1.0)) for d, m in zip(DOMAINS, n, strict=True)]
-        logs.append((r.h, [x - p[0] for x in p]))
-    prior = [math.log((m + 1) / (n[0] + 1)) for m in n]
-    return prior, logs
-
-
-def _table(logs: list[tuple[int, list[float]]]) -> tuple[list[int], list[list[float]]]:
-    """Slots by the hash's low bits; of tokens with one slot the first, more telling one stays."""
-    held, odds = [0] * SLOTS, [[0.0] * SLOTS for _ in DOMAINS]
+    rows = cut(docs.select("doc_id", text_of("text").alias("text")).join(drawn, "doc_id").select(*HEADS, features(F.col("text")).alias("f")))
+    sides = [(h, v, F.count(F.when(F.col(h) == v, 1)).alias(f"{h}_{v}")) for h in HEADS for v in (True, False)]
+    n = rows.agg(*[c for _, _, c in sides]).first().asDict()  # one row
+    counts = rows.select(*HEADS, F.explode("f").alias("t")).groupBy("t").agg(F.count("*").alias("df"), *[c for _, _, c in sides])
+
+    def gain(h: str) -> Column:
+        """Information of a token's presence and absence about a head."""
+        yes, no = n[f"{h}_True"], n[f"{h}_False"]
+        if not yes or not no:
+            return F.lit(0.0)
+        part = lambda k, total, of: F.when(k > 0, k * F.ln(k * (yes + no) / (F.greatest(total, F.lit(1)) * of))).otherwise(0.0)
+        a, b = F.col(f"{h}_True"), F.col(f"{h}_False")
+        weight = F.abs(F.ln((a + 0.5) / (yes + 1) * (no + 1) / (b + 0.5)))
+        rare = F.greatest(a / yes, b / no) < MIN_SHARE
+        return F.when((weight < MIN_ODDS) | rare, 0.0).otherwise(part(a, a + b, yes) + part(b, a + b, no) + part(yes - a, (yes + no) - a - b, yes) + part(no - b, (yes + no) - a - b, no))
+
+    best = counts.where(F.col("df") >= MIN_DOCS).withColumn("g", F.greatest(*map(gain, HEADS))).where("g > 8").orderBy(F.desc("g"), "t").limit(FEATURES)
+
+    def odds(r: Row, h: str) -> tuple[float, float]:
+        """Log odds of presence less those of absence, and those of absence."""
+        a, b, yes, no = r[f"{h}_True"], r[f"{h}_False"], n[f"{h}_True"], n[f"{h}_False"]
+        w = math.log((a + 0.5) / (yes + 1) * (no + 1) / (b + 0.5))
+        if abs(w) < MIN_ODDS or max(a / max(yes, 1), b / max(no, 1)) < MIN_SHARE:
+            return 0.0, 0.0
+        absent = math.log((yes - a + 0.5) / (yes + 1) * (no + 1) / (no - b + 0.5))
+        return w - absent, absent
+
+    rows_ = best.select(F.xxhash64("t").alias("h"), *[f"{h}_{v}" for h, v, _ in sides]).collect()
+    prior = [math.log((n[f"{h}_True"] + 1) / (n[f"{h}_False"] + 1)) + sum(odds(r, h)[1] for r in rows_) for h in HEADS]
+    return prior, [(r.h, [odds(r, h)[0] for h in HEADS]) for r in rows_]
+
+
+def _table(logs: list[tuple[int, list[float]]]) -> tuple[int, list[int], list[list[float]]]:
+    """(shift, hashes, odds by head) in SLOTS slots by some bits of the hash, shifted so that the fewest share one.
+
+    Of tokens with one slot the more telling one, which comes first, stays.
+    """
+    at = lambda h, s: h >> s & (SLOTS - 1)
+    shift = max(range(40), key=lambda s: len({at(h, s) for h, _ in logs}))
+    held, odds = [0] * SLOTS, [[0.0] * SLOTS for _ in HEADS]
     for h, w in logs:
-        s = h & (SLOTS - 1)
-        if not held[s]:
-            held[s] = h
-            for k in range(len(DOMAINS)):
-                odds[k][s] = w[k]
-    return held, odds
+        if not held[at(h, shift)]:
+            held[at(h, shift)] = h
+            for k in range(len(HEADS)):
+                odds[k][at(h, shift)] = w[k]
+    return shift, held, odds
+
+
+def _array(values: list, kind: str) -> Column:
+    """A constant array; written as text, which Spark folds once, as a column a value would cost a call each."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
 def posteriors(text: Column, model: tuple[list[float], list[tuple[int, list[float]]]]) -> Column:
     """Array of the domains' posteriors."""
     prior, logs = model
-    held, odds = _table(logs)
-    keys = F.lit(held)
-    slot = lambda h: h.bitwiseAND(SLOTS - 1).cast("int")
-    known = F.filter(F.transform(features(text), lambda t: F.xxhash64(t)), lambda h: F.get(keys, slot(h)) == h)
-
-    def of(hs: Column) -> Column:
-        sums = [_sum(hs, prior[k], odds[k], slot) for k in range(len(DOMAINS))]
-        return let(F.array(*sums), lambda s: let(F.transform(s, lambda x: F.exp(x - F.array_max(s))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))))
-
-    return let(known, of)
+    shift, held, odds = _table(logs)
+    slot = lambda h: F.shiftright(h, shift).bitwiseAND(SLOTS - 1).cast("int")
+    known = F.filter(F.transform(features(text), lambda t: F.xxhash64(t)), lambda h: F.get(_array(held, "long"), slot(h)) == h)
 
+    def summed(hs: Column, k: int) -> Column:
+        return F.aggregate(hs, F.lit(float(prior[k])), lambda a, h: a + F.get(_array(odds[k], "double"), slot(h)))
 
-def _sum(hs: Column, start: float, odds: list[float], slot) -> Column:
-    table = F.lit(odds)
-    return F.aggregate(hs, F.lit(float(start)), lambda a, h: a + F.get(table, slot(h)))
+    chance = lambda x: 1 / (1 + F.exp(-x))
+    split = lambda q: F.array((1 - q[1]) * q[0], (1 - q[1]) * (1 - q[0]), q[1])
+    return let(known, lambda hs: let(F.array(*[chance(summed(hs, k)) for k in range(len(HEADS))]), split))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
