@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontam, langid, lm, minhash, mixing, quality, sharding, tokens
+from quillgraph.llm import decontam, html, langid, lm, minhash, mixing, quality, sharding, tokens
 from quillgraph.session import table
 
 
@@ -26,6 +26,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_tokens": op2_tokens, "op3_minhash": op3_minhash, "op5_decontaminate": op5_decontaminate, "op7_langid": op7_langid, "op8_lm": op8_lm, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_quality": op1_quality, "op2_tokens": op2_tokens, "op3_minhash": op3_minhash, "op5_decontaminate": op5_decontaminate, "op6_html": op6_html, "op7_langid": op7_langid, "op8_lm": op8_lm, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
 ORACLE_SQL = {"op1_quality": quality.SQL, "op5_decontaminate": decontam.SQL}
