@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontam, html, langid, lm, minhash, mixing, quality, sharding, tokens
+from quillgraph.llm import decontam, html, langid, lm, minhash, mixing, quality, sharding, suffix, tokens
 from quillgraph.session import table
 
 
@@ -22,6 +22,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,5 +50,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_tokens": op2_tokens, "op3_minhash": op3_minhash, "op5_decontaminate": op5_decontaminate, "op6_html": op6_html, "op7_langid": op7_langid, "op8_lm": op8_lm, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_quality": op1_quality, "op2_tokens": op2_tokens, "op3_minhash": op3_minhash, "op4_repeats": op4_repeats, "op5_decontaminate": op5_decontaminate, "op6_html": op6_html, "op7_langid": op7_langid, "op8_lm": op8_lm, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
 ORACLE_SQL = {"op1_quality": quality.SQL, "op5_decontaminate": decontam.SQL}
