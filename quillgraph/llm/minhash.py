@@ -53,7 +53,7 @@ class Items:
         if len(self.seen) > 500_000:
             self.seen = {}
         seen = self.seen
-        for w in set(words) - seen.keys():
+        for w in [w for w in set(words) if w not in seen]:
             seen[w] = _word_hash(w)
         h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
         n = max(len(h) - K + 1, 1)

@@ -116,7 +116,7 @@ class Merger:
 
     def count(self, texts: list[str]) -> list[int]:
         cuts = [self.cut.findall(" " + t.replace(_MARK, " ")) if t else [] for t in texts]
-        new = list({x for c in cuts for x in c} - self.seen.keys())
+        new = [x for x in {x for c in cuts for x in c} if x not in self.seen]
         if len(self.seen) + len(new) > CACHE:
             new, self.seen = list({x for c in cuts for x in c}), {}
         if new:
