@@ -45,3 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of steps that nothing refers to any more.
+
+    A long job on one driver otherwise keeps them until the JVM happens to collect its garbage.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
