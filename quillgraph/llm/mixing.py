@@ -10,10 +10,11 @@ targets, over nonnegative rates, by projected gradient from rate 1. A step moves
 weighted gradient, so an iteration is one aggregation of a few sums over the compact table (id, tokens, posteriors); the
 rate itself is an expression of the past gradients and is never stored between iterations. No exchange carries more than
 one row of sums a task. The total is set so that the ``good`` domain keeps its tokens. Rates are rounded to 0.01;
-``copies`` is the floor, and one more for the remainder's share of documents by a hash of the row.
+``copies`` is the floor, and one more for the remainder's share of documents by a hash of the row; rates within ``NEAR`` of
+a whole number are rounded.
 
-Defined cases: a null or empty text has 0 tokens and the prior's posteriors; repeated rows get the same rate and copies; no
-labels give equal posteriors; an empty table gives an empty one; a label row with a null is not learned from; extra columns
+Defined cases: a null or empty text has 0 tokens and the prior's posteriors; repeated rows get the same rate and copies; a
+side of a head without labels has no members, and without any labels every text is good; an empty table gives an empty one; a label row with a null is not learned from; extra columns
 don't matter.
 """
 
@@ -34,6 +35,9 @@ TARGETS = {"good": 0.97, "poor": 0.03, "toxic": 0.0}
 FIT_ROWS, FEATURES, MIN_DOCS, SLOTS = 20_000, 128, 8, 1 << 13
 MIN_SHARE = 0.02  # of the rows of the side that a token speaks for
 MIN_ODDS = 2.5  # log odds under which a token tells too little; sums of many weak, dependent tokens mislead
+SURE = 50.0
+#: A rate this close to a whole number isn't dithered, so that the fit's last percents drop no document.
+NEAR = 0.05
 ITERATIONS, CLOSE = 30, 1e-4
 
 
@@ -75,8 +79,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[float], list[tuple[int
         return w - absent, absent
 
     rows_ = best.select(F.xxhash64("t").alias("h"), *[f"{h}_{v}" for h, v, _ in sides]).collect()
-    prior = [math.log((n[f"{h}_True"] + 1) / (n[f"{h}_False"] + 1)) + sum(odds(r, h)[1] for r in rows_) for h in HEADS]
-    return prior, [(r.h, [odds(r, h)[0] for h in HEADS]) for r in rows_]
+    def prior(h: str, unlabelled: float) -> float:
+        """A side without labelled rows has no members; without any labels every text is good."""
+        yes, no = n[f"{h}_True"], n[f"{h}_False"]
+        if not yes or not no:
+            return SURE if yes else -SURE if no else unlabelled
+        return math.log((yes + 1) / (no + 1)) + sum(odds(r, h)[1] for r in rows_)
+
+    return [prior("quality", SURE), prior("toxic", -SURE)], [(r.h, [odds(r, h)[0] for h in HEADS]) for r in rows_]
 
 
 def _table(logs: list[tuple[int, list[float]]]) -> tuple[int, list[int], list[list[float]]]:
@@ -150,5 +160,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
             break
         rate, now = tried, then
     out = table.withColumn("rate", F.round(rate, 2))
-    copies = F.floor(F.col("rate") + F.col("u") / F.lit(float(1 << 30))).cast("long")
+    whole = F.round("rate").cast("long")
+    drawn = F.floor(F.col("rate") + F.col("u") / F.lit(float(1 << 30))).cast("long")
+    copies = F.when(F.abs(F.col("rate") - F.round("rate")) <= NEAR, whole).otherwise(drawn)
     return out.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", copies.alias("copies"))
