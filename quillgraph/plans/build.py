@@ -195,9 +195,9 @@ def detect_edge_conflicts(spark, d):
     return B.conflicts(g.agg(F.min("l_returnflag").alias("predicate")), g.agg(F.max("l_returnflag").alias("predicate")), ["predicate"])
 
 
-@register("merge_nodes_resolved", "SELECT l_orderkey, round(list_reduce(list(l_discount::DOUBLE ORDER BY l_linenumber, l_discount), lambda a, x: (a + x) / 2), 8) AS confidence, count(*) AS n FROM lineitem GROUP BY 1")
+@register("merge_nodes_resolved", "SELECT l_orderkey, round(list_reduce(list(l_discount::DOUBLE ORDER BY l_linenumber, l_discount), lambda a, x: (a + x) / 2), 12) AS confidence, count(*) AS n FROM lineitem GROUP BY 1")
 def merge_nodes_resolved(spark, d):
-    return B.running_mean(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_discount").select("l_orderkey", F.round("confidence", 8).alias("confidence"), F.col("n").cast("long").alias("n"))
+    return B.running_mean(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_discount").select("l_orderkey", F.round("confidence", 12).alias("confidence"), F.col("n").cast("long").alias("n"))
 
 
 @register("flush_graph_merge", "WITH g AS (SELECT concat(c_mktsegment, '::', lower(n_name)) AS k, min(c_custkey) AS id, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1) SELECT c_custkey, g.id AS merged_id FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN g ON g.k = concat(c_mktsegment, '::', lower(n_name))")
