@@ -57,9 +57,9 @@ def topic_subgraph(spark, d):
     return G.batched_reach(e, seeds, 1, 50, 0.2).select("id")
 
 
-@register("entity_search", f"WITH {N} SELECT id FROM nodes WHERE entity_type = 'Nation' AND levenshtein(lower(label), 'indonesia') <= 4")
+@register("entity_search", f"WITH {N} SELECT id FROM nodes WHERE entity_type = 'Nation' AND levenshtein(lower(label), 'nation_7') <= 1")
 def entity_search(spark, d):
-    return D.nodes(spark, d).where("entity_type = 'Nation'").where(F.levenshtein(F.lower("label"), F.lit("indonesia")) <= 4).select("id")
+    return D.nodes(spark, d).where("entity_type = 'Nation'").where(F.levenshtein(F.lower("label"), F.lit("nation_7")) <= 1).select("id")
 
 
 @register("search_nodes", "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 1) SELECT vec_id FROM embeddings, q WHERE label < 5 ORDER BY round(1 - list_cosine_similarity(embedding::DOUBLE[], e), 9), vec_id LIMIT 15")
