@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions import scalars as S
 from quillgraph.operators import build as B
 from quillgraph.registry import register
 from quillgraph.session import table
