@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from quillgraph.llm.columns import SPACE, let, text_of
+from quillgraph.llm.columns import let, text_of, words
 from quillgraph.session import cut
 
 HEADS = ("quality", "toxic")
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     """doc_id, n_tokens, a posterior a domain, rate and copies of each row."""
     model = fit(docs, labels)
     text = text_of("text")
-    base = docs.select("doc_id", F.size(F.filter(F.split(text, SPACE), lambda w: w != "")).cast("long").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("u"), posteriors(text, model).alias("p"))
+    base = docs.select("doc_id", F.size(words(text)).cast("long").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("u"), posteriors(text, model).alias("p"))
     table = cut(base.select("doc_id", "n_tokens", "u", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]))
     p = [F.col(f"p_{d}") for d in DOMAINS]
 

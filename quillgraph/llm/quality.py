@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.columns import SPACE, let, text_of
+from quillgraph.llm.columns import SPACE, let, text_of, words
 
 # Frequent function words of English, Spanish, German and French.
 STOP_WORDS = (
@@ -95,8 +95,7 @@ def metrics(text: Column) -> Column:
             F.size(stutter).cast("long").alias("n_stutter"),
         )
 
-    ws = F.filter(F.split(text, SPACE), lambda w: w != "")
-    return let(ws, lambda w: let(lines, lambda ls: of(w, ls)))
+    return let(words(text), lambda w: let(lines, lambda ls: of(w, ls)))
 
 
 def ratios(m: Column) -> dict[str, Column]:
