@@ -154,7 +154,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = cut(texts.mapInArrow(_sketches, f"doc_id {kind}, sig binary, keys array<long>"))
-    reps = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    # written out, so that the joins below have plain exchanges on both sides and a hot group of copies can be split
+    reps = cut(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")))
     named = cut(rows.select("doc_id", "sig").join(reps, "sig", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
     own = rows.where("sig IS NOT NULL").join(reps.select(F.col("rep").alias("doc_id"), F.col("sig").alias("s")), "doc_id", "left_semi")
     keys = own.select("doc_id", F.explode("keys").alias("bucket"))
