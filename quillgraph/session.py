@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,12 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of steps that nothing refers to any more.
-
-    A long job on one driver otherwise keeps them until the JVM happens to collect its garbage.
-    """
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside drop their shuffle files as soon as their one action, such as ``cut``, has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
