@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.session import cut, release
+from quillgraph.session import cut, shuffles_dropped
 
 SPAN, REACH, KEY, TRIGGER = 200, 120, 80, 16
 PIECE = 1 << 20
@@ -222,18 +222,19 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts with their row key, (row, place) of repeated strings: first start << 8 | number of consecutive starts)."""
+    with shuffles_dropped(docs.sparkSession):
+        return _repeated(docs, key, text)
+
+
+def _repeated(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     base = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     base = base.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     long = base.where(F.octet_length("text") >= SPAN)
     phrases = long.select("row", "text").mapInArrow(_parsed, "key long, phrase long, place long, row long")
     marks = cut(phrases.repartition("key").sortWithinPartitions("key", "phrase").mapInArrow(_sorted_phrases, "row long, place long, again boolean"))
-    del phrases
-    release(docs.sparkSession)
     entries = marks.where("NOT again").groupBy("row").agg(F.collect_list("place").alias("places"))
     strings = long.select("row", "text").join(entries, "row").select("row", "text", "places").mapInArrow(_strings, "string long, place long, row long")
     again = cut(strings.repartition("string").sortWithinPartitions("string").mapInArrow(_sorted_strings, "row long, place long"))
-    del strings, entries
-    release(docs.sparkSession)
     return base, marks.where("again").select("row", "place").unionByName(again)
 
 
