@@ -3,10 +3,13 @@
 A text is its lower-cased words; its items are the ``K``-word shingles, each labelled with its occurrence number, so
 repeats count. One of ``SKETCHES`` sketches keeps the ``PICK`` items with the least hashes *in text order*: two texts
 agree on a sketch with a probability that follows their edit similarity, not only their sets. Texts that agree form a
-bucket. Bucket members are compared with one hub of the bucket, never with each other, so pairs stay linear in the rows
-whatever a bucket's size: first with the member of least id, then, where a bucket still holds several components, with a
-hub drawn anew by hash. A pair counts if its alignment, the longest chain of equal items within the band that
-``SIMILAR`` leaves, reaches ``SIMILAR`` of all items (common / (a + b - common)). Linked texts form components.
+bucket. Bucket members are first compared with a hub of the bucket: the member of least id, then, where a bucket still
+holds several components, one drawn by hash. Where the rest of a bucket is of several components even then, all its pairs
+from different components are compared, in blocks of ``BLOCK`` x ``BLOCK``, each pair in the least bucket that it shares: first by length and by
+item counts in ``BINS`` bins, which bound the alignment from above, then by alignment. A pair counts if its alignment, the
+longest chain of equal items within the band that ``SIMILAR`` leaves, reaches ``SIMILAR`` of all items (common / (a + b -
+common)). Linked texts form components; no two texts that share a bucket and are similar end in different ones. The last
+step's pairs grow with the square of a family of texts that are nearly, but not, similar.
 
 With 24 sketches of 4 items a pair at similarity 0.8 shares no bucket with probability 3e-6. Same words mean same class
 without any comparison. Copies are folded before sketches are exchanged.
@@ -32,6 +35,7 @@ from quillgraph.llm.components import components
 from quillgraph.session import cut
 
 K, SIMILAR, SKETCHES, PICK, SEED = 5, 0.8, 24, 4, 11
+BLOCK, BINS = 512, 128
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(SEED)
@@ -91,6 +95,11 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def bins(x: np.ndarray) -> bytes:
+    """Items by ``BINS`` ranges of their hashes, counted up to 255."""
+    return np.minimum(np.bincount((x * _MIX >> np.uint64(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def aligned(a: np.ndarray, b: np.ndarray) -> float:
     """common / (a + b - common) of the longest in-band chain of items equal in both; 0 if below SIMILAR for sure."""
     least = SIMILAR * (len(a) + len(b)) / (1 + SIMILAR)
@@ -117,14 +126,17 @@ def aligned(a: np.ndarray, b: np.ndarray) -> float:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     items = Items()
     for b in batches:
-        sig, rows = [], []
+        sig, rows, size, hist = [], [], [], []
         for t in b.column(1):
             words = _WORD.findall((t.as_py() or "").lower())
             sig.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None)
-            rows.append(sketch(items.of(words)).view(np.int64) if words else np.zeros(0, np.int64))
+            x = items.of(words) if words else np.zeros(0, np.uint64)
+            rows.append(sketch(x).view(np.int64) if words else np.zeros(0, np.int64))
+            size.append(len(x))
+            hist.append(bins(x))
         offsets = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
         values = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["doc_id", "sig", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values)), pa.array(size, pa.int32()), pa.array(hist, pa.binary())], names=["doc_id", "sig", "keys", "size", "hist"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,19 +161,79 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, f"a {kind}, b {kind}")
 
 
+def _may(t: pa.Table) -> pa.Table:
+    """Members of one block pair of a bucket -> pairs (bucket, i, j, a, b) of different components that may be similar."""
+    bucket, i, j = (t.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+    label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    size, part = t.column("size").to_numpy().astype(np.float64), t.column("part").to_numpy()
+    hist = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+    shares = [frozenset(x) for x in t.column("shares").to_pylist()]
+    left, right, out = np.flatnonzero(part == i), np.flatnonzero(part == j), []
+    for k, v in enumerate(left.tolist()):
+        w = right if i < j else right[k + 1 :]
+        w = w[(label[w] != label[v]) & (np.minimum(size[w], size[v]) >= SIMILAR * np.maximum(size[w], size[v]) - 1e-9)]
+        # each bin's difference is made of items without a partner, of which (a + b) (1 - s) / (1 + s) are left at most
+        w = w[np.abs(hist[w] - hist[v]).sum(1, dtype=np.int64) <= (size[w] + size[v]) * (1 - SIMILAR) / (1 + SIMILAR) + 1e-9]
+        out += [(v, x) for x in w.tolist() if min(shares[v] & shares[x]) == bucket]
+    a, b = (pa.array([p[s] for p in out], pa.int64()) for s in (0, 1))
+    n, ids = len(out), t.column("doc_id")
+    return pa.table({"bucket": pa.array([bucket] * n, pa.int64()), "i": pa.array([i] * n, pa.int64()), "j": pa.array([j] * n, pa.int64()), "a": ids.take(a), "b": ids.take(b)})
+
+
+def _linked(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """The pairs of one block pair that are similar, without those that the links found before them already join."""
+    items, of, top = Items(), {}, {}
+    for v, label, t in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True):
+        of[v] = (label, items.of(_WORD.findall((t or "").lower())))
+
+    def find(x):
+        while top.get(x, x) != x:
+            top[x] = x = top.get(top[x], top[x])
+        return x
+
+    keep = []
+    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+        p, q = find(of[a][0]), find(of[b][0])
+        keep.append(p != q and aligned(of[a][1], of[b][1]) >= SIMILAR - 1e-12)
+        if keep[-1]:
+            top[p] = q
+    return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _rest(member: DataFrame, label: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one bucket that are no hubs and of different components."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    open_ = member.where("n > 3 OR (n > 2 AND least = drawn)").where("doc_id <> least AND doc_id <> drawn").select("doc_id", "bucket").distinct()
+    open_ = open_.join(label.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    several = open_.groupBy("bucket").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", F.ceil(F.col("m") / BLOCK).alias("parts"))
+    open_ = cut(open_.join(several, "bucket"))
+    shares = open_.groupBy("doc_id").agg(F.collect_list("bucket").alias("shares"))
+    known = shares.join(rows.where("sig IS NOT NULL").select("doc_id", "size", "hist"), "doc_id").dropDuplicates(["doc_id"])
+    part = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.col("parts")).alias("part")
+    dealt = open_.select("doc_id", "bucket", "label", "parts", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("doc_id", "bucket", "label", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(known, "doc_id")
+    pairs = cut(dealt.groupBy("bucket", "i", "j").applyInArrow(_may, f"bucket long, i long, j long, a {kind}, b {kind}"))
+    at = ["bucket", "i", "j"]
+    ends = pairs.select(*at, F.col("a").alias("doc_id")).unionByName(pairs.select(*at, F.col("b").alias("doc_id"))).distinct()
+    labels = open_.select("doc_id", "label").distinct()
+    ends = ends.join(labels, "doc_id").join(texts.where("doc_id IS NOT NULL").join(labels.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "doc_id")
+    ends = ends.withColumnsRenamed({c: f"{c}_" for c in at})
+    return cut(pairs.groupBy(*at).cogroup(ends.groupBy(*(f"{c}_" for c in at))).applyInArrow(_linked, f"a {kind}, b {kind}"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and class_id (the least id of the class) of each row."""
     texts = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = cut(texts.mapInArrow(_sketches, f"doc_id {kind}, sig binary, keys array<long>"))
+    rows = cut(texts.mapInArrow(_sketches, f"doc_id {kind}, sig binary, keys array<long>, size int, hist binary"))
     # written out, so that the joins below have plain exchanges on both sides and a hot group of copies can be split
     reps = cut(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")))
     named = cut(rows.select("doc_id", "sig").join(reps, "sig", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
     own = rows.where("sig IS NOT NULL").join(reps.select(F.col("rep").alias("doc_id"), F.col("sig").alias("s")), "doc_id", "left_semi")
     keys = own.select("doc_id", F.explode("keys").alias("bucket"))
-    hubs = keys.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("h"), "doc_id")).alias("drawn"), F.max("doc_id").alias("most"))
-    shared = hubs.where("least < most").select("bucket", "least", F.col("drawn.doc_id").alias("drawn"))
-    member = cut(keys.join(shared, "bucket").select("doc_id", "least", "drawn").distinct())
+    hubs = keys.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("h"), "doc_id")).alias("drawn"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    shared = hubs.where("least < most").select("bucket", "least", F.col("drawn.doc_id").alias("drawn"), "n")
+    member = cut(keys.join(shared, "bucket").select("doc_id", "bucket", "least", "drawn", "n"))
 
     first = member.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
     links = cut(_checked(first, texts))
@@ -174,6 +246,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     more = cut(_checked(second, texts))
     if more.limit(1).count():
-        label = components(links.unionByName(more))
+        links = links.unionByName(more)
+        label = components(links)
+    rest = _rest(member, label, rows, texts)
+    if rest.limit(1).count():
+        label = components(links.unionByName(rest))
     classes = label.select(F.col("node").alias("rep"), "label")
     return named.join(classes, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))

@@ -118,6 +118,23 @@ def test_near_duplicates_with_a_hot_group(spark):
     assert all(got[k] == 0 for k in range(60)) and all(got[100 + k] == 100 + k for k in range(60))
 
 
+@pytest.mark.parametrize("block", [40])
+def test_near_duplicates_in_a_template_family(spark, monkeypatch, block):
+    """Variants of one template, most pairs just under the threshold and some just over it, without items of their own."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r = random.Random(8)
+    template, out = [f"w{k}" for k in range(150)], []
+    for k in range(160):
+        words = list(template)
+        for at in r.sample(range(150), 3):
+            words[at] = f"own{k}x{at}"
+        out.append((k, " ".join(words)))
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(spark.createDataFrame(out, "doc_id long, text string")).collect()}
+    want = brute_classes(out)
+    assert 1 < len(set(want.values())) < len(out)
+    assert got == want
+
+
 def brute_removed(texts, span=suffix.SPAN):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(x[i : i + span] for x in raw for i in range(len(x) - span + 1))
