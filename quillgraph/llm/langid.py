@@ -171,18 +171,25 @@ def _predictor(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(proto)
         for b in batches:
-            pred, score = [], []
+            pred, score, best_cos, letters = [], [], [], []
             for _, texts in _chunks(b, b.num_columns - 1):
                 if not langs:
                     pred += [UNKNOWN] * len(texts)
                     score += [0.0] * len(texts)
+                    best_cos += [0.0] * len(texts)
+                    letters += [0] * len(texts)
                     continue
                 cos, known = scorer.cosines(texts)
                 e = np.exp(SHARP * (cos - cos.max(1, keepdims=True)))
                 best = cos.argmax(1)
                 pred += [langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
                 score += np.where(known, 1 / e.sum(1), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+                best_cos += np.where(known, cos.max(1), 0.0).tolist()
+                letters += [sum(map(str.isalpha, t)) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(best_cos, pa.float64()), pa.array(letters, pa.int32())],
+                names=[*b.schema.names[:-1], "lang_pred", "score", "cosine", "letters"],
+            )
 
     return run
 
@@ -191,11 +198,16 @@ def held_out(key: Column, parts: int = 3, part: int = 1) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % parts == part, F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred, score of each row; nothing but the text is used."""
+def evidence(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, lang_pred, score, cosine (with the nearest prototype) and letters of each row; nothing but the text is used."""
     rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(_predictor(model), f"`{key}` {kind}, lang_pred string, score double")
+    return rows.mapInArrow(_predictor(model), f"`{key}` {kind}, lang_pred string, score double, cosine double, letters int")
+
+
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, lang_pred, score of each row."""
+    return evidence(docs, model, key, text).select(f"`{key}`", "lang_pred", "score")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -250,6 +250,21 @@ def test_language(spark, docs, none):
     assert langid.language_id(none).count() == 0
 
 
+@pytest.mark.parametrize("langs", [["aa", "bb"], ["aa"]])
+def test_language_stage_rejects_what_it_has_not_learned(spark, langs):
+    """Other scripts, another language and drawn letters go, however few languages are learned; known texts stay."""
+    import corpus_pipeline as cp
+
+    r = random.Random(6)
+    kinds = {"aa": "ka ki ku kin tak".split(), "bb": "sho sha schu lesh osh".split(), "cc": "wyv pov zuy evyp".split()}
+    kinds |= {"greek": list("αβγδεζηθικλμνξοπρστυ"), "cyrillic": list("абвгдежзиклмнопрст"), "cjk": [chr(0x4E00 + k) for k in range(400)], "noise": list("abcdefghijklmnopqrstuvwxyz")}
+    draw = lambda v, n: " ".join("".join(r.choices(v, k=3)) for _ in range(n))
+    good = [(k, draw(kinds[lang], r.randint(5, 90)), lang) for k, lang in enumerate(langs * 30)]
+    bad = [(1000 + k, draw(v, n), None) for k, (v, n) in enumerate((v, n) for kind, v in kinds.items() if kind not in ("aa", "bb") for n in (8, 30, 300))]
+    kept = {x.doc_id for x in cp.language_id(spark, spark.createDataFrame([*good, *bad], "doc_id long, text string, lang string"), "").collect()}
+    assert kept == {k for k, *_ in good}
+
+
 def test_hyperdimensional_dot_products():
     """The scorer's cosine is that of the bundled vectors, up to the length's expectation."""
     b = langid.Binder()
