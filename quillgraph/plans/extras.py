@@ -8,6 +8,7 @@ from quillgraph.functions import scalars as S
 from quillgraph.operators import graph as G
 from quillgraph.operators import hooks, ivf
 from quillgraph.operators import retrieval as R
+from quillgraph.operators import text as X
 from quillgraph.registry import register
 from quillgraph.session import table
 from quillgraph.sources import domain as D
@@ -75,16 +76,21 @@ def search_edges(spark, d):
     return table(spark, d, "orders").where((when >= F.lit("1995-01-01").cast("timestamp_ntz")) & (when < F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("o_orderpriority") == "1-URGENT")).select("o_orderkey")
 
 
+def _asked(spark, d):
+    """The model's answer for every chunk of every text."""
+    return hooks.ask(X.semantic_chunks(table(spark, d, "documents")), hooks.title_case_model, "doc_id", "chunk")
+
+
 @register("extract_from_chunk")
 def extract_from_chunk(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(300)).alias("text"))
-    return hooks.entities(hooks.ask(rows, hooks.title_case_model, "doc_id", "text"), "doc_id")
+    """Entities of all chunks, each once a document."""
+    return hooks.entities(_asked(spark, d), "doc_id").distinct()
 
 
 @register("two_stage_extract")
 def two_stage_extract(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(300)).alias("text"))
-    return hooks.relationships(hooks.ask(rows, hooks.title_case_model, "doc_id", "text"), "doc_id", predicates=["related_to"])
+    """Relations of all chunks, each once a document."""
+    return hooks.relationships(_asked(spark, d), "doc_id", predicates=["related_to"]).distinct()
 
 
 @register("embed_backfill", "SELECT vec_id, vec_id % 10 = 0 AS filled FROM embeddings")

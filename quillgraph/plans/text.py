@@ -48,7 +48,7 @@ def regex_spans(spark, d):
 
 @register("citation_tags")
 def citation_tags(spark, d):
-    text = F.concat(F.lit("In [2019] SGCA "), F.col("doc_id").cast("string"), F.lit(" and (2001) 3 SLR 12. "), F.left("text", F.lit(100)))
+    text = F.concat(F.lit("In [2019] SGCA "), F.col("doc_id").cast("string"), F.lit(" and (2001) 3 SLR 12. "), F.coalesce("text", F.lit("")))
     return X.citations(docs(spark, d).select("doc_id", text.alias("text")))
 
 

@@ -158,3 +158,14 @@ def test_stream_registers_and_commits(spark, tmp_path):
     assert [r.value for r in spark.table("reg").collect()] == ["new"]
     streams.commit_batches(streams.watch(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "s2"), "node", "seq")
     assert [r.value for r in spark.read.parquet(str(tmp_path / "out" / "v0")).collect()] == ["late"]
+
+
+def test_extraction_and_citations_reach_the_end_of_a_text(spark, tmp_path):
+    from quillgraph import registry
+
+    long = "plain words. " * 2000 + "Zorvan met Quillo in [2020] SGCA 77."
+    spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert [x.name for x in run("extract_from_chunk") if x.name == "Zorvan"] == ["Zorvan"]
+    assert [(x.source, x.target) for x in run("two_stage_extract")] == [("Zorvan", "Quillo")]
+    assert any("[2020] SGCA 77" in x.match for x in run("citation_tags") if x.doc_id == 1)
