@@ -169,3 +169,23 @@ def test_extraction_and_citations_reach_the_end_of_a_text(spark, tmp_path):
     assert [x.name for x in run("extract_from_chunk") if x.name == "Zorvan"] == ["Zorvan"]
     assert [(x.source, x.target) for x in run("two_stage_extract")] == [("Zorvan", "Quillo")]
     assert any("[2020] SGCA 77" in x.match for x in run("citation_tags") if x.doc_id == 1)
+
+
+def test_approximate_search_answers_every_twentieth_row(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from quillgraph import registry
+    from quillgraph.operators import ivf
+
+    monkeypatch.setattr(ivf, "BLOCK", 50)
+    monkeypatch.setattr(ivf, "QUERIES", 4)
+    r = np.random.default_rng(3)
+    v = (r.normal(size=(8, 6)) * 4)[r.integers(0, 8, 400)] + r.normal(size=(400, 6))
+    spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["ann_rebuild"](spark, str(tmp_path)).collect()
+    assert {x.query_id for x in got} == set(range(0, 400, 20)) and len(got) == 200
+    u = v.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    best = {q: set(np.argsort(-(u @ u[q]))[:10].tolist()) for q in range(0, 400, 20)}
+    share = {q: len(best[q] & {x.vec_id for x in got if x.query_id == q}) / 10 for q in best}
+    assert all(abs(x.recall - share[x.query_id]) < 1e-9 for x in got) and sum(share.values()) / 20 >= 0.9
