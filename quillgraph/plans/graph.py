@@ -85,20 +85,14 @@ def topk_scores(spark, d):
     return pagerank(spark, d).orderBy(F.desc("rank"), "id").limit(20)
 
 
-def _regional(spark, d):
-    """Nations, regions and suppliers: a graph of the size that centrality is meant for."""
-    keep = F.col("src").startswith("s:") | F.col("src").startswith("n:")
-    return D.nodes(spark, d).where("entity_type IN ('Region', 'Nation', 'Supplier')"), D.edges(spark, d, parts=False).where(keep)
-
-
 @register("betweenness")
 def betweenness(spark, d):
-    return G.betweenness(*_regional(spark, d)).select("id", F.round("score", 6).alias("score"))
+    return G.betweenness(D.nodes(spark, d), D.edges(spark, d)).select("id", F.round("score", 6).alias("score"))
 
 
 @register("louvain")
 def louvain(spark, d):
-    n, e = _regional(spark, d)
+    n, e = D.nodes(spark, d), D.edges(spark, d)
     return G.louvain(n.withColumn("collection_id", F.lit("c1")), e.withColumn("collection_id", F.lit("c1")))
 
 

@@ -189,3 +189,44 @@ def test_approximate_search_answers_every_twentieth_row(spark, tmp_path, monkeyp
     best = {q: set(np.argsort(-(u @ u[q]))[:10].tolist()) for q in range(0, 400, 20)}
     share = {q: len(best[q] & {x.vec_id for x in got if x.query_id == q}) / 10 for q in best}
     assert all(abs(x.recall - share[x.query_id]) < 1e-9 for x in got) and sum(share.values()) / 20 >= 0.9
+
+
+def test_centrality_and_communities_take_the_whole_graph(spark, tmp_path):
+    """Two suppliers of one part: it lies between them, and no node is left out; betweenness against path counting."""
+    from itertools import combinations
+
+    from quillgraph import registry
+    from quillgraph.sources import domain as D
+
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "R")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N", 0), (1, "M", 0)]),
+        "customer": ("c_custkey long, c_name string, c_nationkey int, c_acctbal double", [(1, "C", 0, 1.0)]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey int, s_acctbal double", [(1, "S", 0, 1.0), (2, "T", 1, 1.0)]),
+        "part": ("p_partkey long, p_name string, p_retailprice double", [(1, "P", 1.0), (2, "Q", 1.0)]),
+        "lineitem": ("l_suppkey long, l_partkey long", [(1, 1), (2, 1), (2, 2)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    names = {x.id for x in D.nodes(spark, str(tmp_path)).collect()}
+    near = {v: set() for v in names}
+    for e in D.edges(spark, str(tmp_path)).collect():
+        near[e.src].add(e.dst)
+        near[e.dst].add(e.src)
+
+    def shortest(a, b):
+        paths = [[a]]
+        while paths and not (done := [p for p in paths if p[-1] == b]):
+            paths = [[*p, w] for p in paths for w in near[p[-1]] if w not in p]
+        return done
+
+    raw = dict.fromkeys(names, 0.0)
+    for a, b in combinations(sorted(names), 2):
+        found = shortest(a, b)
+        for p in found:
+            for v in p[1:-1]:
+                raw[v] += 1 / len(found)
+    got = {x.id: x.score for x in registry.queries()["betweenness"](spark, str(tmp_path)).collect()}
+    assert got == {v: round(x / max(raw.values()), 6) for v, x in raw.items()} and got["p:1"] > 0
+    group = {x.id: x.community for x in registry.queries()["louvain"](spark, str(tmp_path)).collect()}
+    assert set(group) == names and group["p:2"] == group["s:2"]
