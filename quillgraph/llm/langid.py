@@ -1,17 +1,17 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1, drawn from its code point. A letter n-gram is bound as the product of its
-letters' vectors, each permuted (rotated) by its place. Bundling (summing) the n-grams of all learning texts of a language
-makes the language's prototype; a text is the bundle of its own n-grams and gets the language of the nearest prototype by
-cosine. The dot product of a bundle with a prototype is the count-weighted sum of the n-grams' dot products, so a worker
-binds each distinct n-gram once and keeps one number a language. The length of a text's bundle is its expectation
-over the random vectors, sqrt(dimensions * sum of squared counts), which changes no ranking.
+Every letter has a random vector of +1 and -1, drawn from its code point's rank. A letter n-gram is bound as the product of
+its letters' vectors, each permuted (rotated) by its place. Bundling (summing) the n-grams of all learning texts of a
+language makes the language's prototype; a text is the bundle of its own n-grams and gets the language of the nearest
+prototype by cosine. The score is that language's share in a softmax over the cosines.
 
-Learning reads every learning text: workers count n-grams by language, the counts are summed by key, and few tasks bundle
-the sums. The model on the driver is languages x ``DIM`` numbers.
+Learning reads every learning text: workers count n-grams by language, the counts are summed by key, the sums are bundled
+where they lie, and the partial bundles are summed by language and dimension. The model on the driver is languages x
+``DIM`` numbers.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a null language is not learned from; a null
-id is predicted, not learned from; with nothing to learn from every text is ``und``; each row gives one row.
+id is predicted, not learned from; with nothing to learn from every text is ``und``; letters of every plane count; each row
+gives one row; only the named columns are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIM, SEED, SHARP = 4096, 20, 25.0
+DIM, SEED, SHARP = 2048, 20, 25.0
 UNKNOWN = "und"
-CHUNK_DOCS, CHUNK_CHARS = 4000, 1_500_000
-_BITS = 17
+#: Texts are read in chunks; a chunk's number and a trigram of any letters fit into 63 bits.
+CHUNK_DOCS, CHUNK_CHARS = 2000, 1_500_000
+#: Texts and n-grams of one product of counts and bound vectors; letters whose vectors are held.
+BLOCK_DOCS, BLOCK_GRAMS, HELD_LETTERS = 64, 2048, 30_000
 
 
 @lru_cache(1)
@@ -37,6 +39,14 @@ def _letters() -> np.ndarray:
     return np.where(alpha, np.cumsum(alpha), 0).astype(np.int64)
 
 
+@lru_cache(1)
+def base() -> int:
+    """Trigram codes are numbers of three digits to this base."""
+    n = int(_letters().max()) + 1
+    assert CHUNK_DOCS * n**3 < 2**63
+    return n
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, trigram code, count) of the texts; runs of non-letters count as one space."""
     lowered = [t.lower() for t in texts]
@@ -45,10 +55,10 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letter = _letters()[flat]
     keep = np.append(True, (letter[1:] != 0) | (letter[:-1] != 0) | (doc[1:] != doc[:-1]))
     letter, doc = letter[keep], doc[keep]
-    code = letter[:-2] << 2 * _BITS | letter[1:-1] << _BITS | letter[2:]
+    code = (letter[:-2] * base() + letter[1:-1]) * base() + letter[2:]
     ok = (doc[2:] == doc[:-2]) & (letter[1:-1] != 0)
-    key, n = np.unique(doc[:-2][ok] << 3 * _BITS | code[ok], return_counts=True)
-    return key >> 3 * _BITS, key & (1 << 3 * _BITS) - 1, n
+    key, n = np.unique(doc[:-2][ok] * base() ** 3 + code[ok], return_counts=True)
+    return key // base() ** 3, key % base() ** 3, n
 
 
 class Binder:
@@ -59,14 +69,16 @@ class Binder:
         self.v = np.zeros((0, DIM), np.int8)
 
     def bind(self, codes: np.ndarray) -> np.ndarray:
-        parts = [codes >> 2 * _BITS, codes >> _BITS & (1 << _BITS) - 1, codes & (1 << _BITS) - 1]
-        new = sorted({x for p in parts for x in np.unique(p).tolist()} - self.row.keys())
+        parts = [np.unique(p, return_inverse=True) for p in (codes // base() ** 2, codes // base() % base(), codes % base())]
+        if len(self.row) > HELD_LETTERS:
+            self.row, self.v = {}, self.v[:0]
+        new = sorted({x for p, _ in parts for x in p.tolist()} - self.row.keys())
         if new:
             made = [np.random.Generator(np.random.Philox(key=[SEED, x])).integers(0, 2, DIM, np.int8) * 2 - 1 for x in new]
             self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
             self.v = np.vstack([self.v, np.array(made, np.int8)])
-        a, b, c = (self.v[[self.row[x] for x in p.tolist()]] for p in parts)
-        return np.roll(a, 2, 1) * np.roll(b, 1, 1) * c
+        a, b, c = (np.roll(self.v[[self.row[x] for x in p.tolist()]], turn, 1)[at] for turn, (p, at) in zip((2, 1, 0), parts, strict=True))
+        return a * b * c
 
 
 def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
@@ -113,10 +125,10 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     binder, sums = Binder(), {}
     for b in batches:
         langs, codes, n = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy(), b.column(2).to_numpy()
-        for lo in range(0, len(codes), 2048):
-            h = binder.bind(codes[lo : lo + 2048]).astype(np.float64)
-            for lang in set(langs[lo : lo + 2048]):
-                w = np.where(langs[lo : lo + 2048] == lang, n[lo : lo + 2048], 0)
+        for lo in range(0, len(codes), BLOCK_GRAMS):
+            h = binder.bind(codes[lo : lo + BLOCK_GRAMS]).astype(np.float64)
+            for lang in set(langs[lo : lo + BLOCK_GRAMS]):
+                w = np.where(langs[lo : lo + BLOCK_GRAMS] == lang, n[lo : lo + BLOCK_GRAMS], 0)
                 sums[lang] = sums.get(lang, 0) + w @ h
     for lang, v in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["lang", "v"])
@@ -129,40 +141,43 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """Prototypes of all rows with a language and a text: (languages, unit vectors)."""
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    parts = counts.mapInArrow(_bundle, "lang string, v array<double>").select("lang", F.posexplode("v").alias("at", "x"))
     sums: dict[str, np.ndarray] = {}
-    for r in counts.coalesce(16).mapInArrow(_bundle, "lang string, v array<double>").toLocalIterator():
-        sums[r.lang] = sums.get(r.lang, 0) + np.array(r.v)
+    for r in parts.groupBy("lang", "at").agg(F.sum("x").alias("x")).collect():  # languages x DIM numbers
+        sums.setdefault(r.lang, np.zeros(DIM))[r["at"]] = r.x
     langs = sorted(x for x, v in sums.items() if np.any(v))
     proto = np.array([sums[x] / np.linalg.norm(sums[x]) for x in langs]) if langs else np.zeros((0, DIM))
     return langs, proto.astype(np.float32)
 
 
 class Scorer:
-    """Keeps each distinct n-gram's dot products with the prototypes."""
+    """Bundles texts and compares them with the prototypes."""
 
     def __init__(self, proto: np.ndarray) -> None:
         self.proto, self.binder = proto.T.copy(), Binder()
-        self.codes, self.dots = np.zeros(0, np.int64), np.zeros((0, len(proto)), np.float32)
-
-    def _dots(self, codes: np.ndarray) -> np.ndarray:
-        new = np.setdiff1d(codes, self.codes, assume_unique=True)
-        if len(new):
-            if len(self.codes) > 500_000:
-                self.codes, self.dots, new = self.codes[:0], self.dots[:0], codes
-            made = [self.binder.bind(new[lo : lo + 1024]).astype(np.float32) @ self.proto for lo in range(0, len(new), 1024)]
-            both = np.append(self.codes, new)
-            order = np.argsort(both)
-            self.codes, self.dots = both[order], np.vstack([self.dots, *made])[order]
-        return self.dots[np.searchsorted(self.codes, codes)]
+
+    def bundles(self, texts: list[str]) -> np.ndarray:
+        """The texts' vectors."""
+        doc, code, n = grams(texts)
+        out = np.zeros((len(texts), DIM), np.float32)
+        for first in range(0, len(texts), BLOCK_DOCS):
+            mine = slice(*np.searchsorted(doc, [first, first + BLOCK_DOCS]))
+            codes, at = np.unique(code[mine], return_inverse=True)
+            for lo in range(0, len(codes), BLOCK_GRAMS):
+                held = codes[lo : lo + BLOCK_GRAMS]
+                ok = (at >= lo) & (at < lo + BLOCK_GRAMS)
+                counts = np.zeros((min(BLOCK_DOCS, len(texts) - first), len(held)), np.float32)
+                counts[doc[mine][ok] - first, at[ok] - lo] = n[mine][ok]
+                out[first : first + BLOCK_DOCS] += counts @ self.binder.bind(held).astype(np.float32)
+        return out
 
     def cosines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, has a letter) of the texts."""
-        doc, code, n = grams(texts)
-        codes, at = np.unique(code, return_inverse=True)
-        dots = self._dots(codes)
-        sums = np.array([np.bincount(doc, n * dots[at, k], len(texts)) for k in range(dots.shape[1])]).T
-        square = np.bincount(doc, n.astype(np.float64) ** 2, len(texts))
-        return sums / np.sqrt(np.maximum(square, 1) * DIM)[:, None], square > 0
+        v = self.bundles(texts)
+        norm = np.sqrt(np.square(v, dtype=np.float64).sum(1))
+        known = np.zeros(len(texts), bool)
+        known[[k for k, t in enumerate(texts) if any(map(str.isalpha, t))]] = True
+        return (v @ self.proto) / np.maximum(norm, 1e-9)[:, None], known
 
 
 def _predictor(model: Model):

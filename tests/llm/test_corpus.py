@@ -265,14 +265,30 @@ def test_language_stage_rejects_what_it_has_not_learned(spark, langs):
     assert kept == {k for k, *_ in good}
 
 
-def test_hyperdimensional_dot_products():
-    """The scorer's cosine is that of the bundled vectors, up to the length's expectation."""
-    b = langid.Binder()
-    doc, code, n = langid.grams(["some plain text", "texto más"])
-    v = np.array([(b.bind(code[doc == k]).astype(float) * n[doc == k][:, None]).sum(0) for k in (0, 1)])
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    cos, known = langid.Scorer(unit.astype(np.float32)).cosines(["some plain text", "texto más"])
-    assert known.all() and np.allclose(cos, unit @ unit.T, atol=0.15)
+def test_hyperdimensional_bundles():
+    """A text's vector is the sum of its bound n-grams, and the score is its true cosine, whatever the block."""
+    b, texts = langid.Binder(), ["some plain text", "texto más", "", "a" * 50, *[sentence(random.Random(k), 30) for k in range(150)]]
+    doc, code, n = langid.grams(texts)
+    want = np.array([(b.bind(code[doc == k]).astype(float) * n[doc == k][:, None]).sum(0) for k in range(len(texts))])
+    unit = want[:2] / np.linalg.norm(want[:2], axis=1, keepdims=True)
+    scorer = langid.Scorer(unit.astype(np.float32))
+    assert np.array_equal(scorer.bundles(texts), want)
+    cos, known = scorer.cosines(texts)
+    full = np.linalg.norm(want, axis=1) > 0
+    assert np.array_equal(known, full) and np.allclose(cos[full], want[full] @ unit.T / np.linalg.norm(want[full], axis=1)[:, None], atol=1e-5)
+
+
+def test_language_letters_of_every_plane(spark):
+    """Letters far beyond the first plane are learned and predicted like others."""
+    far = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    far = far[:: len(far) // 4] + far[-4:]
+    rows = [(k, " ".join("".join(random.Random(k).choices(far, k=4)) for _ in range(30)) if k % 2 else sentence(random.Random(k), 30), "far" if k % 2 else "near") for k in range(40)]
+    rows += [(100, "abc " + chr(0x31000) * 4, None), (101, chr(0x323AF) * 3, "far")]
+    got = {x.doc_id: x for x in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows) and all(got[k].lang_pred == ("far" if k % 2 else "near") for k in range(40))
+    letters = [c for c in range(0x110000) if chr(c).isalpha()]
+    doc, code, n = langid.grams([f"{chr(a)}{chr(b)}{chr(c)}" for a, b, c in zip(letters[-300:], letters[:300], letters[-300:])])
+    assert set(doc.tolist()) == set(range(300)) and (n == 1).all() and (code < langid.base() ** 3).all()
 
 
 def test_lm(docs, rows, none):
