@@ -174,11 +174,44 @@ def test_repeats_at_every_edge(spark):
 
 def test_repeats_across_pieces(monkeypatch):
     r = np.random.default_rng(3).integers(97, 101, 5000).astype(np.uint8)
-    whole = suffix.parse(r)
-    starts = np.repeat(whole[2] >> 8, whole[2] & 255).size
     monkeypatch.setattr(suffix, "PIECE", 700)
-    cut = suffix.parse(r)
-    assert np.repeat(cut[2] >> 8, cut[2] & 255).size == starts == 5000 - suffix.SPAN + 1
+    place = suffix.parse(r)[3]
+    starts = [k for p in place.tolist() for k in range(p >> 16, (p >> 16) + (p & 255))]
+    assert sorted(starts) == list(range(5000 - suffix.SPAN + 1))
+
+
+def test_repeats_with_a_hot_passage(spark):
+    """A passage in most texts, each between bytes of its own, one text many times, and drafts that differ in two places."""
+    r = random.Random(19)
+    fill = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage, short, draft, same = fill(700), fill(230), fill(900), fill(500)
+    texts = [fill(r.randint(40, 90)) + passage[r.randint(0, 150) :] + fill(30) + short + fill(40) for _ in range(90)] + [same] * 60
+    for _ in range(60):
+        d = list(draft)
+        for at in r.sample(range(900), 2):
+            d[at] = "#"
+        texts.append("".join(d))
+    r.shuffle(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [tuple(x)[1:] for x in suffix.remove_repeats(d).orderBy("doc_id").collect()]
+    assert got == list(brute_removed(texts))
+
+
+def test_neighbours_across_partitions():
+    """Streams in pieces of any size, with and without rows before and after, give each row once beside its neighbours."""
+    import pyarrow as pa
+
+    table = pa.table({"x": list(range(10))})
+    for size in (1, 2, 3, 10):
+        for before in (False, True):
+            for after in (False, True):
+                parts = table.slice(before, 10 - before - after).combine_chunks().to_batches(max_chunksize=size)
+                seen = []
+                for t, lo, hi in suffix._stream(iter(parts), table.slice(0, 1) if before else None, table.slice(9, 1) if after else None):
+                    x = t.column("x").to_pylist()
+                    seen += x[lo:hi]
+                    assert all((k == 0 and x[k] == 0 or x[k - 1] == x[k] - 1) and (x[k] == 9 or x[k + 1] == x[k] + 1) for k in range(lo, hi))
+                assert seen == list(range(int(before), 10 - after))
 
 
 DECON_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -282,7 +315,8 @@ def test_language_letters_of_every_plane(spark):
     """Letters far beyond the first plane are learned and predicted like others."""
     far = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
     far = far[:: len(far) // 4] + far[-4:]
-    rows = [(k, " ".join("".join(random.Random(k).choices(far, k=4)) for _ in range(30)) if k % 2 else sentence(random.Random(k), 30), "far" if k % 2 else "near") for k in range(40)]
+    r = random.Random(12)
+    rows = [(k, " ".join("".join(r.choices(far, k=4)) for _ in range(30)) if k % 2 else sentence(r, 30), "far" if k % 2 else "near") for k in range(40)]
     rows += [(100, "abc " + chr(0x31000) * 4, None), (101, chr(0x323AF) * 3, "far")]
     got = {x.doc_id: x for x in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert len(got) == len(rows) and all(got[k].lang_pred == ("far" if k % 2 else "near") for k in range(40))
