@@ -311,7 +311,9 @@ def _ordered(rows: DataFrame, by: list[str], reader: Callable, schema: str) -> D
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields)
     found = placed.mapInArrow(_ends, f"part_ int, end_ int, {kinds}").toArrow()  # two rows a partition
     part, end = found.column("part_").to_pylist(), found.column("end_").to_pylist()
-    at = {(p, e): found.slice(k, 1).drop_columns(["part_", "end_"]) for k, (p, e) in enumerate(zip(part, end, strict=True))}
+    rows = found.drop_columns(["part_", "end_"])
+    # copies: a slice would send the whole table with each row
+    at = {(p, e): rows.slice(k, 1).take([0]).combine_chunks() for k, (p, e) in enumerate(zip(part, end, strict=True))}
     full = sorted(set(part))
     ends = {p: (at[full[k - 1], 1] if k else None, at[full[k + 1], 0] if k + 1 < len(full) else None) for k, p in enumerate(full)}
     return placed.mapInArrow(reader(ends), schema)

@@ -349,6 +349,109 @@ def test_lm_learns_context(spark):
     assert got and np.mean([(x.score - x.base_score) / x.n_tokens for x in got]) > 0.15
 
 
+def learned(spark, texts):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = d.mapInArrow(lm._count, "tok binary, n long").groupBy("tok").agg(F.sum("n").alias("n"))
+    return lm.learn(d.withColumn("draw", F.shiftrightunsigned(F.xxhash64("text"), 1)), counts)
+
+
+@pytest.mark.parametrize("vocabulary", [20, 1500])
+def test_lm_sums_to_one(spark, vocabulary):
+    """Over the words, the other known tokens and one unknown, after any context, with few and many tokens."""
+    r = random.Random(7)
+    got = learned(spark, [" ".join(f"w{int(r.paretovariate(0.4)) % vocabulary}" for _ in range(80)) for _ in range(60)])
+    reader = lm.Reader(got.head)
+    for text in ("", "w1 w2 w3", "w5 never w7"):
+        r_ = reader.read([[*lm.tokens(text)[:-1], t] for t in got.head[: lm.WORDS]] + [[*lm.tokens(text)[:-1], b"never"]])
+        ends = np.append(r_.first[1:], len(r_.rank)) - 1
+        p = np.exp(got.model.log_prob(lm.features(r_), r_.rank)[ends])
+        inside, other = p[:-1].sum(), p[-1]
+        rest = (sum(got.freq[lm.WORDS :]) + len(got.freq[lm.WORDS :]) + 1) / got.others
+        assert abs(inside + other * rest - 1) < 1e-4
+
+
+def test_lm_against_plain_loops(spark, docs, rows):
+    """Scores as a token-by-token computation of both softmaxes and the pair features gives them."""
+    texts = [t for k, t, *_ in rows if k is None or zlib.crc32(str(k).encode()) % 7 != 2]
+    out_of = [x for x in lm.lm_scores(docs).collect()]
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(k, t) for k, t, *_ in rows if k is None or zlib.crc32(str(k).encode()) % 7 != 2], "doc_id long, text string")
+    counts = d.select("text").mapInArrow(lm._count, "tok binary, n long").groupBy("tok").agg(F.sum("n").alias("n"))
+    got = lm.learn(d.select("text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("draw")), counts)
+    reader, m = lm.Reader(got.head), got.model
+
+    def soft(z, k):
+        top = max(z)
+        return z[k] - top - math.log(sum(math.exp(x - top) for x in z))
+
+    def plain_lp(r, f, i):
+        rank = int(r.rank[i])
+        cls, slot = (rank // lm.SLOTS + 1, rank % lm.SLOTS) if 0 <= rank < lm.WORDS else (0, 0)
+        rows_ = m.rows(f[i : i + 1])[0]
+        lp = soft([float(m.class_bias[c]) + sum(float(m.classes[k, c]) for k in rows_) for c in range(lm.CLASSES + 1)], cls)
+        if cls:
+            at = m.rows(f[i : i + 1], np.array([cls]))[0]
+            return lp + soft([float(m.slot_bias[cls - 1, s]) + sum(float(m.slots[k, s]) for k in at) for s in range(lm.SLOTS)], slot)
+        return lp + math.log(((got.freq[rank] if rank >= 0 else 0) + 1) / got.others)
+
+    seen, table = {}, {}
+    read = lambda t: (r := reader.read([lm.tokens(t)]), lm.features(r), lm.anchors(r))
+    for t in texts:
+        r, f, (at, h, pair) = read(t)
+        for i, c, p in zip(at.tolist(), h.tolist(), pair.tolist()):
+            n, lp = seen.get((c, p), (0, 0))
+            seen[c, p] = (n + 1, plain_lp(r, f, i))
+    for c in {c for c, _ in seen}:
+        mine = [(p, n, math.exp(lp)) for (cc, p), (n, lp) in seen.items() if cc == c]
+        w = {p: 0.0 for p, _, _ in mine if p}
+        total = sum(n for _, n, _ in mine)
+        for _ in range(lm.FIT_STEPS):
+            z = 1 + sum(q * math.expm1(w[p]) for p, _, q in mine if p)
+            for p, n, q in mine:
+                if p:
+                    y = q * math.exp(w[p]) / z
+                    w[p] += max(-1, min(1, (n - total * y - w[p] / lm.PRIOR) / (total * y * (1 - y) + 1 / lm.PRIOR)))
+        table[c] = (w, math.log(1 + sum(q * math.expm1(w[p]) for p, _, q in mine if p)))
+    want = {}
+    for k, t, *_ in rows:
+        r, f, (at, h, pair) = read(t)
+        gain = sum(table[c][0].get(p, 0.0) - table[c][1] for c, p in zip(h.tolist(), pair.tolist()) if c in table)
+        want.setdefault(k, []).append((sum(plain_lp(r, f, i) for i in range(len(r.rank))) + gain) / math.log(10))
+    for x in out_of:
+        assert any(abs(x.score - y) < 1e-3 * max(1, abs(y)) for y in want[x.doc_id]), (x, want[x.doc_id])
+
+
+def test_lm_pair_features_are_normalised():
+    ctx = np.array([1, 1, 1, 2])
+    n, p, known = np.array([5.0, 1, 2, 4]), np.array([0.1, 0.001, 0.2, 0.3]), np.array([True, True, False, True])
+    first, total, log_z, w = lm.fit_pairs(ctx, n, p, known)
+    assert first.tolist() == [0, 3] and total.tolist() == [8, 4] and w[2] == 0
+    q = p * np.exp(w) / np.exp(np.repeat(log_z, [3, 1]))
+    assert np.allclose(log_z, [np.log(1 + p[0] * np.expm1(w[0]) + p[1] * np.expm1(w[1])), np.log(1 + p[3] * np.expm1(w[3]))])
+    assert np.abs(n - np.repeat(total, [3, 1]) * q - w / lm.PRIOR)[known].max() < 1e-3
+
+
+def test_lm_does_not_depend_on_partitions(spark):
+    r = random.Random(10)
+    d = spark.createDataFrame([(k, sentence(r, 40)) for k in range(120)], "doc_id long, text string")
+    a, b = ({x.doc_id: x.score for x in lm.lm_scores(d.repartition(k)).collect()} for k in (2, 16))
+    assert all(abs(a[k] - b[k]) < 1e-5 for k in a)
+
+
+def test_lm_knows_learned_texts(spark):
+    """A held-out copy of a learned text scores far above others of its kind."""
+    r = random.Random(11)
+    rows = [(k, sentence(r, 100)) for k in range(200)]
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2]
+    rows += [(1000 + k, rows[k][1]) for k in held[:10] if zlib.crc32(str(1000 + k).encode()) % 7 != 2]
+    copied = {k - 1000 for k, _ in rows[200:]}
+    got = {x.doc_id: x.score / x.n_tokens for x in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[k] for k in copied) > max(got[k] for k in held if k not in copied)
+
+
 def test_mixing(spark, docs, none):
     r = random.Random(8)
     rows, labels = [], []
