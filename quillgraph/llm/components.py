@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.session import cut
+from quillgraph.session import forget, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,16 +13,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds of least-neighbour labels, each followed by a pointer jump, so chains shrink geometrically and stars take two
     rounds. Sums are partial before they are exchanged, so a hub with very many links costs a task no more than others.
-    Every round is checkpointed in the shared folder. No links give an empty table.
+    Every round is written to the shared folder, and the one before it deleted. No links give an empty table.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         seen = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("label").alias("m"))
         near = label.join(seen, label["node"] == seen["a"]).select("node", "label", F.least("label", "m").alias("near"))
         top = label.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
-        step = cut(near.join(top, near["near"] == top["n2"], "left").select("node", "label", F.least("near", F.coalesce("l2", "near")).alias("next")))
+        step = written(near.join(top, near["near"] == top["n2"], "left").select("node", "label", F.least("near", F.coalesce("l2", "near")).alias("next")))
         changed = step.where("label <> next").limit(1).count()
+        forget(label)
         label = step.select("node", F.col("next").alias("label"))
         if not changed:
+            forget(both)
             return label

@@ -1,22 +1,25 @@
 """Near-duplicate classes by order MinHash with banded verification.
 
-A text is its lower-cased words; its items are the ``K``-word shingles, each labelled with its occurrence number, so
-repeats count. One of ``SKETCHES`` sketches keeps the ``PICK`` items with the least hashes *in text order*: two texts
-agree on a sketch with a probability that follows their edit similarity, not only their sets. Texts that agree form a
-bucket. Bucket members are first compared with a hub of the bucket: the member of least id, then, where a bucket still
-holds several components, one drawn by hash. Where the rest of a bucket is of several components even then, all its pairs
-from different components are compared, in blocks of ``BLOCK`` x ``BLOCK``, each pair in the least bucket that it shares: first by length and by
-item counts in ``BINS`` bins, which bound the alignment from above, then by alignment. A pair counts if its alignment, the
-longest chain of equal items within the band that ``SIMILAR`` leaves, reaches ``SIMILAR`` of all items (common / (a + b -
-common)). Linked texts form components; no two texts that share a bucket and are similar end in different ones. The last
-step's pairs grow with the square of a family of texts that are nearly, but not, similar.
+A text is its lower-cased words (a character of a script without spaces is a word); its items are the ``K``-word shingles,
+each labelled with its occurrence number, so repeats count. One of ``SKETCHES`` sketches keeps the ``PICK`` items with the
+least hashes *in text order*: two texts agree on a sketch with a probability that follows their edit similarity, not only
+their sets. Texts that agree form a bucket. Bucket members are first compared with a hub of the bucket: the member of least
+number, then, where a bucket still holds several components, one drawn by hash. Where a bucket is of several components even
+then, all its members are compared with those outside its largest component, in blocks of ``BLOCK`` x ``BLOCK``, each pair in
+the least bucket that it shares: first by length and by item counts in ``BINS`` bins, which bound the alignment from above,
+then by alignment. A pair counts if its alignment, the longest chain of equal items within the band that ``SIMILAR`` leaves,
+reaches ``SIMILAR`` of all items (common / (a + b - common)). Linked texts form components; no two texts that share a bucket
+and are similar end in different ones. The last step's pairs grow with the square of a family of texts that are nearly, but
+not, similar.
 
 With 24 sketches of 4 items a pair at similarity 0.8 shares no bucket with probability 3e-6. Same words mean same class
-without any comparison. Copies are folded before sketches are exchanged.
+without any comparison: copies, whatever their ids, are folded into one node before anything is exchanged, and only one
+text of a node is ever read again.
 
 Defined cases: a text without words (null, empty) is a class of its own; texts under ``K`` words have the whole text as
-the one item; repeated rows share their class; a null id takes part with exact copies only and is never a class id; ids
-are expected to name one text each; an empty table gives an empty one.
+the one item; repeated rows share their class; several texts under one id are classed each for itself; a null id takes part
+as any other and is the class id only of a class without ids; an empty table gives an empty one; only the two named columns
+are read.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +40,9 @@ from quillgraph.session import cut
 
 K, SIMILAR, SKETCHES, PICK, SEED = 5, 0.8, 24, 4, 11
 BLOCK, BINS = 512, 128
-_WORD = re.compile(r"[^\W_]+")
+#: Kana, ideographs, Hangul, Thai, Lao, Khmer and Burmese are written without spaces: a word a character.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U000323af"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(SEED)
 _MULT = _rng.integers(1, 2**63, SKETCHES, np.uint64) | np.uint64(1)
@@ -127,7 +133,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     items = Items()
     for b in batches:
         sig, rows, size, hist = [], [], [], []
-        for t in b.column(1):
+        for t in b.column(2):
             words = _WORD.findall((t.as_py() or "").lower())
             sig.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None)
             x = items.of(words) if words else np.zeros(0, np.uint64)
@@ -136,7 +142,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hist.append(bins(x))
         offsets = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
         values = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values)), pa.array(size, pa.int32()), pa.array(hist, pa.binary())], names=["doc_id", "sig", "keys", "size", "hist"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values)), pa.array(size, pa.int32()), pa.array(hist, pa.binary())], names=["doc_id", "row", "sig", "keys", "size", "hist"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +160,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are similar."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_verify, f"a {kind}, b {kind}")
+    """Those of the pairs (a, b) that are similar; ``texts`` has one row a node."""
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return both.mapInArrow(_verify, "a long, b long")
 
 
 def _may(t: pa.Table) -> pa.Table:
@@ -176,15 +181,17 @@ def _may(t: pa.Table) -> pa.Table:
         w = w[np.abs(hist[w] - hist[v]).sum(1, dtype=np.int64) <= (size[w] + size[v]) * (1 - SIMILAR) / (1 + SIMILAR) + 1e-9]
         out += [(v, x) for x in w.tolist() if min(shares[v] & shares[x]) == bucket]
     a, b = (pa.array([p[s] for p in out], pa.int64()) for s in (0, 1))
-    n, ids = len(out), t.column("doc_id")
+    n, ids = len(out), t.column("node")
     return pa.table({"bucket": pa.array([bucket] * n, pa.int64()), "i": pa.array([i] * n, pa.int64()), "j": pa.array([j] * n, pa.int64()), "a": ids.take(a), "b": ids.take(b)})
 
 
-def _linked(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-    """The pairs of one block pair that are similar, without those that the links found before them already join."""
+def _linked(t: pa.Table) -> pa.Table:
+    """Pairs (a, b) of one block pair, and rows of their nodes (a, label, text; b null) -> the pairs that are similar, without
+    those that the links found before them already join."""
     items, of, top = Items(), {}, {}
-    for v, label, t in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True):
-        of[v] = (label, items.of(_WORD.findall((t or "").lower())))
+    ends, pairs = t.filter(pc.is_null(t.column("b"))), t.filter(pc.is_valid(t.column("b")))
+    for v, label, text in zip(*(ends.column(c).to_pylist() for c in ("a", "label", "text")), strict=True):
+        of[v] = (label, items.of(_WORD.findall((text or "").lower())))
 
     def find(x):
         while top.get(x, x) != x:
@@ -200,56 +207,70 @@ def _linked(pairs: pa.Table, texts: pa.Table) -> pa.Table:
     return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _rest(member: DataFrame, label: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest(member: DataFrame, label: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between members of one bucket that are no hubs and of different components."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    open_ = member.where("n > 3 OR (n > 2 AND least = drawn)").where("doc_id <> least AND doc_id <> drawn").select("doc_id", "bucket").distinct()
-    open_ = open_.join(label.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    several = open_.groupBy("bucket").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", F.ceil(F.col("m") / BLOCK).alias("parts"))
+    open_ = member.where("n > 3 OR (n > 2 AND least = drawn)").where("node <> least AND node <> drawn").select("node", "bucket")
+    open_ = open_.join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = open_.groupBy("bucket", "label").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("all"), F.max(F.struct("m", "label")).alias("main"))
+    several = sizes.where("main.m < all").select("bucket", F.col("main.label").alias("main"), parts(F.col("main.m")).alias("mains"), parts(F.col("all") - F.col("main.m")).alias("others"))
     open_ = cut(open_.join(several, "bucket"))
-    shares = open_.groupBy("doc_id").agg(F.collect_list("bucket").alias("shares"))
-    known = shares.join(rows.where("sig IS NOT NULL").select("doc_id", "size", "hist"), "doc_id").dropDuplicates(["doc_id"])
-    part = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.col("parts")).alias("part")
-    dealt = open_.select("doc_id", "bucket", "label", "parts", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("doc_id", "bucket", "label", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(known, "doc_id")
-    pairs = cut(dealt.groupBy("bucket", "i", "j").applyInArrow(_may, f"bucket long, i long, j long, a {kind}, b {kind}"))
-    at = ["bucket", "i", "j"]
-    ends = pairs.select(*at, F.col("a").alias("doc_id")).unionByName(pairs.select(*at, F.col("b").alias("doc_id"))).distinct()
-    labels = open_.select("doc_id", "label").distinct()
-    ends = ends.join(labels, "doc_id").join(texts.where("doc_id IS NOT NULL").join(labels.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "doc_id")
-    ends = ends.withColumnsRenamed({c: f"{c}_" for c in at})
-    return cut(pairs.groupBy(*at).cogroup(ends.groupBy(*(f"{c}_" for c in at))).applyInArrow(_linked, f"a {kind}, b {kind}"))
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and class_id (the least id of the class) of each row."""
-    texts = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    known = open_.groupBy("node").agg(F.collect_list("bucket").alias("shares")).join(own.select("node", "size", "hist"), "node")
+    is_main, h = F.col("label") == F.col("main"), F.xxhash64("node", F.lit(SEED))
+    part = F.when(is_main, F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("others"))).cast("int")
+    upto = lambda c, body: F.transform(F.sequence(F.lit(0), F.col(c) - 1), body)
+    at = lambda i, j, mine: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), mine.cast("long").alias("part"))
+    p = F.col("part")
+    # block pairs: (i, j) of those outside the main component, (-1 - i, j) of them and the main one
+    among = upto("others", lambda x: at(F.least(p, x), F.greatest(p, x), p))
+    across = F.when(is_main, upto("others", lambda x: at(-1 - x, p, p))).otherwise(F.concat(among, upto("mains", lambda x: at(-1 - p, x, -1 - p))))
+    dealt = open_.withColumn("part", part).select("node", "bucket", "label", F.explode(across).alias("at")).select("node", "bucket", "label", "at.*").join(known, "node")
+    pairs = cut(dealt.groupBy("bucket", "i", "j").applyInArrow(_may, "bucket long, i long, j long, a long, b long"))
+    by = ["bucket", "i", "j"]
+    ends = pairs.select(*by, F.col("a").alias("node")).unionByName(pairs.select(*by, F.col("b").alias("node"))).distinct()
+    ends = ends.join(open_.select("node", "label").distinct(), "node").join(texts, "node").select(*by, F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "label", "text")
+    both = pairs.select(*by, "a", "b", F.lit(None).cast("long").alias("label"), F.lit(None).cast("string").alias("text")).unionByName(ends)
+    return cut(both.groupBy(*by).applyInArrow(_linked, "a long, b long"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, row (hash of id and text), class_id (the least id of the class) and keeper (the row hash of the class's one text to keep) of each row."""
+    texts = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = cut(texts.mapInArrow(_sketches, f"doc_id {kind}, sig binary, keys array<long>, size int, hist binary"))
+    rows = cut(texts.mapInArrow(_sketches, f"doc_id {kind}, row long, sig binary, keys array<long>, size int, hist binary"))
     # written out, so that the joins below have plain exchanges on both sides and a hot group of copies can be split
-    reps = cut(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    named = cut(rows.select("doc_id", "sig").join(reps, "sig", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
-    own = rows.where("sig IS NOT NULL").join(reps.select(F.col("rep").alias("doc_id"), F.col("sig").alias("s")), "doc_id", "left_semi")
-    keys = own.select("doc_id", F.explode("keys").alias("bucket"))
-    hubs = keys.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("h"), "doc_id")).alias("drawn"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
-    shared = hubs.where("least < most").select("bucket", "least", F.col("drawn.doc_id").alias("drawn"), "n")
-    member = cut(keys.join(shared, "bucket").select("doc_id", "bucket", "least", "drawn", "n"))
-
-    first = member.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    links = cut(_checked(first, texts))
+    best = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")).alias("best")
+    reps = cut(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("row").alias("node"), best))
+    named = cut(rows.select("doc_id", "row", "sig").join(reps.select("sig", "node"), "sig", "left").select("doc_id", "row", "node"))
+    own = cut(rows.join(reps.select(F.col("node").alias("row")), "row", "left_semi").dropDuplicates(["row"]).select(F.col("row").alias("node"), "keys", "size", "hist"))
+    keys = own.select("node", F.explode("keys").alias("bucket")).distinct()
+    hubs = keys.groupBy("bucket").agg(F.min("node").alias("least"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("drawn"), F.max("node").alias("most"), F.count("*").alias("n"))
+    shared = hubs.where("least < most").select("bucket", "least", F.col("drawn.node").alias("drawn"), "n")
+    member = cut(keys.join(shared, "bucket").select("node", "bucket", "least", "drawn", "n"))
+    held = cut(texts.select(F.col("row").alias("node"), "text").join(member.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+
+    first = member.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    links = cut(_checked(first, held))
     label = components(links)
     second = (
-        member.where("doc_id <> drawn AND drawn <> least").select(F.col("doc_id").alias("a"), F.col("drawn").alias("b")).distinct()
+        member.where("node <> drawn AND drawn <> least").select(F.col("node").alias("a"), F.col("drawn").alias("b")).distinct()
         .join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
         .join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
         .where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
     )
-    more = cut(_checked(second, texts))
+    more = cut(_checked(second, held))
     if more.limit(1).count():
         links = links.unionByName(more)
         label = components(links)
-    rest = _rest(member, label, rows, texts)
+    rest = _rest(member, label, own, held)
     if rest.limit(1).count():
         label = components(links.unionByName(rest))
-    classes = label.select(F.col("node").alias("rep"), "label")
-    return named.join(classes, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
+    of = reps.select("node", "best").join(label, "node", "left").select("node", "best", F.coalesce("label", "node").alias("label"))
+    least = cut(of.join(of.groupBy("label").agg(F.min("best").alias("least")), "label").select("node", "least"))
+    ids = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return named.join(least, "node", "left").select("doc_id", "row", ids.alias("class_id"), F.coalesce("least.row", "row").alias("keeper"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and class_id (the least id of the class) of each row."""
+    return classes(docs, key, text).select("doc_id", "class_id")

@@ -135,6 +135,40 @@ def test_near_duplicates_in_a_template_family(spark, monkeypatch, block):
     assert got == want
 
 
+def test_near_duplicates_of_branching_drafts(spark):
+    """Drafts that branch by edits of a passage: at least 0.99 of the brute-force links lie within a class, and none is added."""
+    r = random.Random(21)
+    drafts = [[sentence(r, 1) + str(k) for k in range(240)]]
+    for k in range(200):
+        d = list(r.choice(drafts))
+        for _ in range(2):
+            lo = r.randrange(200)
+            d[lo : lo + 8] = [f"e{k}x{j}" for j in range(8)]
+        drafts.append(d)
+    out = [(k, " ".join(d)) for k, d in enumerate(drafts)]
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(spark.createDataFrame(out, "doc_id long, text string")).collect()}
+    items = minhash.Items()
+    x = [items.of(d) for d in drafts]
+    links = [(a, b) for a in range(len(x)) for b in range(a) if minhash.aligned(x[a], x[b]) >= minhash.SIMILAR]
+    assert len(links) > 100 and sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
+    want = brute_classes(out)
+    assert all(want[a] == want[b] for a in got for b in got if got[a] == got[b])
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """Repeated rows meet once, texts under one id and under none are classed each for itself, unspaced scripts have words."""
+    r = random.Random(22)
+    a, b, c = (sentence(r, 80) for _ in range(3))
+    cjk = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(120))
+    near = lambda t: t + " tail"
+    rows = [(1, a)] * 300 + [(2, near(a))] * 300 + [(5, b), (5, c), (6, near(b)), (7, near(c)), (None, c), (None, near(c)), (None, sentence(r, 60)), (8, cjk), (9, cjk[:60] + "\u4e00" + cjk[60:])]
+    got = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    of = lambda k: {x.class_id for x in got if x.doc_id == k}
+    assert of(1) == of(2) == {1} and of(5) == {5} and of(6) == of(7) == {5} and of(8) == of(9) == {8} and of(None) == {5, None}
+    assert len({x.keeper for x in got if x.doc_id in (5, 6, 7)}) == 2
+
+
 def brute_removed(texts, span=suffix.SPAN):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(x[i : i + span] for x in raw for i in range(len(x) - span + 1))
