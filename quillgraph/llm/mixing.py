@@ -5,23 +5,27 @@ A classifier with a head for quality and one for toxicity sums the log odds of p
 information over a hash-drawn set of about ``FIT_ROWS`` labelled rows. It is compiled into the projection as a lookup
 table of fixed size and gives every document its posteriors.
 
-Rates minimise the relative squared distance between expected domain totals (sum of rate x tokens x posterior) and the
-targets, over nonnegative rates, by projected gradient from rate 1. A step moves a document's rate by the posterior-
-weighted gradient, so an iteration is one aggregation of a few sums over the compact table (id, tokens, posteriors); the
-rate itself is an expression of the past gradients and is never stored between iterations. No exchange carries more than
-one row of sums a task. The total is set so that the ``good`` domain keeps its tokens. Rates are rounded to 0.01;
-``copies`` is the floor, and one more for the remainder's share of documents by a hash of the row; rates within ``NEAR`` of
-a whole number are rounded.
+Rates r >= 0 minimise the relative squared distance between expected domain totals T (sums of rate x tokens x posterior) and
+the targets g, plus ``RIDGE`` times the tokens' squared distance of their rates from 1, which makes the optimum unique. The
+projected gradient step from rate 1 is r = max(0, 1 - posterior . v), where v is the gradient's weight of each domain, a few
+numbers; at the optimum v = (T(v) - g) / (held x ``RIDGE``). Each iteration moves v along the gradient, scaled by the
+curvature of the rates that are not at 0, with the best of ``STEPS``: two aggregations of a few sums over the compact table
+(id, tokens, posteriors), whatever the number of step sizes. Rates are never stored between iterations, and no exchange
+carries more than one row of sums a task. The total is set so that the ``good`` domain keeps its tokens. Rates are rounded to
+0.01; ``copies`` is the floor, and one more for the remainder's share of documents by a hash of the row.
 
 Defined cases: a null or empty text has 0 tokens and the prior's posteriors; repeated rows get the same rate and copies; a
-side of a head without labels has no members, and without any labels every text is good; an empty table gives an empty one; a label row with a null is not learned from; extra columns
-don't matter.
+side of a head without labels has no members, and without any labels every text is good; a null id has no label; an empty
+table gives an empty one; a label row with a null is not learned from; of several label rows of an id one counts; only the
+named columns are read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -36,9 +40,8 @@ FIT_ROWS, FEATURES, MIN_DOCS, SLOTS = 20_000, 128, 8, 1 << 13
 MIN_SHARE = 0.02  # of the rows of the side that a token speaks for
 MIN_ODDS = 2.5  # log odds under which a token tells too little; sums of many weak, dependent tokens mislead
 SURE = 50.0
-#: A rate this close to a whole number isn't dithered, so that the fit's last percents drop no document.
-NEAR = 0.05
-ITERATIONS, CLOSE = 30, 1e-4
+RIDGE, ITERATIONS, CLOSE = 1e-3, 20, 1e-6
+STEPS = [0.5**k for k in range(8)]
 
 
 def features(text: Column) -> Column:
@@ -89,20 +92,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[float], list[tuple[int
     return [prior("quality", SURE), prior("toxic", -SURE)], [(r.h, [odds(r, h)[0] for h in HEADS]) for r in rows_]
 
 
-def _table(logs: list[tuple[int, list[float]]]) -> tuple[int, list[int], list[list[float]]]:
-    """(shift, hashes, odds by head) in SLOTS slots by some bits of the hash, shifted so that the fewest share one.
-
-    Of tokens with one slot the more telling one, which comes first, stays.
-    """
-    at = lambda h, s: h >> s & (SLOTS - 1)
-    shift = max(range(40), key=lambda s: len({at(h, s) for h, _ in logs}))
-    held, odds = [0] * SLOTS, [[0.0] * SLOTS for _ in HEADS]
+def _table(logs: list[tuple[int, list[float]]]) -> tuple[int, int, list[int], list[list[float]]]:
+    """(slots, shift, hashes, odds by head): a table by some bits of the hash, with as many slots as give each token its own."""
+    slots, want = SLOTS, len({h for h, _ in logs})
+    while True:
+        at = lambda h, s: h >> s & (slots - 1)  # noqa: B023, E731
+        shift = max(range(40), key=lambda s: len({at(h, s) for h, _ in logs}))
+        if len({at(h, shift) for h, _ in logs}) == want:
+            break
+        slots *= 2
+    held, odds = [0] * slots, [[0.0] * slots for _ in HEADS]
     for h, w in logs:
-        if not held[at(h, shift)]:
-            held[at(h, shift)] = h
-            for k in range(len(HEADS)):
-                odds[k][at(h, shift)] = w[k]
-    return shift, held, odds
+        held[at(h, shift)] = h
+        for k in range(len(HEADS)):
+            odds[k][at(h, shift)] = w[k]
+    return slots, shift, held, odds
 
 
 def _array(values: list, kind: str) -> Column:
@@ -113,8 +117,8 @@ def _array(values: list, kind: str) -> Column:
 def posteriors(text: Column, model: tuple[list[float], list[tuple[int, list[float]]]]) -> Column:
     """Array of the domains' posteriors."""
     prior, logs = model
-    shift, held, odds = _table(logs)
-    slot = lambda h: F.shiftright(h, shift).bitwiseAND(SLOTS - 1).cast("int")
+    slots, shift, held, odds = _table(logs)
+    slot = lambda h: F.shiftright(h, shift).bitwiseAND(slots - 1).cast("int")
     known = F.filter(F.transform(features(text), lambda t: F.xxhash64(t)), lambda h: F.get(_array(held, "long"), slot(h)) == h)
 
     def summed(hs: Column, k: int) -> Column:
@@ -125,42 +129,48 @@ def posteriors(text: Column, model: tuple[list[float], list[tuple[int, list[floa
     return let(known, lambda hs: let(F.array(*[chance(summed(hs, k)) for k in range(len(HEADS))]), split))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """doc_id, n_tokens, a posterior a domain, rate and copies of each row."""
-    model = fit(docs, labels)
-    text = text_of("text")
-    base = docs.select("doc_id", F.size(words(text)).cast("long").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("u"), posteriors(text, model).alias("p"))
-    table = cut(base.select("doc_id", "n_tokens", "u", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]))
-    p = [F.col(f"p_{d}") for d in DOMAINS]
+def solve(table: DataFrame, goal: list[float], held: list[float]) -> list[float]:
+    """The gradient weights v of the optimal rates max(0, 1 - posterior . v); see the module."""
+    p, n = [F.col(f"p_{d}") for d in DOMAINS], F.col("n_tokens")
+    size, k = [max(h, 1.0) for h in held], len(DOMAINS)
 
-    def totals(rate: Column) -> list[float]:
-        row = table.agg(*[F.sum(F.col("n_tokens") * x * rate).alias(f"s{k}") for k, x in enumerate(p)]).first()
-        return [float(v or 0.0) for v in row]
+    def off(totals: list[float], v: np.ndarray) -> np.ndarray:
+        return v - np.array([(t - g) / (s * RIDGE) for t, g, s in zip(totals, goal, size, strict=True)])
 
-    held = totals(F.lit(1.0))
-    whole = held[0] / targets["good"] if targets.get("good") else sum(held)
-    goal = [targets.get(d, 0.0) * whole for d in DOMAINS]
-    rate: Column = F.lit(1.0)
-    now, step = held, 1.0
+    def sums(cols: list[Column]) -> list[float]:
+        return [float(x or 0.0) for x in table.agg(*[F.sum(c).alias(f"s{j}") for j, c in enumerate(cols)]).first()]
+
+    v, now = np.zeros(k), off(held, np.zeros(k))
     for _ in range(ITERATIONS):
-        slope = [(a - g) / max(s, 1.0) for a, g, s in zip(now, goal, held, strict=True)]
-        if max(map(abs, slope)) < CLOSE:
+        if np.abs(now).max() * RIDGE < CLOSE:
             break
-        move = sum((x * (step * v) for x, v in zip(p[1:], slope[1:], strict=True)), p[0] * (step * slope[0]))
-        tried = F.greatest(F.lit(0.0), rate - move)
-        then = totals(tried)
-        cost = lambda t: sum((a - g) ** 2 / max(s, 1.0) for a, g, s in zip(t, goal, held, strict=True))
-        if cost(then) > cost(now):
-            step /= 2
-            if step < 1e-3:
-                break
-            continue
-        if cost(now) - cost(then) <= 1e-9 * cost(now):
-            rate, now = tried, then
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        curve = np.zeros((k, k))
+        for (i, j), x in zip(pairs, sums([F.when(rate(v) > 0, n * p[i] * p[j]) for i, j in pairs]), strict=True):
+            curve[i, j] = curve[j, i] = x
+        way = -np.linalg.solve(np.eye(k) + curve / (np.array(size) * RIDGE)[:, None], now)
+        got = np.array(sums([n * x * rate(v + step * way) for step in STEPS for x in p])).reshape(-1, k)
+        tried = [off(list(t), v + step * way) for t, step in zip(got, STEPS, strict=True)]
+        best = min(range(len(STEPS)), key=lambda j: float(np.square(tried[j]) @ size))
+        if np.square(tried[best]) @ size >= np.square(now) @ size:
             break
-        rate, now = tried, then
-    out = table.withColumn("rate", F.round(rate, 2))
-    whole = F.round("rate").cast("long")
-    drawn = F.floor(F.col("rate") + F.col("u") / F.lit(float(1 << 30))).cast("long")
-    copies = F.when(F.abs(F.col("rate") - F.round("rate")) <= NEAR, whole).otherwise(drawn)
-    return out.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", copies.alias("copies"))
+        v, now = v + STEPS[best] * way, tried[best]
+    return v.tolist()
+
+
+def rate(v: Sequence[float]) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p_{d}") * float(x) for d, x in zip(DOMAINS, v, strict=True)), F.lit(0.0)))
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry, n_tokens, a posterior a domain, rate and copies of each row."""
+    model = fit(docs, labels)
+    text = text_of("text")
+    base = docs.select("doc_id", *carry, F.size(words(text)).cast("long").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("u"), posteriors(text, model).alias("p"))
+    table = cut(base.select("doc_id", *carry, "n_tokens", "u", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]))
+    held = [float(x or 0.0) for x in table.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()]
+    whole = held[0] / targets["good"] if targets.get("good") else sum(held)
+    v = solve(table, [targets.get(d, 0.0) * whole for d in DOMAINS], held)
+    out = table.withColumn("rate", F.round(rate(v), 2))
+    copies = F.floor(F.col("rate") + F.col("u") / F.lit(float(1 << 30))).cast("long")
+    return out.select("doc_id", *carry, "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", copies.alias("copies"))
