@@ -294,6 +294,26 @@ def test_html(spark):
     assert sorted((r.page_id, r.n_chars) for r in html.extract(pages).collect()) == [(1, 40), (1, 40), (2, 0)]
 
 
+def test_html_deep_and_odd_pages(spark):
+    """Scores of a deep page grow with its size only; hand-written pages of other kinds; text of any element inside the article."""
+    import time
+
+    model = html.default_model()
+    deep = lambda k: "".join(f"<div class='w{j} x{j}'>" for j in range(k)) + "<p>Deep text, it is.</p>" + "</div>" * k
+    began = time.time()
+    assert isinstance(html.main_text(deep(20_000), model), str) and time.time() - began < 20
+    for page in (deep(40), "<ul id=menu><li><a href=/>Home</a></ul><main><p>One.</p></main>"):
+        by_features = [sum(model.state.get(f, 0.0) for f in fs) for _, fs in html.blocks(page)]
+        assert np.allclose([e for _, e in html._Page(page, model.state).blocks], by_features)
+    kept = html.main_text("<article><h1>Sum</h1><p>As <math><mi>x</mi><mo>+</mo><mn>1</mn></math> shows, it grows, and so on.</p><object><p>A figure of the growth, drawn by hand.</p></object><p>It ends here.</p></article>", model)
+    assert "As x+1 shows, it grows" in kept and "drawn by hand" in kept
+    assert "code" not in html.main_text("<article><p>Before it.</p><script src=x />var code = 1;</script><p>After it.</p></article>", model)
+    table = "<table><tr><td><a href=/>Home</a> | <a href=/n>News</a></td></tr><tr><td><h1>Rain at last</h1><p>It rained all night, and the river rose.</p><p>Farmers were glad, they said.</p></td></tr><tr><td>&copy; 2020 The Paper</td></tr></table>"
+    assert "the river rose." in html.main_text(table, model) and "The Paper" not in html.main_text(table, model)
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html.extract(none).count() == 0
+
+
 def test_html_on_written_pages():
     """Held-out pages of the same kind: nearly all are extracted without a difference."""
     import html as plain_html
@@ -508,6 +528,29 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none, lab).count() == 0
 
 
+def test_mixing_is_the_optimum(spark):
+    """Rates as projected gradient steps in numpy, small and many, find them."""
+    r = np.random.default_rng(3)
+    n, p = r.integers(1, 400, 500), r.dirichlet([3, 0.4, 0.2], 500)
+    p[:60] = [0.001, 0.001, 0.998]
+    table = spark.createDataFrame([(k, int(a), *map(float, x)) for k, (a, x) in enumerate(zip(n, p))], "doc_id long, n_tokens long, p_good double, p_poor double, p_toxic double")
+    held = (n[:, None] * p).sum(0)
+    goal = held[0] / 0.97 * np.array([0.97, 0.03, 0.0])
+    v = np.array(mixing.solve(table, goal.tolist(), held.tolist()))
+    got, x = np.maximum(0, 1 - p @ v), np.ones(500)
+    for _ in range(100_000):
+        x = np.maximum(0, x - 0.3 * (p @ ((n * x) @ p / held - goal / held) + mixing.RIDGE * (x - 1)))
+    assert np.abs(got - x).max() < 5e-3 and got[:60].max() < 0.01
+    assert np.allclose([a.r for a in table.select(mixing.rate(v).alias("r"), "doc_id").orderBy("doc_id").collect()], got)
+
+
+def test_mixing_table_has_a_slot_a_token():
+    r = random.Random(1)
+    logs = [(r.getrandbits(64) - (1 << 63), [float(k), -float(k)]) for k in range(2000)]
+    slots, shift, held, odds = mixing._table(logs)
+    assert all(held[h >> shift & (slots - 1)] == h and odds[0][h >> shift & (slots - 1)] == w[0] for h, w in logs)
+
+
 @pytest.mark.parametrize("limit", [50, 400, 3000, 10**9])
 def test_sharding(docs, none, limit):
     got = sharding.assign(docs.unionByName(docs.where("doc_id = 5")), limit).toPandas()
@@ -549,3 +592,25 @@ def test_pipeline(spark, tmp_path, docs):
     assert 102 not in seen[0] and 104 not in seen[0] and 100 in seen[0]
     assert seen[1] == seen[0] - {100, 101} and seen[2] == seen[1] - {103} and seen[3] == seen[2]
     assert {x.doc_id for x in cp.run(spark, d).collect()} == set(range(80))
+
+
+def test_pipeline_rows_without_and_with_repeated_ids(spark, tmp_path):
+    """Texts under one id and rows without an id are judged by their own text; the clashing column is carried along."""
+    import corpus_pipeline as cp
+
+    r = random.Random(13)
+    bench = sentence(r, 30)
+    good = [sentence(r, 80) for _ in range(30)]
+    rows = [(k, t, "en", 1) for k, t in enumerate(good)]
+    rows += [(3, bench + " " + sentence(r, 50), "en", 2), (3, good[3], "en", 3), (None, sentence(r, 80), None, 4), (None, good[5] + " tail", None, 5), (None, "12 !", None, 6)]
+    d = str(tmp_path)
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    at = spark.createDataFrame(rows, "doc_id long, text string, lang string, row int")
+    kept = []
+    for _, stage in cp.STAGES[:4]:
+        at = stage(spark, at, d)
+        kept.append({x.row for x in at.select("row").collect()})
+    everything = set(range(1, 7))
+    assert kept[0] == everything - {6} and kept[1] >= {2, 4} and not kept[1] & {5, 6} and len(at.where("doc_id = 3").collect()) == 1
+    assert 2 not in kept[2] and 4 in kept[3] and at.count() == 31
