@@ -116,9 +116,15 @@ def truncate_context(text: Column, limit: int = 24_000, marker: str = "\n...[tru
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(marker))).otherwise(text)
 
 
+# What a failed extraction leaves, and how often at most.
+GARBAGE_MARKS, MOST_MARKS = ("?Identity-H", "Identity-H Unimplemented", "?Unimplemented"), 10
+
+
 def looks_like_garbage(text: Column) -> Column:
-    marks = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
-    return (F.length(text) < 100) | (marks > 0.4 * F.length(text))
+    """No text, under 100 characters, a mark of a failed extraction more than ten times, or over 40 % question marks."""
+    drop = lambda m: F.length(text) - F.length(F.replace(text, F.lit(m), F.lit("")))
+    often = [drop(m) > MOST_MARKS * len(m) for m in GARBAGE_MARKS]
+    return text.isNull() | (F.length(text) < 100) | often[0] | often[1] | often[2] | (drop("?") > 0.4 * F.length(text))
 
 
 # The known entity types and edge types, in lower case.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars as S
+from quillgraph.session import written
 
 # The default ontology, entity types with subtypes and relation types with domain, range and symmetry.
 ENTITY_TYPES = {
@@ -84,6 +85,18 @@ def with_subtypes(types: list[str]) -> list[str]:
     return sorted({t for x in types for t in (x, *ENTITY_TYPES.get(x, []))})
 
 
+def ancestors(types: DataFrame, parents: DataFrame) -> DataFrame:
+    """(t, up): every type with itself and all types above it. ``parents``: t, p. One round a level, until none is new."""
+    links = parents.select(F.col("t").alias("up"), "p")
+    front = written(types.select("t", F.col("t").alias("up")).distinct())
+    out = front
+    while True:
+        front = written(front.join(links, "up").select("t", F.col("p").alias("up")).distinct().join(out, ["t", "up"], "left_anti"))
+        if front.isEmpty():
+            return out
+        out = out.unionByName(front)
+
+
 def relation_problem(predicate: Column, source_type: Column, target_type: Column) -> Column:
     """Unknown predicate, or an endpoint that is not valid or of a type outside domain or range."""
     out = F.when(~predicate.isin(list(RELATION_TYPES)), "UnknownRelationshipType").when(source_type.isNull() | target_type.isNull(), "InvalidDomain")
@@ -120,20 +133,75 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.unionByName(into).unionByName(hyper)
 
 
+def overwrite(existing: DataFrame, incoming: DataFrame, key: str = "dedup_key", ident: str = "id", joined: tuple = (), unions: tuple = (), fills: tuple = (), means: tuple = (), maps: tuple = ()) -> DataFrame:
+    """Field-by-field merge of rows matched on ``key``; unmatched ones of either side stay as they are.
+
+    ``joined`` texts of both sides are put one after the other; ``unions`` append what is new; ``fills`` only fill what is
+    missing (null or empty); ``means`` are averaged; ``maps`` keep the existing entries and add new keys. One join.
+    """
+    cols = [ident, *joined, *unions, *fills, *means, *maps]
+    side = lambda df, p: df.select(key, F.lit(True).alias(f"{p}_"), *[F.col(c).alias(f"{p}_{c}") for c in cols])
+    j = side(existing, "e").join(side(incoming, "i"), key, "full")
+    both = F.col("e_").isNotNull() & F.col("i_").isNotNull()
+    first = lambda c: F.coalesce(f"e_{c}", f"i_{c}")
+    e, i = (lambda c: F.col(f"e_{c}")), (lambda c: F.col(f"i_{c}"))
+    out = [key, F.when(F.col("e_").isNotNull(), e(ident)).otherwise(i(ident)).alias(ident)]
+    out += [F.when(e(c).isNotNull() & i(c).isNotNull(), F.concat_ws(" | ", e(c), i(c))).otherwise(first(c)).alias(c) for c in joined]
+    out += [F.when(e(c).isNotNull() & i(c).isNotNull(), F.array_union(e(c), i(c))).otherwise(first(c)).alias(c) for c in unions]
+    empty = lambda c: F.when(c.cast("string") != "", c)
+    out += [F.coalesce(empty(e(c)), i(c), e(c)).alias(c) for c in fills]
+    out += [F.when(both, (e(c) + i(c)) / 2).otherwise(first(c)).alias(c) for c in means]
+    fresh = lambda c: F.map_filter(i(c), lambda k, _: ~F.map_contains_key(e(c), k))
+    out += [F.when(e(c).isNotNull() & i(c).isNotNull(), F.map_concat(e(c), fresh(c))).otherwise(first(c)).alias(c) for c in maps]
+    return j.select(*out)
+
+
+#: How the fields of nodes and of edges are merged.
+NODE_FIELDS = {"joined": ("description",), "unions": ("aliases", "doc_origins"), "fills": ("display_label", "ontology_class"), "means": ("confidence",), "maps": ("properties",)}
+EDGE_FIELDS = {"joined": ("context",), "unions": ("participants", "doc_origins"), "fills": ("predicate", "time", "location", "display_label"), "means": ("weight",), "maps": ("properties",)}
+
+
 def merge_nodes(existing: DataFrame, incoming: DataFrame, strategy: str = "field_overwrite") -> DataFrame:
-    """Rows joined on ``dedup_key``; unmatched ones of either side stay. Columns: dedup_key, id, description, aliases, confidence."""
-    e = existing.select("dedup_key", *[F.col(c).alias(f"e_{c}") for c in ("id", "description", "aliases", "confidence")])
-    i = incoming.select("dedup_key", *[F.col(c).alias(f"i_{c}") for c in ("id", "description", "aliases", "confidence")])
-    j = e.join(i, "dedup_key", "full")
-    both = F.col("e_id").isNotNull() & F.col("i_id").isNotNull()
-    pick = lambda c: F.coalesce(f"e_{c}", f"i_{c}") if strategy != "keep_last" else F.coalesce(f"i_{c}", f"e_{c}")
-    if strategy in ("keep_first", "keep_last"):
-        return j.select("dedup_key", F.coalesce("e_id", "i_id").alias("id"), pick("description").alias("description"), pick("aliases").alias("aliases"), pick("confidence").alias("confidence"))
-    text = F.when(both & F.col("e_description").isNotNull() & F.col("i_description").isNotNull() & (F.col("e_description") != F.col("i_description")), F.concat_ws(" | ", "e_description", "i_description")).otherwise(pick("description"))
-    none = F.array().cast("array<string>")
+    """Nodes joined on ``dedup_key``; unmatched ones of either side stay. Fields that a side has no column for are left out."""
+    return _merged(existing, incoming, strategy, NODE_FIELDS)
+
+
+def merge_edges(existing: DataFrame, incoming: DataFrame, strategy: str = "field_overwrite") -> DataFrame:
+    """As ``merge_nodes``, for edges."""
+    return _merged(existing, incoming, strategy, EDGE_FIELDS)
+
+
+def _merged(existing: DataFrame, incoming: DataFrame, strategy: str, fields: dict[str, tuple]) -> DataFrame:
+    held = {k: tuple(c for c in v if c in existing.columns and c in incoming.columns) for k, v in fields.items()}
+    if strategy == "field_overwrite":
+        return overwrite(existing, incoming, **held)
+    cols = [c for v in held.values() for c in v]
+    side = lambda df, p: df.select("dedup_key", F.struct("id", *cols).alias(p))
+    j = side(existing, "e").join(side(incoming, "i"), "dedup_key", "full")
+    row = F.coalesce("e", "i") if strategy == "keep_first" else F.coalesce("i", "e")
+    return j.select("dedup_key", row.alias("row"), F.coalesce("e", "i").alias("first")).select("dedup_key", "first.id", *[f"row.{c}" for c in cols])
+
+
+def merge_resolved(canonical: DataFrame, incoming: DataFrame, seq: str) -> DataFrame:
+    """(id, confidence, aliases, description) of each canonical node after the incoming entities resolved to it, in the
+    order of ``seq``: names and aliases appended once, confidence halved towards each, the longer description taken.
+
+    ``canonical``: id, confidence, aliases, description; ``incoming``: id, ``seq``, name, aliases, confidence, description.
+    The ordered mean is a sum weighted by powers of a half, and the aliases are folded by distinct name, so no task
+    gathers a node's entities; only its distinct aliases meet in one row.
+    """
+    order = Window.partitionBy("id").orderBy(seq)
+    at = incoming.withColumn("at", F.row_number().over(order).cast("long"))
+    n = at.groupBy("id").agg(F.max("at").alias("n"))
+    means = at.join(n, "id").groupBy("id").agg(F.max("n").alias("n"), F.sum(F.col("confidence") * F.pow(F.lit(0.5), F.col("n") - F.col("at") + 1)).alias("part"), F.max(F.struct(F.length("description").alias("size"), (-F.col("at")).alias("first"), "description")).alias("long"))
+    names = at.select("id", "at", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("pos", "alias"))
+    fresh = names.groupBy("id", "alias").agg(F.min(F.struct("at", "pos")).alias("seen")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "alias"))), lambda x: x["alias"]).alias("fresh"))
+    j = canonical.select("id", "confidence", "aliases", "description").join(means, "id", "left").join(fresh, "id", "left")
+    got = F.col("n").isNotNull()
+    longer = got & (F.col("long.size") > F.length(F.coalesce("description", F.lit(""))))
     return j.select(
-        "dedup_key", F.coalesce("e_id", "i_id").alias("id"), text.alias("description"), F.array_union(F.coalesce("e_aliases", none), F.coalesce("i_aliases", none)).alias("aliases"),
-        F.when(both, (F.col("e_confidence") + F.col("i_confidence")) / 2).otherwise(pick("confidence")).alias("confidence"),
+        "id", F.when(got, F.col("confidence") * F.pow(F.lit(0.5), F.col("n")) + F.col("part")).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(got, F.array_union("aliases", "fresh")).otherwise(F.col("aliases")).alias("aliases"), F.when(longer, F.col("long.description")).otherwise(F.col("description")).alias("description"),
     )
 
 

@@ -10,19 +10,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars as S
-from quillgraph.session import cut
+from quillgraph.session import written
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, least: float = 0.0, directed: bool = True) -> DataFrame:
-    """(id, hop) within ``depth`` hops of the seeds (id) over edges of weight ``least`` or more; seeds have hop 0."""
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None, least: float = 0.0, directed: bool = True) -> DataFrame:
+    """(id, hop) within ``depth`` hops (None: any) of the seeds (id) over edges of weight ``least`` or more; seeds have hop 0.
+
+    The edges are computed once and written; a round writes only its new frontier, and ends where there is none.
+    """
     e = edges.where(F.col("weight") >= least).select("src", "dst")
     if not directed:
         e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    seen = cut(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
-    for hop in range(1, depth + 1):
-        front = seen.where(F.col("hop") == hop - 1).select(F.col("id").alias("src"))
-        new = front.join(e, "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        seen = cut(seen.unionByName(new.withColumn("hop", F.lit(hop))))
+    e = written(e.distinct())
+    front = seen = written(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
+    hop = 0
+    while depth is None or hop < depth:
+        hop += 1
+        new = front.select(F.col("id").alias("src")).join(e, "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        front = written(new.withColumn("hop", F.lit(hop)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
     return seen
 
 
@@ -41,13 +49,13 @@ def batched_reach(edges: DataFrame, seeds: DataFrame, depth: int, max_degree: in
 
 def shortest_paths(edges: DataFrame, source: str, depth: int = 10) -> DataFrame:
     """(id, cost, path) of the cheapest directed paths of at most ``depth`` edges; cost 1 / weight, ties by path."""
-    e = edges.select("src", "dst", S.edge_cost(F.col("weight")).alias("c")).groupBy("src", "dst").agg(F.min("c").alias("c"))
-    best = cut(edges.sparkSession.range(1).select(F.lit(source).alias("id"), F.lit(0.0).alias("cost"), F.lit(source).alias("path"), F.lit(0).alias("at")))
+    e = written(edges.select("src", "dst", S.edge_cost(F.col("weight")).alias("c")).groupBy("src", "dst").agg(F.min("c").alias("c")))
+    best = written(edges.sparkSession.range(1).select(F.lit(source).alias("id"), F.lit(0.0).alias("cost"), F.lit(source).alias("path"), F.lit(0).alias("at")))
     for step in range(1, depth + 1):
         front = best.where(F.col("at") == step - 1).select(F.col("id").alias("src"), "cost", "path")
         new = front.join(e, "src").select(F.col("dst").alias("id"), (F.col("cost") + F.col("c")).alias("cost"), F.concat_ws(">", "path", "dst").alias("path"), F.lit(step).alias("at"))
         both = best.unionByName(new).groupBy("id").agg(F.min(F.struct(F.round("cost", 12).alias("k"), "path", "cost", "at")).alias("m"))
-        best = cut(both.select("id", "m.cost", "m.path", "m.at"))
+        best = written(both.select("id", "m.cost", "m.path", "m.at"))
         if best.where(F.col("at") == step).limit(1).count() == 0:
             break
     return best.select("id", "cost", "path")
@@ -55,15 +63,16 @@ def shortest_paths(edges: DataFrame, source: str, depth: int = 10) -> DataFrame:
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 50, damping: float = 0.85, every: int = 5) -> DataFrame:
     """(id, rank): no redistribution from nodes without edges; divided by the greatest."""
-    n = nodes.count()
+    ids = written(nodes.select("id"))
+    n, edges = ids.count(), written(edges.select("src", "dst"))
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    e = cut(edges.select("src", "dst").join(out, "src"))
-    rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
+    e = written(edges.join(out, "src"))
+    rank = ids.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
     for k in range(iterations):
         sent = e.join(rank.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        rank = nodes.select("id").join(sent.withColumnRenamed("dst", "id"), "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        rank = ids.join(sent.withColumnRenamed("dst", "id"), "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if k % every == every - 1:
-            rank = cut(rank)
+            rank = written(rank)
     top = rank.agg(F.max("rank").alias("top"))
     return rank.crossJoin(F.broadcast(top)).select("id", (F.col("rank") / F.greatest("top", F.lit(1e-9))).alias("rank"))
 
@@ -167,14 +176,14 @@ def louvain(nodes: DataFrame, edges: DataFrame, collection: str = "collection_id
 
 def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each node is linked with; distributed, for graphs of any size."""
-    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = cut(nodes.select("id", F.col("id").alias("component")))
+    both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    label = written(nodes.select("id", F.col("id").alias("component")))
     while True:
         got = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
-        step = cut(label.join(got, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("next"), "component"))
+        step = written(label.join(got, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("next"), "component"))
         moved = step.where("next <> component").limit(1).count()
         jump = step.select(F.col("id").alias("next"), F.col("next").alias("top"))
-        label = cut(step.select("id", "next").join(jump, "next").select("id", F.col("top").alias("component")))
+        label = written(step.select("id", "next").join(jump, "next").select("id", F.col("top").alias("component")))
         if not moved:
             return label
 

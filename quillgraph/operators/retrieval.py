@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars as S
+from quillgraph.operators.graph import reach
+from quillgraph.session import written
 
 K1, B = 1.2, 0.75
 WEIGHTS = (0.6, 0.3, 0.1)
@@ -19,13 +21,13 @@ def tokens(text: Column) -> Column:
 def bm25(docs: DataFrame, terms: list[str], k: int | None = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score, highlights of the ``k`` best (all if None); ties by key.
 
-    Only the query's term counts and the length leave a row, so the text is neither exploded nor shuffled; the corpus
-    statistics are one aggregated row, joined by broadcast.
+    Texts are read and split once: their length and the query's term counts are written as a narrow table, from which the
+    corpus statistics, one aggregated row that is joined by broadcast, and the scores come. No text is exploded or shuffled.
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
     rows = docs.select(F.col(key), tokens(F.col(text)).alias("ts"))
     tf = [F.size(F.filter("ts", _is(w))) for w in terms]
-    rows = rows.select(key, F.size("ts").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
+    rows = written(rows.select(key, F.size("ts").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)]))
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     both = rows.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row of statistics
     parts = []
@@ -70,3 +72,23 @@ def topic_postfilter(hits: DataFrame, topics: list[str]) -> DataFrame:
 
 def page(df: DataFrame, offset: int, limit: int, *order) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def graph_channel(edges: DataFrame, links: DataFrame, seeds: DataFrame, depth: int = 2, key: str = "chunk_id") -> DataFrame:
+    """(key, score): chunks by the nearest reached node that they mention, 1 / (hop + 1). ``links``: node, chunk."""
+    near = reach(edges, seeds, depth, directed=False)
+    return links.join(near, links["node"] == near["id"]).groupBy(F.col("chunk").alias(key)).agg(F.max(S.hop_score(F.col("hop"))).alias("score"))
+
+
+MODES = ("hybrid", "vector", "keyword", "graph")
+
+
+def search(vector: DataFrame | None, keyword: DataFrame | None, graph: DataFrame | None, mode: str = "hybrid", weights: tuple[float, float, float] = WEIGHTS, key: str = "chunk_id") -> DataFrame:
+    """The fused channels (key, score) of a mode; a channel that is missing or not of the mode scores 0, and a mode with one
+    channel takes its score as it is."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
+    channels = {"vector": vector, "keyword": keyword, "graph": graph}
+    some = next(c for c in channels.values() if c is not None)
+    taken = [c if c is not None and mode in ("hybrid", name) else some.limit(0) for name, c in channels.items()]
+    return fuse(*taken, weights if mode == "hybrid" else tuple(float(mode == n) for n in channels), key)

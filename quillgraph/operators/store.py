@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.session import cut
+
 
 def latest(rows: DataFrame, key: list[str], *order) -> DataFrame:
     """The first row of each key in the given order."""
@@ -36,9 +38,24 @@ def last_writer(rows: DataFrame, key: list[str], value: str, ts: str, seq: str)
     return rows.groupBy(*key).agg(F.max_by(value, F.struct(ts, seq)).alias(value), F.max(ts).alias(ts))
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Append JSON lines; readers order by the sequence in them."""
-    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+def numbered(rows: DataFrame, order: str, start: int = 0) -> DataFrame:
+    """``rows`` with ``sequence``: start, start + 1, ... in the order of a column.
+
+    Rows are range-partitioned, so no task sees them all; a partition's first number is the sum of the counts before it.
+    """
+    placed = cut(rows.repartitionByRange(order).sortWithinPartitions(order)).withColumn("m_", F.monotonically_increasing_id())
+    part, at = F.shiftright("m_", 33), F.col("m_").bitwiseAND((1 << 33) - 1)
+    placed = placed.select("*", part.alias("part_"), at.alias("at_")).drop("m_")
+    counts = placed.groupBy("part_").agg(F.count("*").alias("n_"))  # a row a partition
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select("part_", before.alias("first_"))
+    return placed.join(first, "part_").withColumn("sequence", F.col("first_") + F.col("at_") + start).drop("part_", "at_", "first_")
+
+
+def append_log(rows: DataFrame, path: str, order: str, start: int = 0) -> None:
+    """Append JSON lines, numbered from ``start`` in the order of a column and stamped; readers order by the number."""
+    stamped = numbered(rows, order, start).withColumn("timestamp", F.unix_millis(F.current_timestamp()))
+    stamped.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
 
 
 def read_log(spark, path: str, schema: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -144,9 +145,15 @@ def citations(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def span_positions(text: Column, span: Column) -> Column:
-    """1-based starts of all occurrences, overlapping ones too; none if the span is empty."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.when(F.length(span) > 0, F.filter(at, lambda i: F.substring(text, i, F.length(span)) == span)).otherwise(F.array().cast("array<int>"))
+    """1-based starts of all occurrences, overlapping ones too; none if the span is empty or either is null.
+
+    The text is split before each occurrence, where every part but the first begins, and the parts' lengths are summed: one pass, however long the text.
+    """
+    none = F.array().cast("array<int>")
+    before = F.concat(F.lit("(?=\\Q"), F.replace(span, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    start = F.struct(F.lit(1).alias("at"), none.alias("found"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.when((a["at"] > 1) | F.startswith(text, span), F.concat(a["found"], F.array(a["at"]))).otherwise(a["found"]).alias("found"))
+    return F.when(F.length(span) > 0, F.coalesce(F.aggregate(F.split(text, before), start, step, lambda a: a["found"]), none)).otherwise(none)
 
 
 def merge_tags(first: DataFrame, second: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -159,3 +166,55 @@ def merge_tags(first: DataFrame, second: DataFrame, key: str = "doc_id") -> Data
     return first.unionByName(second.join(a, hit, "left_anti"))
 
 
+
+
+_TOKEN = re.compile(r'"(?:\\.|[^"\\])*"?|[{}\]]', re.S)
+#: Arrays of an answer whose complete objects are kept when the rest is cut off.
+ANSWER_ARRAYS = ("topics", "entity_topic_links")
+
+
+def repair(answer: str | None) -> str | None:
+    """An answer as JSON text: without fences, then from its first to its last brace, then the complete objects of its arrays."""
+    text = (answer or "").strip()
+    for fence in ("```json", "```"):
+        text = text.removeprefix(fence)
+    text = text.removesuffix("```").strip()
+    lo, hi = text.find("{"), text.rfind("}")
+    inner = text[max(lo, 0) : hi + 1 if hi >= 0 else None]
+    for t in (text, inner):
+        try:
+            json.loads(t)
+            return t
+        except ValueError:
+            pass
+    found = {name: _complete(inner, name) for name in ANSWER_ARRAYS}
+    return json.dumps(found, ensure_ascii=False) if any(found.values()) else None
+
+
+def _complete(text: str, name: str) -> list:
+    """The objects of a named array that are closed and parse, up to its end or the end of the text."""
+    start = re.search(rf'"{re.escape(name)}"\s*:\s*\[', text)
+    out, opened = [], []
+    for m in _TOKEN.finditer(text, start.end()) if start else ():
+        if m[0] == "{":
+            opened.append(m.start())
+        elif m[0] == "}" and opened:
+            lo = opened.pop()
+            if not opened:
+                try:
+                    out.append(json.loads(text[lo : m.end()]))
+                except ValueError:
+                    pass
+        elif m[0] == "]" and not opened:
+            break
+    return out
+
+
+def repaired(answers: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, answer): each text repaired, null if nothing can be kept."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({key: p[key], "answer": p[text].map(repair)})
+
+    return answers.select(key, text).mapInPandas(run, f"{key} {answers.schema[key].dataType.simpleString()}, answer string")

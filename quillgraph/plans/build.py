@@ -29,7 +29,7 @@ def cooccurrence_edges(spark, d):
 def rel_to_edges(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     names = c.select(F.col("c_name").alias("name"), F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id")).unionByName(n.select(F.col("n_name").alias("name"), F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("id")))
-    rel = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("source"), F.when(F.col("c_custkey") % 3 == 0, "nowhere").otherwise(F.col("n_name")).alias("target"), F.lit("LOCATED_IN").alias("predicate"), F.lit(0.8).alias("confidence"))
+    rel = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("source"), F.when(F.col("c_custkey") % 3 == 0, "nowhere").otherwise(F.col("n_name")).alias("target"), F.lit("LOCATED_IN").alias("predicate"), F.lit(0.8).alias("confidence"))
     return B.relations_to_edges(rel, names)
 
 
@@ -91,9 +91,8 @@ def is_subtype_of(spark, d):
     """Reflexive-transitive closure of the parent links."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     parent = n.select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("t"), F.concat(F.lit("p:"), F.col("n_regionkey").cast("string")).alias("p"))
-    parent.createOrReplaceTempView("qg_parent")
-    r.select(F.concat(F.lit("p:"), F.col("r_regionkey").cast("string")).alias("t")).unionByName(parent.select("t")).createOrReplaceTempView("qg_types")
-    return spark.sql("WITH RECURSIVE c(t, up) AS (SELECT t, t FROM qg_types UNION ALL SELECT c.t, p.p FROM c JOIN qg_parent p ON c.up = p.t) SELECT t, up FROM c")
+    types = r.select(F.concat(F.lit("p:"), F.col("r_regionkey").cast("string")).alias("t")).unionByName(parent.select("t"))
+    return B.ancestors(types, parent)
 
 
 @register("prune_dangling_binary", f"WITH {N}, {E} SELECT src, dst, edge_type FROM edges WHERE src IN (SELECT id FROM nodes WHERE confidence > 0.5) AND dst IN (SELECT id FROM nodes WHERE confidence > 0.5)")
@@ -120,10 +119,10 @@ def prune_low_weight_topk(spark, d):
     return B.prune_low_weight(D.edges(spark, d), 0.2, 10).select("src", "dst", "weight")
 
 
-@register("adjacency_build", "WITH h AS (SELECT DISTINCT l_orderkey, 'p:' || l_partkey AS p FROM lineitem WHERE l_orderkey % 4 = 0) SELECT a.p AS node, b.p AS neighbour, 'out' AS direction FROM h a JOIN h b ON a.l_orderkey = b.l_orderkey AND a.p <> b.p UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'out' FROM supplier UNION ALL SELECT 'n:' || s_nationkey, 's:' || s_suppkey, 'in' FROM supplier")
+@register("adjacency_build", "WITH h AS (SELECT DISTINCT l_orderkey, 'p:' || l_partkey AS p FROM lineitem) SELECT a.p AS node, b.p AS neighbour, 'out' AS direction FROM h a JOIN h b ON a.l_orderkey = b.l_orderkey AND a.p <> b.p UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'out' FROM supplier UNION ALL SELECT 'n:' || s_nationkey, 's:' || s_suppkey, 'in' FROM supplier")
 def adjacency_build(spark, d):
     none = F.lit(None)
-    hyper = _hyper(spark, d).where("edge_id % 4 = 0").select(none.cast("string").alias("src"), none.cast("string").alias("dst"), "participants")
+    hyper = _hyper(spark, d).select(none.cast("string").alias("src"), none.cast("string").alias("dst"), "participants")
     s = table(spark, d, "supplier").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("src"), F.concat(F.lit("n:"), F.col("s_nationkey").cast("string")).alias("dst"), none.cast("array<string>").alias("participants"))
     return B.adjacency(hyper.unionByName(s))
 
@@ -142,17 +141,17 @@ i AS (SELECT lower(c_name) AS k, 'i' || c_custkey AS id, CASE WHEN c_custkey % 7
 _out = lambda df: df.select("dedup_key", "id", "description", F.array_join("aliases", ",").alias("aliases"), F.round("confidence", 6).alias("confidence"))
 
 
-@register("merge_keep_first", f"WITH {_SIDES} SELECT coalesce(e.k, i.k) AS dedup_key, coalesce(e.id, i.id) AS id, coalesce(e.de, i.de) AS description, coalesce(e.al, i.al) AS aliases, coalesce(e.co, i.co) AS confidence FROM e FULL JOIN i ON e.k = i.k")
+@register("merge_keep_first", f"WITH {_SIDES} SELECT coalesce(e.k, i.k) AS dedup_key, coalesce(e.id, i.id) AS id, CASE WHEN e.k IS NULL THEN i.de ELSE e.de END AS description, coalesce(e.al, i.al) AS aliases, coalesce(e.co, i.co) AS confidence FROM e FULL JOIN i ON e.k = i.k")
 def merge_keep_first(spark, d):
     return _out(B.merge_nodes(*_sides(spark, d), "keep_first"))
 
 
-@register("merge_keep_last", f"WITH {_SIDES} SELECT coalesce(e.k, i.k) AS dedup_key, coalesce(e.id, i.id) AS id, coalesce(i.de, e.de) AS description, coalesce(i.al, e.al) AS aliases, coalesce(i.co, e.co) AS confidence FROM e FULL JOIN i ON e.k = i.k")
+@register("merge_keep_last", f"WITH {_SIDES} SELECT coalesce(e.k, i.k) AS dedup_key, coalesce(e.id, i.id) AS id, CASE WHEN i.k IS NULL THEN e.de ELSE i.de END AS description, coalesce(i.al, e.al) AS aliases, coalesce(i.co, e.co) AS confidence FROM e FULL JOIN i ON e.k = i.k")
 def merge_keep_last(spark, d):
     return _out(B.merge_nodes(*_sides(spark, d), "keep_last"))
 
 
-_MERGED = f"WITH {_SIDES} SELECT coalesce(e.k, i.k) AS dedup_key, coalesce(e.id, i.id) AS id, CASE WHEN e.de IS NOT NULL AND i.de IS NOT NULL AND e.de <> i.de THEN concat(e.de, ' | ', i.de) ELSE coalesce(e.de, i.de) END AS description, CASE WHEN e.k IS NULL THEN i.al WHEN i.k IS NULL THEN e.al ELSE concat(e.al, ',x') END AS aliases, round(CASE WHEN e.k IS NULL THEN i.co WHEN i.k IS NULL THEN e.co ELSE (e.co + i.co) / 2 END, 6) AS confidence FROM e FULL JOIN i ON e.k = i.k"
+_MERGED = f"WITH {_SIDES} SELECT coalesce(e.k, i.k) AS dedup_key, coalesce(e.id, i.id) AS id, CASE WHEN e.de IS NOT NULL AND i.de IS NOT NULL THEN concat(e.de, ' | ', i.de) ELSE coalesce(e.de, i.de) END AS description, CASE WHEN e.k IS NULL THEN i.al WHEN i.k IS NULL THEN e.al ELSE concat(e.al, ',x') END AS aliases, round(CASE WHEN e.k IS NULL THEN i.co WHEN i.k IS NULL THEN e.co ELSE (e.co + i.co) / 2 END, 6) AS confidence FROM e FULL JOIN i ON e.k = i.k"
 
 
 @register("merge_field_overwrite", _MERGED)
@@ -160,9 +159,54 @@ def merge_field_overwrite(spark, d):
     return _out(B.merge_nodes(*_sides(spark, d)))
 
 
-@register("nodes_merge_on_key", _MERGED)
+def _full(df, side: str):
+    """All fields of a node, some of them missing."""
+    k = F.expr("cast(substring(id, 2) as long)")
+    given = lambda m, c: F.when(k % m != 0, c)
+    props = F.create_map(F.lit("both"), F.lit(side), F.concat(F.lit("of_"), F.lit(side)), k.cast("string"))
+    return df.select("*", given(4, F.concat(F.lit(side), k.cast("string"))).alias("display_label"), given(3, F.lit(side)).alias("ontology_class"), F.array(F.lit("d0"), F.concat(F.lit("d"), F.lit(side))).alias("doc_origins"), props.alias("properties"))
+
+
+@register("nodes_merge_on_key", f"""WITH {_SIDES}, x AS (SELECT e.*, substring(id, 2)::BIGINT AS n FROM e), y AS (SELECT i.*, substring(id, 2)::BIGINT AS n FROM i)
+SELECT coalesce(x.k, y.k) AS dedup_key, coalesce(x.id, y.id) AS id, CASE WHEN x.n % 4 <> 0 THEN 'e' || x.n WHEN y.n % 4 <> 0 THEN 'i' || y.n END AS display_label, CASE WHEN x.n % 3 <> 0 THEN 'e' WHEN y.n % 3 <> 0 THEN 'i' END AS ontology_class,
+CASE WHEN x.k IS NULL THEN 'd0,di' WHEN y.k IS NULL THEN 'd0,de' ELSE 'd0,de,di' END AS doc_origins,
+CASE WHEN x.k IS NULL THEN 'both=i,of_i=' || y.n WHEN y.k IS NULL THEN 'both=e,of_e=' || x.n ELSE 'both=e,of_e=' || x.n || ',of_i=' || y.n END AS properties FROM x FULL JOIN y ON x.k = y.k""")
 def nodes_merge_on_key(spark, d):
-    return _out(B.merge_nodes(*_sides(spark, d)))
+    """The fields that ``merge_field_overwrite`` doesn't show."""
+    e, i = _sides(spark, d)
+    out = B.merge_nodes(_full(e, "e"), _full(i, "i"))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("properties"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ",")
+    return out.select("dedup_key", "id", "display_label", "ontology_class", F.array_join("doc_origins", ",").alias("doc_origins"), shown.alias("properties"))
+
+
+def _edge_sides(spark, d):
+    """Edges order -> part as two feeds saw them, keyed by order and part."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_quantity").alias("q"), F.min("l_shipdate").alias("t"), F.min("l_returnflag").alias("f"), F.min("l_suppkey").alias("s"))
+    k = F.concat_ws(">", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"))
+    given = lambda m, c: F.when(F.col("l_partkey") % m != 0, c)
+
+    def side(p: str, rows, m: int):
+        return rows.select(
+            k.alias("dedup_key"), F.concat(F.lit(p), k).alias("id"), given(m, F.concat(F.lit(p), F.col("f"))).alias("context"), F.when(F.col("l_partkey") % (m + 1) == 0, "").otherwise(F.lit(f"{p}_has")).alias("predicate"),
+            given(m + 2, F.col("t").cast("date").cast("string")).alias("time"), given(m, F.lit(f"at_{p}")).alias("location"), given(m + 1, F.array(F.lit("o"), F.concat(F.lit(p), F.col("s").cast("string")))).alias("participants"),
+            F.array(F.lit("d"), F.lit(p)).alias("doc_origins"), (F.col("q") / (10 * m)).alias("weight"),
+        )
+
+    return side("e", li.where("l_partkey % 2 = 0 OR l_orderkey % 3 = 0"), 3), side("i", li.where("l_partkey % 2 = 1 OR l_orderkey % 5 = 0"), 2)
+
+
+_EDGE_SIDES = """li AS (SELECT l_orderkey AS o, l_partkey AS p, min(l_quantity) AS q, min(l_shipdate) AS t, min(l_returnflag) AS f, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
+e AS (SELECT o || '>' || p AS k, CASE WHEN p % 3 <> 0 THEN 'e' || f END AS cx, CASE WHEN p % 4 = 0 THEN '' ELSE 'e_has' END AS pr, CASE WHEN p % 5 <> 0 THEN t::DATE::VARCHAR END AS tm, CASE WHEN p % 3 <> 0 THEN 'at_e' END AS lo, CASE WHEN p % 4 <> 0 THEN 'o,e' || s END AS pa, q / 30 AS w FROM li WHERE p % 2 = 0 OR o % 3 = 0),
+i AS (SELECT o || '>' || p AS k, CASE WHEN p % 2 <> 0 THEN 'i' || f END AS cx, CASE WHEN p % 3 = 0 THEN '' ELSE 'i_has' END AS pr, CASE WHEN p % 4 <> 0 THEN t::DATE::VARCHAR END AS tm, CASE WHEN p % 2 <> 0 THEN 'at_i' END AS lo, CASE WHEN p % 3 <> 0 THEN 'o,i' || s END AS pa, q / 20 AS w FROM li WHERE p % 2 = 1 OR o % 5 = 0)"""
+
+
+@register("merge_field_overwrite_edges", f"""WITH {_EDGE_SIDES} SELECT coalesce(e.k, i.k) AS dedup_key, CASE WHEN e.k IS NOT NULL THEN 'e' || e.k ELSE 'i' || i.k END AS id, CASE WHEN e.cx IS NOT NULL AND i.cx IS NOT NULL THEN e.cx || ' | ' || i.cx ELSE coalesce(e.cx, i.cx) END AS context,
+coalesce(nullif(e.pr, ''), i.pr, e.pr) AS predicate, coalesce(e.tm, i.tm) AS time, coalesce(e.lo, i.lo) AS location, CASE WHEN e.pa IS NOT NULL AND i.pa IS NOT NULL THEN e.pa || substring(i.pa, 2) ELSE coalesce(e.pa, i.pa) END AS participants,
+CASE WHEN e.k IS NULL THEN 'd,i' WHEN i.k IS NULL THEN 'd,e' ELSE 'd,e,i' END AS doc_origins, round(CASE WHEN e.k IS NULL THEN i.w WHEN i.k IS NULL THEN e.w ELSE (e.w + i.w) / 2 END, 6) AS weight FROM e FULL JOIN i ON e.k = i.k""")
+def merge_field_overwrite_edges(spark, d):
+    out = B.merge_edges(*_edge_sides(spark, d))
+    listed = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("dedup_key", "id", "context", "predicate", "time", "location", listed("participants"), listed("doc_origins"), F.round("weight", 6).alias("weight"))
 
 
 @register("merge_into_collection", f"WITH {_SIDES} SELECT count(*) FILTER (WHERE e.k IS NOT NULL) AS merged, count(*) FILTER (WHERE e.k IS NULL) AS inserted FROM i LEFT JOIN e ON e.k = i.k")
@@ -193,15 +237,22 @@ def detect_edge_conflicts(spark, d):
     return B.conflicts(g.agg(F.min("l_returnflag").alias("predicate")), g.agg(F.max("l_returnflag").alias("predicate")), ["predicate"])
 
 
-@register("merge_nodes_resolved", "SELECT l_orderkey, round(list_reduce(list(l_discount::DOUBLE ORDER BY l_linenumber, l_discount), lambda a, x: (a + x) / 2), 12) AS confidence, count(*) AS n FROM lineitem GROUP BY 1")
+@register("merge_nodes_resolved", """WITH r AS (SELECT l_orderkey AS k, 'p' || (l_partkey % 7) AS name, l_discount::DOUBLE AS c, repeat('x', l_quantity::INT) AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_discount, l_partkey, l_suppkey, l_quantity) AS s FROM lineitem),
+m AS (SELECT k, list_reduce(list_prepend(0.9::DOUBLE, list(c ORDER BY s)), lambda a, x: (a + x) / 2) AS c, max(length(t)) AS t FROM r GROUP BY 1),
+a AS (SELECT k, string_agg(name, ',' ORDER BY s) AS names FROM (SELECT k, name, min(s) AS s FROM r WHERE name <> 'p1' GROUP BY 1, 2) GROUP BY 1)
+SELECT o_orderkey AS id, round(coalesce(c, 0.9) + 1e-12, 8) AS confidence, concat_ws(',', 'p1', names) AS aliases, greatest(coalesce(t, 0), 12) AS longest FROM orders LEFT JOIN m ON m.k = o_orderkey LEFT JOIN a ON a.k = o_orderkey""")
 def merge_nodes_resolved(spark, d):
-    return B.running_mean(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_discount").select("l_orderkey", F.round("confidence", 12).alias("confidence"), F.col("n").cast("long").alias("n"))
+    seq = F.struct("l_linenumber", "l_discount", "l_partkey", "l_suppkey", "l_quantity").alias("seq")
+    incoming = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), seq, F.concat(F.lit("p"), (F.col("l_partkey") % 7).cast("string")).alias("name"), F.lit(None).cast("array<string>").alias("aliases"), F.col("l_discount").cast("double").alias("confidence"), F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("description"))
+    canonical = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0.9).alias("confidence"), F.array(F.lit("p1")).alias("aliases"), F.lit("twelve chars").alias("description"))
+    out = B.merge_resolved(canonical, incoming, "seq")
+    return out.select("id", F.round(F.col("confidence") + 1e-12, 8).alias("confidence"), F.array_join("aliases", ",").alias("aliases"), F.length("description").alias("longest"))
 
 
 @register("flush_graph_merge", "WITH g AS (SELECT concat(c_mktsegment, '::', lower(n_name)) AS k, min(c_custkey) AS id, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1) SELECT c_custkey, g.id AS merged_id FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN g ON g.k = concat(c_mktsegment, '::', lower(n_name))")
 def flush_graph_merge(spark, d):
     """Nodes of one type and label become the first; references are re-pointed to it."""
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     c = c.select("c_custkey", F.concat_ws("::", "c_mktsegment", F.lower("n_name")).alias("k"))
     return c.join(c.groupBy("k").agg(F.min("c_custkey").alias("merged_id")), "k").select("c_custkey", "merged_id")
 

@@ -129,3 +129,25 @@ def ann_rebuild(spark, d):
     if mean is not None and mean < 0.9:
         raise ValueError(f"recall {mean:.3f} is under 0.9")
     return near.join(recall, "query").select(F.col("query").alias("query_id"), "vec_id", "distance", "rank", "recall")
+
+
+_TYPE = "CASE p_size % 5 WHEN 0 THEN 'graph' WHEN 1 THEN 'list' WHEN 2 THEN 'temporal_graph' WHEN 3 THEN 'tree' ELSE 'hypergraph' END"
+_METHOD = "CASE p_partkey % 6 WHEN 0 THEN 'graph_rag' WHEN 1 THEN 'two_stage' WHEN 2 THEN 'deep' WHEN 3 THEN 'standard' END"
+
+
+@register("template_validate", f"""WITH t AS (SELECT p_partkey, {_TYPE} AS type, {_METHOD} AS method, CASE WHEN p_partkey % 7 = 0 THEN 'name' WHEN p_partkey % 11 <> 0 THEN '{{name}}' END AS ek, p_partkey % 13 <> 0 AS ids, p_partkey % 17 = 0 AS twice FROM part),
+c AS (SELECT *, type IN ('graph', 'temporal_graph', 'hypergraph') AS g FROM t),
+e AS (SELECT *, concat_ws(',', CASE WHEN type = 'tree' THEN 'type' END, CASE WHEN method = 'deep' THEN 'method' END, CASE WHEN ek = 'name' THEN 'entity_key' END, CASE WHEN twice THEN 'entity_fields' END, CASE WHEN g AND ek IS NULL THEN 'entity_schema' END, CASE WHEN g AND NOT ids THEN 'identifiers' END) AS errors FROM c)
+SELECT p_partkey, errors = '' AS valid, errors, CASE WHEN errors = '' THEN concat_ws(',', CASE WHEN NOT g THEN 'incompatible' END, CASE WHEN method = 'graph_rag' THEN 'not_implemented' END) ELSE '' END AS warnings FROM e""")
+def template_validate(spark, d):
+    from quillgraph.operators import templates
+
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    rows = p.select(
+        k, F.col("p_name").alias("name"), F.expr(_TYPE).alias("type"), none.alias("mode"), F.expr(_METHOD).alias("method"), none.alias("merge_nodes"), F.lit("keep_last").alias("merge_edges"),
+        F.when(k % 7 == 0, "name").when(k % 11 != 0, "{name}").alias("entity_key"), F.lit("{name} ({type})").alias("entity_label"), F.when(k % 17 == 0, F.array(F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("a"))).alias("entity_fields"),
+        F.lit("{source}>{target}").alias("relation_key"), F.array(F.lit("source"), F.lit("target")).alias("relation_fields"), (k % 13 != 0).alias("has_identifiers"),
+    )
+    listed = lambda c: F.array_join(c, ",").alias(c)
+    return templates.validate(rows).select("p_partkey", "valid", listed("errors"), listed("warnings"))

@@ -10,17 +10,18 @@ from quillgraph.registry import register
 from quillgraph.session import table
 from quillgraph.sources import domain as D
 
-N, E, SE = D.NODES_SQL, D.EDGES_SQL, D.SMALL_EDGES_SQL
+N, E = (x.replace(" AS (", " AS MATERIALIZED (", 1) for x in (D.NODES_SQL, D.EDGES_SQL))
 
 
 def seeds(spark, *ids):
     return spark.createDataFrame([(i,) for i in ids], "id string")
 
 
-def _reach_sql(edges: str, seed: str, depth: int, least: float = 0.0) -> str:
-    out = [edges, f"r0 AS (SELECT unnest({seed}) AS id, 0 AS hop)"]
+def _reach_sql(edges: str, seed: str, depth: int, least: float = 0.0, directed: bool = True) -> str:
+    both = "SELECT src, dst FROM edges WHERE weight >= {0}" + ("" if directed else " UNION SELECT dst, src FROM edges WHERE weight >= {0}")
+    out = [edges, f"hops AS MATERIALIZED ({both.format(least)})", f"r0 AS (SELECT unnest({seed}) AS id, 0 AS hop)"]
     for k in range(1, depth + 1):
-        out.append(f"r{k} AS (SELECT * FROM r{k-1} UNION ALL SELECT DISTINCT dst, {k} FROM r{k-1} JOIN edges ON src = id AND hop = {k-1} AND weight >= {least} WHERE dst NOT IN (SELECT id FROM r{k-1}))")
+        out.append(f"r{k} AS MATERIALIZED (SELECT id, min(hop) AS hop FROM (SELECT * FROM r{k-1} UNION ALL SELECT dst, {k} FROM r{k-1} JOIN hops ON src = id WHERE hop = {k-1}) GROUP BY id)")
     return ", ".join(out)
 
 
@@ -43,9 +44,9 @@ def batched_bfs(spark, d):
     return G.batched_reach(D.edges(spark, d), seeds(spark, "s:1", "s:7", "c:3"), 2, 5)
 
 
-@register("reachable_check", f"WITH {_reach_sql(SE, ['c:1'], 3)} SELECT count(*) > 0 AS reachable FROM r3 WHERE id LIKE 'r:%'")
+@register("reachable_check", f"WITH {_reach_sql(E, ['c:1'], 3)} SELECT count(*) > 0 AS reachable FROM r3 WHERE id LIKE 'r:%'")
 def reachable_check(spark, d):
-    return G.reach(D.edges(spark, d, parts=False), seeds(spark, "c:1"), 3).agg((F.count_if(F.col("id").startswith("r:")) > 0).alias("reachable"))
+    return G.reach(D.edges(spark, d), seeds(spark, "c:1"), 3).agg((F.count_if(F.col("id").startswith("r:")) > 0).alias("reachable"))
 
 
 @register("shortest_path", f"""WITH {E}, p AS (
@@ -57,9 +58,10 @@ def shortest_path(spark, d):
     return G.shortest_paths(D.edges(spark, d), "s:3").select("id", F.round("cost", 6).alias("cost"), "path")
 
 
-@register("path_unweighted", f"""WITH {SE}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), {_reach_sql("x AS (SELECT 1)", ["c:1"], 4).replace("JOIN edges ON src = id AND hop = 0 AND weight >= 0.0", "JOIN u ON src = id AND hop = 0").replace("JOIN edges ON src = id AND hop = 1 AND weight >= 0.0", "JOIN u ON src = id AND hop = 1").replace("JOIN edges ON src = id AND hop = 2 AND weight >= 0.0", "JOIN u ON src = id AND hop = 2").replace("JOIN edges ON src = id AND hop = 3 AND weight >= 0.0", "JOIN u ON src = id AND hop = 3")} SELECT id, hop FROM r4""")
+@register("path_unweighted", f"WITH {_reach_sql(E, ['c:1'], 12, directed=False)} SELECT id, hop FROM r12")
 def path_unweighted(spark, d):
-    return G.reach(D.edges(spark, d, parts=False), seeds(spark, "c:1"), 4, directed=False)
+    """Any number of hops; no two nodes of the star schema are over twelve apart, where its SQL stops."""
+    return G.reach(D.edges(spark, d), seeds(spark, "c:1"), None, directed=False)
 
 
 @register("neighbors_1hop", f"WITH {E} SELECT DISTINCT n FROM (SELECT dst AS n FROM edges WHERE src = 's:4' UNION SELECT src FROM edges WHERE dst = 's:4') ORDER BY n LIMIT 20")
@@ -69,18 +71,18 @@ def neighbors_1hop(spark, d):
 
 
 def _pagerank_sql(k: int) -> str:
-    out = [N, SE, "deg AS (SELECT src, count(*) AS deg FROM edges GROUP BY src)", "cnt AS (SELECT count(*) AS n FROM nodes)", "k0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM nodes, cnt)"]
+    out = [N, E, "deg AS MATERIALIZED (SELECT src, count(*) AS deg FROM edges GROUP BY src)", "cnt AS (SELECT count(*) AS n FROM nodes)", "k0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM nodes, cnt)"]
     for i in range(1, k + 1):
-        out.append(f"g{i} AS (SELECT dst, sum(rank / deg) AS got FROM edges JOIN deg USING (src) JOIN k{i-1} ON k{i-1}.id = src GROUP BY dst), k{i} AS (SELECT id, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(got, 0) AS rank FROM nodes LEFT JOIN g{i} ON dst = id, cnt)")
+        out.append(f"g{i} AS MATERIALIZED (SELECT dst, sum(rank / deg) AS got FROM edges JOIN deg USING (src) JOIN k{i-1} ON k{i-1}.id = src GROUP BY dst), k{i} AS MATERIALIZED (SELECT id, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(got, 0) AS rank FROM nodes LEFT JOIN g{i} ON dst = id, cnt)")
     return ", ".join(out)
 
 
-@register("pagerank", f"WITH {_pagerank_sql(10)} SELECT id, round(rank / (SELECT max(rank) FROM k10), 6) AS rank FROM k10")
+@register("pagerank", f"WITH {_pagerank_sql(50)} SELECT id, round(rank / (SELECT max(rank) FROM k50), 6) AS rank FROM k50")
 def pagerank(spark, d):
-    return G.pagerank(D.nodes(spark, d), D.edges(spark, d, parts=False), 10).select("id", F.round("rank", 6).alias("rank"))
+    return G.pagerank(D.nodes(spark, d), D.edges(spark, d), 50).select("id", F.round("rank", 6).alias("rank"))
 
 
-@register("topk_scores", f"WITH {_pagerank_sql(10)} SELECT id, round(rank / (SELECT max(rank) FROM k10), 6) AS rank FROM k10 ORDER BY rank DESC, id LIMIT 20")
+@register("topk_scores", f"WITH {_pagerank_sql(50)} SELECT id, round(rank / (SELECT max(rank) FROM k50), 6) AS rank FROM k50 ORDER BY rank DESC, id LIMIT 20")
 def topk_scores(spark, d):
     return pagerank(spark, d).orderBy(F.desc("rank"), "id").limit(20)
 
@@ -96,9 +98,16 @@ def louvain(spark, d):
     return G.louvain(n.withColumn("collection_id", F.lit("c1")), e.withColumn("collection_id", F.lit("c1")))
 
 
-@register("label_components", f"WITH {N}, {SE} SELECT id, CASE entity_type WHEN 'Part' THEN id ELSE (SELECT min(m.id) FROM nodes m WHERE m.entity_type <> 'Part' AND m.id IN (SELECT id FROM comp c2 WHERE c2.r = comp.r)) END AS component FROM nodes LEFT JOIN comp USING (id)".replace("SELECT id, CASE", ", nr AS (SELECT n_nationkey, n_regionkey AS r FROM nation), comp AS (SELECT 'r:' || r_regionkey AS id, r_regionkey AS r FROM region UNION ALL SELECT 'n:' || n_nationkey, r FROM nr UNION ALL SELECT 'c:' || c_custkey, r FROM customer JOIN nr ON n_nationkey = c_nationkey UNION ALL SELECT 's:' || s_suppkey, r FROM supplier JOIN nr ON n_nationkey = s_nationkey), lo AS (SELECT r, min(id) AS lo FROM comp GROUP BY r) SELECT id, coalesce(lo, id) AS component FROM nodes LEFT JOIN comp USING (id) LEFT JOIN lo USING (r) --", 1))
+def _components_sql(k: int) -> str:
+    out = [N, E, "u AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)", "l0 AS (SELECT id, id AS component FROM nodes)"]
+    for i in range(1, k + 1):
+        out.append(f"l{i} AS MATERIALIZED (SELECT id, min(component) AS component FROM (SELECT * FROM l{i-1} UNION ALL SELECT src, component FROM u JOIN l{i-1} ON id = dst) GROUP BY id)")
+    return ", ".join(out)
+
+
+@register("label_components", f"WITH {_components_sql(14)} SELECT id, component FROM l14")
 def label_components(spark, d):
-    return G.label_components(D.nodes(spark, d), D.edges(spark, d, parts=False))
+    return G.label_components(D.nodes(spark, d), D.edges(spark, d))
 
 
 _COMM = "comm AS (SELECT s_suppkey AS id, s_nationkey AS community FROM supplier)"
@@ -145,10 +154,10 @@ def graph_full(spark, d):
     return n.unionByName(D.edges(spark, d).select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-@register("subgraph_filter", f"""WITH {N}, {E}, f AS (SELECT id FROM nodes WHERE entity_type IN ('Customer', 'Nation', 'Region') AND (entity_type <> 'Customer' OR confidence >= 0.5)),
+@register("subgraph_filter", f"""WITH {N}, {E}, f AS (SELECT id FROM nodes WHERE entity_type IN ('Supplier', 'Nation', 'Region') AND (entity_type <> 'Supplier' OR confidence >= 0.3)),
 pg AS (SELECT id FROM f ORDER BY id LIMIT 500) SELECT src, dst, edge_type FROM edges WHERE src IN (SELECT id FROM pg) AND dst IN (SELECT id FROM pg)""")
 def subgraph_filter(spark, d):
-    n = D.nodes(spark, d).where("entity_type IN ('Customer', 'Nation', 'Region') AND (entity_type <> 'Customer' OR confidence >= 0.5)")
+    n = D.nodes(spark, d).where("entity_type IN ('Supplier', 'Nation', 'Region') AND (entity_type <> 'Supplier' OR confidence >= 0.3)")
     return G.subgraph(D.edges(spark, d), n.orderBy("id").limit(500)).select("src", "dst", "edge_type")
 
 
@@ -193,10 +202,10 @@ def agent_topn_per_hop(spark, d):
     return D.edges(spark, d).where("edge_type = 'supplies'").withColumn("r", F.row_number().over(w)).where("r <= 3").select("src", "dst")
 
 
-@register("export_graphml", f"""WITH {N}, {SE} SELECT 0 AS part, id AS k, format('<node id="{{}}"><data key="label">{{}}</data><data key="type">{{}}</data></node>', id, replace(label, '&', '&amp;'), entity_type) AS line FROM nodes
+@register("export_graphml", f"""WITH {N}, {E} SELECT 0 AS part, id AS k, format('<node id="{{}}"><data key="label">{{}}</data><data key="type">{{}}</data></node>', id, replace(label, '&', '&amp;'), entity_type) AS line FROM nodes
 UNION ALL SELECT 1, concat(src, '>', dst), format('<edge source="{{}}" target="{{}}"><data key="predicate">{{}}</data></edge>', src, dst, edge_type) FROM edges""")
 def export_graphml(spark, d):
-    return G.graphml(D.nodes(spark, d), D.edges(spark, d, parts=False))
+    return G.graphml(D.nodes(spark, d), D.edges(spark, d))
 
 
 @register("export_json", f"""WITH {N} SELECT id, concat('{{"id":"', id, '","label":"', label, '","entity_type":"', entity_type, '"}}') AS json FROM nodes""")

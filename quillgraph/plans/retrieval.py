@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import retrieval as R
 from quillgraph.registry import register
 from quillgraph.session import table
+from quillgraph.sources import domain as D
 
 TERMS = ["the", "and", "die", "que", "thereas"]
 _TS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '' AND length(t) <= 40)"
@@ -67,10 +68,15 @@ def paginate(spark, d):
     return R.page(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 50, 25, F.desc("o_totalprice"), "o_orderkey")
 
 
+#: A chunk mentions the suppliers of the order of its number; the graph search starts at one supplier.
 FUSED = f"""
+{D.EDGES_SQL},
 v AS (SELECT vec_id AS id, greatest(0, 1 - distance) AS s FROM ve ORDER BY round(distance, 9), vec_id LIMIT 40),
 k AS (SELECT doc_id AS id, score / (score + 1) AS s FROM bm ORDER BY score DESC, doc_id LIMIT 40),
-g AS (SELECT doc_id AS id, 1.0::DOUBLE / (1 + doc_id % 3) AS s FROM documents WHERE doc_id % 11 = 0 ORDER BY s DESC, id LIMIT 40),
+u AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+n1 AS MATERIALIZED (SELECT 's:2' AS id, 0 AS hop UNION SELECT dst, 1 FROM u WHERE src = 's:2'),
+n2 AS MATERIALIZED (SELECT id, min(hop) AS hop FROM (SELECT * FROM n1 UNION ALL SELECT dst, 2 FROM n1 JOIN u ON src = id) GROUP BY 1),
+g AS (SELECT doc_id AS id, max(1.0::DOUBLE / (hop + 1)) AS s FROM n2 JOIN lineitem ON id = 's:' || l_suppkey JOIN documents ON doc_id = l_orderkey GROUP BY 1 ORDER BY s DESC, 1 LIMIT 40),
 fu AS (SELECT coalesce(v.id, k.id, g.id) AS chunk_id, coalesce(v.s, 0) AS vs, coalesce(k.s, 0) AS ks, coalesce(g.s, 0) AS gs
        FROM v FULL JOIN k ON k.id = v.id FULL JOIN g ON g.id = coalesce(v.id, k.id))"""
 
@@ -78,7 +84,9 @@ fu AS (SELECT coalesce(v.id, k.id, g.id) AS chunk_id, coalesce(v.s, 0) AS vs, co
 def _channels(spark, d):
     v = R.vector_top(table(spark, d, "embeddings"), _query_vector(spark, d), None).orderBy(F.round("distance", 9), "vec_id").limit(40)
     k = R.bm25(table(spark, d, "documents"), TERMS, 40)
-    g = table(spark, d, "documents").where("doc_id % 11 = 0").select(F.col("doc_id").alias("chunk_id"), (1.0 / (1 + F.col("doc_id") % 3)).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(40)
+    known = table(spark, d, "documents").select(F.col("doc_id").alias("chunk"))
+    links = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("node")).join(known, "chunk", "left_semi")
+    g = R.graph_channel(D.edges(spark, d), links, spark.createDataFrame([("s:2",)], "id string")).orderBy(F.desc("score"), "chunk_id").limit(40)
     return v.select(F.col("vec_id").alias("chunk_id"), F.col("vector_score").alias("score")), k.select(F.col("doc_id").alias("chunk_id"), (F.col("score") / (F.col("score") + 1)).alias("score")), g
 
 
@@ -93,14 +101,47 @@ def fuse_union(spark, d):
     return v.select("chunk_id").union(k.select("chunk_id")).union(g.select("chunk_id")).distinct()
 
 
+_SHOWN = "round(vs, 5) AS vector_score, round(ks, 5) AS keyword_score, round(gs, 5) AS graph_score"
+
+
+def _found(spark, d, mode: str, offset: int, limit: int, topics: list[str] | None = None):
+    """A page of the mode's results with snippets, after the topic filter."""
+    fused = R.search(*_channels(spark, d), mode)
+    text = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.left("text", F.lit(80)).alias("snippet"), F.array("lang").alias("topics"))
+    rows = text.join(fused, "chunk_id")
+    rows = R.topic_postfilter(rows, topics) if topics else rows
+    r5 = lambda c: F.round(c, 5).alias(c)
+    rows = rows.select("chunk_id", *map(r5, ("vector_score", "keyword_score", "graph_score", "final_score")), "snippet")
+    return R.page(rows, offset, limit, F.desc("final_score"), "chunk_id")
+
+
 @register("hybrid_search", f"""WITH {VEC}, {BM25}, {FUSED}
-SELECT chunk_id, round(vs, 5) AS vector_score, round(ks, 5) AS keyword_score, round(gs, 5) AS graph_score, round(0.6 * vs + 0.3 * ks + 0.1 * gs, 5) AS final_score, left(text, 80) AS snippet
+SELECT chunk_id, {_SHOWN}, round(0.6 * vs + 0.3 * ks + 0.1 * gs, 5) AS final_score, left(text, 80) AS snippet
 FROM fu JOIN documents ON doc_id = chunk_id ORDER BY final_score DESC, chunk_id LIMIT 20""")
 def hybrid_search(spark, d):
-    fused = R.fuse(*_channels(spark, d))
-    text = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.left("text", F.lit(80)).alias("snippet"))
-    r5 = lambda c: F.round(c, 5).alias(c)
-    return text.join(F.broadcast(fused), "chunk_id").select("chunk_id", *map(r5, ("vector_score", "keyword_score", "graph_score", "final_score")), "snippet").orderBy(F.desc("final_score"), "chunk_id").limit(20)
+    return _found(spark, d, "hybrid", 0, 20)
+
+
+@register("hybrid_search_page", f"""WITH {VEC}, {BM25}, {FUSED}
+SELECT chunk_id, {_SHOWN}, round(0.6 * vs + 0.3 * ks + 0.1 * gs, 5) AS final_score, left(text, 80) AS snippet
+FROM fu JOIN documents ON doc_id = chunk_id WHERE lower(lang) IN ('en', 'de') ORDER BY final_score DESC, chunk_id LIMIT 15 OFFSET 10""")
+def hybrid_search_page(spark, d):
+    """With a topic filter (a text's topic is its language) and an offset."""
+    return _found(spark, d, "hybrid", 10, 15, ["EN", "de"])
+
+
+def _one_channel(mode: str, score: str) -> None:
+    rest = {"vs": "0.0::DOUBLE", "ks": "0.0::DOUBLE", "gs": "0.0::DOUBLE"} | {score: f"round({score}, 5)"}
+    sql = f"""WITH {VEC}, {BM25}, {FUSED} SELECT chunk_id, {rest["vs"]} AS vector_score, {rest["ks"]} AS keyword_score, {rest["gs"]} AS graph_score, round({score}, 5) AS final_score, left(text, 80) AS snippet
+FROM fu JOIN documents ON doc_id = chunk_id WHERE {score} > 0 ORDER BY final_score DESC, chunk_id LIMIT 20"""
+
+    @register(f"search_{mode}", sql)
+    def one(spark, d):
+        return _found(spark, d, mode, 0, 20)
+
+
+for _mode, _score in (("vector", "vs"), ("keyword", "ks"), ("graph", "gs")):
+    _one_channel(_mode, _score)
 
 
 @register("topic_centroid", "SELECT label, pos::INT AS pos, round(avg(x::DOUBLE), 5) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY 1, 2")

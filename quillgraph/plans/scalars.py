@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars as S
+from quillgraph.operators import text as X
 from quillgraph.registry import register
 from quillgraph.session import table
 from quillgraph.sources import domain as D
@@ -18,9 +19,9 @@ def normalize_name(spark, d):
     return table(spark, d, "part").select("p_name", S.normalize_name(F.col("p_name")).alias("norm")).distinct()
 
 
-@register("normalize_ascii", r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(trim(left(text, 200))), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM documents")
+@register("normalize_ascii", r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(trim(text)), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM documents")
 def normalize_ascii(spark, d):
-    return docs(spark, d).select("doc_id", S.normalize_name(F.left("text", F.lit(200)), ascii_only=True).alias("norm"))
+    return docs(spark, d).select("doc_id", S.normalize_name(F.col("text"), ascii_only=True).alias("norm"))
 
 
 @register("estimate_tokens", "SELECT doc_id, ceil(strlen(text) / 4.0)::BIGINT AS n FROM documents")
@@ -136,9 +137,10 @@ def truncate_context(spark, d):
     return docs(spark, d).select("doc_id", S.truncate_context(F.col("text"), 1000).alias("t"))
 
 
-@register("looks_like_garbage", "SELECT doc_id, length(text) < 100 OR length(text) - length(replace(text, '?', '')) > 0.4 * length(text) AS garbage FROM documents")
+@register("looks_like_garbage", f"WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat(text, repeat(' ?Identity-H', 11)) WHEN 1 THEN concat(text, repeat(' ?Unimplemented', 10)) ELSE text END AS text FROM documents) SELECT doc_id, coalesce(length(text), 0) < 100 OR (length(text) - length(replace(text, '?Identity-H', ''))) / 11 > 10 OR (length(text) - length(replace(text, 'Identity-H Unimplemented', ''))) / 24 > 10 OR (length(text) - length(replace(text, '?Unimplemented', ''))) / 14 > 10 OR length(text) - length(replace(text, '?', '')) > 0.4 * length(text) AS garbage FROM t")
 def looks_like_garbage(spark, d):
-    return docs(spark, d).select("doc_id", S.looks_like_garbage(F.col("text")).alias("garbage"))
+    marked = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.repeat(F.lit(" ?Identity-H"), 11))).when(F.col("doc_id") % 4 == 1, F.concat("text", F.repeat(F.lit(" ?Unimplemented"), 10))).otherwise(F.col("text"))
+    return docs(spark, d).select("doc_id", S.looks_like_garbage(marked).alias("garbage"))
 
 
 @register("entity_type_parse", "SELECT DISTINCT c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'person' ELSE c_mktsegment END AS t FROM customer")
@@ -152,10 +154,14 @@ def edge_type_parse(spark, d):
     return D.edges(spark, d).select("edge_type", S.parse_type(F.upper("edge_type"), S.EDGE_TYPES).alias("t")).distinct()
 
 
-@register("json_repair", """SELECT event_id, concat('{"k": ', json_extract_string(props, '$.k'), '}') AS fixed FROM events""")
+@register("json_repair", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{"topics": [' || props || '], "entity_topic_links": [{"a": "x } y"}]}' ELSE '{"topics": [{"k": {"n": 1}}, ' || props || '], "entity_topic_links": []}' END AS fixed FROM events""")
 def json_repair(spark, d):
-    said = F.concat(F.lit("```json\nhere: "), F.col("props"), F.lit(" thanks\n```"))
-    return table(spark, d, "events").select("event_id", F.regexp_extract(said, r"(?s)\{.*\}", 0).alias("fixed"))
+    """Fenced, chatty, whole and cut-off answers."""
+    p = F.col("props")
+    whole = F.concat(F.lit('{"topics": ['), p, F.lit('], "entity_topic_links": [{"a": "x } y"}]}'))
+    broken = F.concat(F.lit('```json\n{"topics": [{"k": {"n": 1}}, {"bad": }, '), p, F.lit(', {"k": "cut } off'))
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\nhere: "), p, F.lit(" thanks\n```"))).when(F.col("event_id") % 3 == 1, whole).otherwise(broken)
+    return X.repaired(table(spark, d, "events").select("event_id", said.alias("said")), "event_id", "said").select("event_id", F.col("answer").alias("fixed"))
 
 
 @register("doc_by_json_field", "SELECT event_id, user_id FROM events WHERE json_extract_string(props, '$.k') = '7'")

@@ -64,13 +64,13 @@ def wal_replay(spark, d):
     return T.replay(_log(spark, d)).select("id", "payload")
 
 
-@register("wal_append", "SELECT user_id AS id, event_id AS sequence FROM events")
+@register("wal_append", "SELECT user_id AS id, row_number() OVER (ORDER BY event_id) + 99 AS sequence, true AS stamped FROM events")
 def wal_append(spark, d):
-    """Append to a log in the shared folder and read it back; lines that don't parse are skipped."""
+    """Append to a log in the shared folder, which gives numbers and stamps, and read it back; lines that don't parse are skipped."""
     path = f"{checkpoint_dir(spark)}/wal-{uuid.uuid4().hex}"
-    T.append_log(_log(spark, d), path)
+    T.append_log(_log(spark, d).withColumnRenamed("sequence", "event"), path, "event", 100)
     spark.range(1).select(F.lit("{not json").alias("value")).write.mode("append").text(path)
-    return T.read_log(spark, path, "id long, sequence long, op string, payload string").select("id", "sequence")
+    return T.read_log(spark, path, "id long, sequence long, op string, payload string, timestamp long").select("id", "sequence", (F.col("timestamp") > 0).alias("stamped"))
 
 
 @register("lww_register", "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
@@ -193,6 +193,6 @@ def stream_rate_limit(spark, d):
 
 @register("hourly_prune", "SELECT n_regionkey, s_suppkey FROM (SELECT n_regionkey, s_suppkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal >= 1000) WHERE r <= 5")
 def hourly_prune(spark, d):
-    s = table(spark, d, "supplier").where("s_acctbal >= 1000").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = table(spark, d, "supplier").where("s_acctbal >= 1000").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     w = Window.partitionBy("n_regionkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
     return s.withColumn("r", F.row_number().over(w)).where("r <= 5").select("n_regionkey", "s_suppkey")

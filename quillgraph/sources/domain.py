@@ -22,8 +22,8 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, d: str, parts: bool = True) -> DataFrame:
-    """src, dst, edge_type, weight; ``parts``: with supplier -> part edges."""
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """src, dst, edge_type, weight."""
     t = lambda name: table(spark, d, name)
     ident = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
     row = lambda df, s, o, kind: df.select(s.alias("src"), o.alias("dst"), F.lit(kind).alias("edge_type"), F.lit(1.0).alias("weight"))
@@ -32,10 +32,8 @@ def edges(spark: SparkSession, d: str, parts: bool = True) -> DataFrame:
         .unionByName(row(t("supplier"), ident("s:", "s_suppkey"), ident("n:", "s_nationkey"), "located_in"))
         .unionByName(row(t("nation"), ident("n:", "n_nationkey"), ident("r:", "n_regionkey"), "part_of"))
     )
-    if parts:
-        counted = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
-        out = out.unionByName(counted.select(ident("s:", "l_suppkey").alias("src"), ident("p:", "l_partkey").alias("dst"), F.lit("supplies").alias("edge_type"), F.least(F.col("n") / 10.0, F.lit(1.0)).alias("weight")))
-    return out
+    counted = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
+    return out.unionByName(counted.select(ident("s:", "l_suppkey").alias("src"), ident("p:", "l_partkey").alias("dst"), F.lit("supplies").alias("edge_type"), F.least(F.col("n") / 10.0, F.lit(1.0)).alias("weight")))
 
 
 NODES_SQL = """nodes AS (

@@ -126,8 +126,9 @@ def test_pages(spark):
 
 def test_log(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, "upsert", "x"), ("a", 3, "delete", None), ("b", 2, "upsert", "y"), (None, 4, "upsert", "z")], "id string, sequence long, op string, payload string")
-    T.append_log(rows, str(tmp_path / "log"))
-    back = T.read_log(spark, str(tmp_path / "log"), "id string, sequence long, op string, payload string")
+    T.append_log(rows.withColumnRenamed("sequence", "at").repartition(3), str(tmp_path / "log"), "at", 7)
+    back = T.read_log(spark, str(tmp_path / "log"), "id string, at long, sequence long, timestamp long, op string, payload string")
+    assert sorted((r["at"], r.sequence, r.timestamp > 0) for r in back.collect()) == [(1, 7, True), (2, 8, True), (3, 9, True), (4, 10, True)]
     assert [(r.id, r.payload) for r in T.replay(back).collect()] == [("b", "y")]
 
 
@@ -230,3 +231,124 @@ def test_centrality_and_communities_take_the_whole_graph(spark, tmp_path):
     assert got == {v: round(x / max(raw.values()), 6) for v, x in raw.items()} and got["p:1"] > 0
     group = {x.id: x.community for x in registry.queries()["louvain"](spark, str(tmp_path)).collect()}
     assert set(group) == names and group["p:2"] == group["s:2"]
+
+
+def test_numbers_have_no_gap(spark):
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5003).alias("k"))
+    got = [(r.k, r.sequence) for r in T.numbered(rows, "k", 10).collect()]
+    assert [s for _, s in sorted(got)] == list(range(10, 5010))
+
+
+def test_repair():
+    assert X.repair('```json\n{"a": 1}\n```') == '{"a": 1}' and X.repair('so: {"a": [1]} ok') == '{"a": [1]}'
+    cut = '{"topics": [{"n": "a } b", "k": {"x": [1, 2]}}, {"n": "c"}, {"n": "un'
+    assert X.repair(cut) == '{"topics": [{"n": "a } b", "k": {"x": [1, 2]}}, {"n": "c"}], "entity_topic_links": []}'
+    assert X.repair('{"topics": [{bad}, {"n": 1}], "entity_topic_links": [{"e": 2}], oh') == '{"topics": [{"n": 1}], "entity_topic_links": [{"e": 2}]}'
+    assert X.repair(None) is None and X.repair("nothing") is None and X.repair('{"topics": [') is None
+
+
+def test_garbage(spark):
+    long = "plain words " * 20
+    rows = [(1, None), (2, "short"), (3, long), (4, long + "?Identity-H " * 10), (5, long + "?Identity-H " * 11), (6, "?" * 90 + "x" * 100), (7, long + "?Unimplemented" * 11), (8, long + "Identity-H Unimplemented" * 11)]
+    d = spark.createDataFrame(rows, "k int, t string")
+    assert {r.k for r in d.where(S.looks_like_garbage(F.col("t"))).collect()} == {1, 2, 5, 6, 7, 8}
+
+
+def test_span_positions(spark):
+    rows = [("aaa", "aa"), ("xabab.ab", "ab"), ("", "a"), ("abc", ""), ("a.b", "."), (None, "a"), ("q\\Ez\\E", "\\E"), ("é🙂é", "é")]
+    got = [r.p for r in spark.createDataFrame(rows, "t string, s string").select(X.span_positions(F.col("t"), F.col("s")).alias("p")).collect()]
+    assert got == [[1, 2], [2, 4, 7], [], [], [2], [], [2, 5], [1, 3]]
+
+
+def test_merged_nodes_and_edges(spark):
+    schema = "dedup_key string, id string, description string, aliases array<string>, display_label string, confidence double, properties map<string,string>"
+    e = spark.createDataFrame([("k", "e1", "same", ["a"], None, 0.4, {"x": "1"}), ("only", "e2", None, None, None, 0.1, None)], schema)
+    i = spark.createDataFrame([("k", "i1", "same", ["b", "a"], "L", 0.8, {"x": "2", "y": "3"}), ("new", "i2", "d", ["c"], "M", 0.2, {})], schema)
+    got = {r.dedup_key: r for r in B.merge_nodes(e, i).collect()}
+    k = got["k"]
+    assert (k.id, k.description, k.aliases, k.display_label, k.properties) == ("e1", "same | same", ["a", "b"], "L", {"x": "1", "y": "3"}) and abs(k.confidence - 0.6) < 1e-12
+    assert got["only"].id == "e2" and got["new"].description == "d"
+    assert {r.dedup_key: (r.id, r.display_label) for r in B.merge_nodes(e, i, "keep_last").collect()} == {"k": ("e1", "L"), "only": ("e2", None), "new": ("i2", "M")}
+    assert {r.dedup_key: r.description for r in B.merge_nodes(e, i, "keep_first").collect()} == {"k": "same", "only": None, "new": "d"}
+
+
+def test_resolved_merge_is_an_ordered_fold(spark):
+    canonical = spark.createDataFrame([("n", 0.5, ["a"], "long enough"), ("m", 0.3, [], None)], "id string, confidence double, aliases array<string>, description string")
+    rows = [("n", 2, "b", ["a", "c"], 0.9, "the longest of all"), ("n", 1, "a", None, 0.1, "short"), ("n", 3, "d", ["b"], 0.7, "another as long 18")]
+    got = {r.id: r for r in B.merge_resolved(canonical, spark.createDataFrame(rows, "id string, s int, name string, aliases array<string>, confidence double, description string"), "s").collect()}
+    assert abs(got["n"].confidence - (((0.5 + 0.1) / 2 + 0.9) / 2 + 0.7) / 2) < 1e-12
+    assert got["n"].aliases == ["a", "b", "c", "d"] and got["n"].description == "the longest of all" and tuple(got["m"]) == ("m", 0.3, [], None)
+
+
+def test_search_modes(spark):
+    import pytest
+
+    channel = lambda *rows: spark.createDataFrame(list(rows), "chunk_id long, score double")
+    v, k, g = channel((1, 0.9), (2, 0.5)), channel((2, 0.8)), channel((3, 1.0))
+    final = lambda df: {r.chunk_id: round(r.final_score, 6) for r in df.collect()}
+    assert final(R.search(v, k, g)) == {1: 0.54, 2: 0.54, 3: 0.1} and final(R.search(v, k, g, "keyword")) == {2: 0.8} and final(R.search(v, None, g, "keyword")) == {}
+    assert final(R.search(v, None, None)) == {1: 0.54, 2: 0.3} and final(R.search(v, k, g, "graph")) == {3: 1.0}
+    with pytest.raises(ValueError):
+        R.search(v, k, g, "other")
+
+
+def test_reach_without_bound(spark):
+    e = edges(spark, *[(f"n{i}", f"n{i + 1}", 1) for i in range(12)], ("n12", "n0", 1), ("x", "y", 1))
+    assert {r.id: r.hop for r in G.reach(e, ids(spark, "n3"), None).collect()} == {f"n{(3 + k) % 13}": k for k in range(13)}
+    assert max(r.hop for r in G.reach(e, ids(spark, "n3"), None, directed=False).collect()) == 6
+    links = spark.createDataFrame([("n3", 1), ("n4", 1), ("n5", 2), ("x", 3)], "node string, chunk long")
+    assert {r.chunk_id: r.score for r in R.graph_channel(e, links, ids(spark, "n3")).collect()} == {1: 1.0, 2: 1 / 3}
+
+
+def test_betweenness_and_louvain_against_plain_code(spark):
+    """On a small graph: betweenness by counting all shortest paths, communities of two cliques with a bridge."""
+    from itertools import combinations
+
+    pairs = [*combinations("abcd", 2), *combinations("efgh", 2), ("d", "e")]
+    names = "abcdefghz"
+    near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in names}
+
+    def paths(s, t):
+        level, found = [[s]], []
+        while level and not found:
+            level = [[*p, w] for p in level for w in near[p[-1]] if w not in p]
+            found = [p for p in level if p[-1] == t]
+        return found
+
+    raw = dict.fromkeys(names, 0.0)
+    for s in names:
+        for t in names:
+            if s != t and (ps := paths(s, t)):
+                for p in ps:
+                    for v in p[1:-1]:
+                        raw[v] += 1 / len(ps)
+    n = ids(spark, *names)
+    got = {r.id: r.score for r in G.betweenness(n, edges(spark, *[(a, b, 1) for a, b in pairs])).collect()}
+    top = max(raw.values())
+    assert all(abs(got[v] - raw[v] / top) < 1e-9 for v in names)
+    one = n.withColumn("collection_id", F.lit(1)), edges(spark, *[(a, b, 1) for a, b in pairs]).withColumn("collection_id", F.lit(1))
+    groups = {r.id: r.community for r in G.louvain(*one).collect()}
+    assert len({groups[v] for v in "abcd"}) == 1 and len({groups[v] for v in "efgh"}) == 1 and len(set(groups.values())) == 3
+
+
+def test_templates(spark):
+    from quillgraph.operators import templates
+
+    cols = "name type mode method merge_nodes merge_edges entity_key entity_label entity_fields relation_key relation_fields has_identifiers".split()
+    good = dict(zip(cols, ["t", "graph", None, None, None, None, "{a}", "{a}", ["a"], "{b}", ["b"], True], strict=True))
+    cases = [
+        ({}, [], []), ({"type": "list", "entity_key": None, "relation_key": None, "has_identifiers": None}, [], ["incompatible"]), ({"method": "light_rag"}, [], ["not_implemented"]),
+        ({"name": None, "type": "tree"}, ["name", "type"], []), ({"mode": "x", "method": "y", "merge_nodes": "z", "merge_edges": "z"}, ["mode", "method", "merge_strategy_nodes", "merge_strategy_edges"], []),
+        ({"entity_key": "a", "entity_label": "a}", "relation_key": "{b"}, ["entity_key", "display_label", "relation_key"], []), ({"entity_fields": ["a", "a"]}, ["entity_fields"], []),
+        ({"entity_key": None, "relation_key": None, "has_identifiers": False}, ["entity_schema", "relation_schema", "identifiers"], []),
+    ]
+    schema = ", ".join(f"{c} {'array<string>' if c.endswith('fields') else 'boolean' if c == 'has_identifiers' else 'string'}" for c in cols) + ", k int"
+    rows = [(*(good | change).values(), k) for k, (change, _, _) in enumerate(cases)]
+    got = {r.k: r for r in templates.validate(spark.createDataFrame(rows, schema)).collect()}
+    assert [(got[k].errors, got[k].warnings, got[k].valid) for k in range(len(cases))] == [(e, w, not e) for _, e, w in cases]
+
+
+def test_ancestors(spark):
+    parents = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c")], "t string, p string")  # with a cycle
+    got = {tuple(r) for r in B.ancestors(spark.createDataFrame([("a",), ("d",), ("x",)], "t string"), parents).collect()}
+    assert got == {("a", u) for u in "abc"} | {("d", u) for u in "dcab"} | {("x", "x")}
