@@ -7,7 +7,8 @@ their sets. Texts that agree form a bucket. Bucket members are first compared wi
 number, then, where a bucket still holds several components, one drawn by hash. Where a bucket is of several components even
 then, all its members are compared with those outside its largest component, in blocks of ``BLOCK`` x ``BLOCK``, each pair in
 the least bucket that it shares: first by length and by item counts in ``BINS`` bins, which bound the alignment from above,
-then by alignment. A pair counts if its alignment, the longest chain of equal items within the band that ``SIMILAR`` leaves,
+then by alignment. Of two components a block first proposes the nearest pair, in later rounds more, and in the last round
+all that are still apart, so a group of many copies makes few pairs. A pair counts if its alignment, the longest chain of equal items within the band that ``SIMILAR`` leaves,
 reaches ``SIMILAR`` of all items (common / (a + b - common)). Linked texts form components; no two texts that share a bucket
 and are similar end in different ones. The last step's pairs grow with the square of a family of texts that are nearly, but
 not, similar.
@@ -36,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.components import components
-from quillgraph.session import cut
+from quillgraph.session import cut, written
 
 K, SIMILAR, SKETCHES, PICK, SEED = 5, 0.8, 24, 4, 11
-BLOCK, BINS = 512, 128
+BLOCK, BINS = 2048, 512
+#: Pairs that a block proposes for two components, by round.
+PROPOSED = (1, 64, 1 << 40)
 #: Kana, ideographs, Hangul, Thai, Lao, Khmer and Burmese are written without spaces: a word a character.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U000323af"
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
@@ -103,7 +106,7 @@ def sketch(x: np.ndarray) -> np.ndarray:
 
 def bins(x: np.ndarray) -> bytes:
     """Items by ``BINS`` ranges of their hashes, counted up to 255."""
-    return np.minimum(np.bincount((x * _MIX >> np.uint64(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((x * _MIX >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> float:
@@ -166,23 +169,34 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, "a long, b long")
 
 
-def _may(t: pa.Table) -> pa.Table:
-    """Members of one block pair of a bucket -> pairs (bucket, i, j, a, b) of different components that may be similar."""
-    bucket, i, j = (t.column(c)[0].as_py() for c in ("bucket", "i", "j"))
-    label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-    size, part = t.column("size").to_numpy().astype(np.float64), t.column("part").to_numpy()
-    hist = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-    shares = [frozenset(x) for x in t.column("shares").to_pylist()]
-    left, right, out = np.flatnonzero(part == i), np.flatnonzero(part == j), []
-    for k, v in enumerate(left.tolist()):
-        w = right if i < j else right[k + 1 :]
-        w = w[(label[w] != label[v]) & (np.minimum(size[w], size[v]) >= SIMILAR * np.maximum(size[w], size[v]) - 1e-9)]
-        # each bin's difference is made of items without a partner, of which (a + b) (1 - s) / (1 + s) are left at most
-        w = w[np.abs(hist[w] - hist[v]).sum(1, dtype=np.int64) <= (size[w] + size[v]) * (1 - SIMILAR) / (1 + SIMILAR) + 1e-9]
-        out += [(v, x) for x in w.tolist() if min(shares[v] & shares[x]) == bucket]
-    a, b = (pa.array([p[s] for p in out], pa.int64()) for s in (0, 1))
-    n, ids = len(out), t.column("node")
-    return pa.table({"bucket": pa.array([bucket] * n, pa.int64()), "i": pa.array([i] * n, pa.int64()), "j": pa.array([j] * n, pa.int64()), "a": ids.take(a), "b": ids.take(b)})
+def _candidates(most: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Members of one block pair of a bucket -> pairs (bucket, i, j, a, b) of different components that may be similar, at most
+        ``most`` of the nearest for two components; ``more``: others are left."""
+        bucket, i, j = (t.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+        label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        size, part = t.column("size").to_numpy().astype(np.float64), t.column("part").to_numpy()
+        hist = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        shares = [frozenset(x) for x in t.column("shares").to_pylist()]
+        left, right, out = np.flatnonzero(part == i), np.flatnonzero(part == j), []
+        for k, v in enumerate(left.tolist()):
+            w = right if i < j else right[k + 1 :]
+            w = w[(label[w] != label[v]) & (np.minimum(size[w], size[v]) >= SIMILAR * np.maximum(size[w], size[v]) - 1e-9)]
+            # each bin's difference is made of items without a partner, of which (a + b) (1 - s) / (1 + s) are left at most
+            far = np.abs(hist[w] - hist[v]).sum(1, dtype=np.int64)
+            ok = far <= (size[w] + size[v]) * (1 - SIMILAR) / (1 + SIMILAR) + 1e-9
+            out += [(v, x, f) for x, f in zip(w[ok].tolist(), far[ok].tolist(), strict=True) if min(shares[v] & shares[x]) == bucket]
+        a, b, far = (np.array([p[s] for p in out], np.int64) for s in (0, 1, 2))
+        lo, hi = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        order = np.lexsort((far, hi, lo))
+        a, b, lo, hi = a[order], b[order], lo[order], hi[order]
+        first = np.maximum.accumulate(np.where(np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))[: len(a)], np.arange(len(a)), 0)) if len(a) else a
+        keep = np.arange(len(a)) - first < most
+        n, ids, more = int(keep.sum()), t.column("node"), not keep.all()
+        same = {"bucket": bucket, "i": i, "j": j}
+        return pa.table({**{c: pa.array([v] * n, pa.int64()) for c, v in same.items()}, "a": ids.take(pa.array(a[keep])), "b": ids.take(pa.array(b[keep])), "more": pa.array([more] * n, pa.bool_())})
+
+    return run
 
 
 def _linked(t: pa.Table) -> pa.Table:
@@ -207,14 +221,33 @@ def _linked(t: pa.Table) -> pa.Table:
     return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _rest(member: DataFrame, label: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between members of one bucket that are no hubs and of different components."""
+def _rest(member: DataFrame, label: DataFrame, links: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
+    """Labels after the links between members of one bucket that are no hubs and of different components."""
+    for most in PROPOSED:
+        pairs, open_ = _proposed(member, label, own, most)
+        if pairs.isEmpty():
+            break
+        by = ["bucket", "i", "j"]
+        ends = pairs.select(*by, F.col("a").alias("node")).unionByName(pairs.select(*by, F.col("b").alias("node"))).distinct()
+        ends = ends.join(open_.select("node", "label").distinct(), "node").join(texts, "node").select(*by, F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "label", "text")
+        both = pairs.select(*by, "a", "b", F.lit(None).cast("long").alias("label"), F.lit(None).cast("string").alias("text")).unionByName(ends)
+        found = written(both.groupBy(*by).applyInArrow(_linked, "a long, b long"))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            label = components(links)
+        if pairs.where("more").isEmpty():
+            break
+    return label
+
+
+def _proposed(member: DataFrame, label: DataFrame, own: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs by block pair, the members of buckets with several components)."""
     open_ = member.where("n > 3 OR (n > 2 AND least = drawn)").where("node <> least AND node <> drawn").select("node", "bucket")
     open_ = open_.join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = lambda n: F.ceil(n / BLOCK).cast("int")
     sizes = open_.groupBy("bucket", "label").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("all"), F.max(F.struct("m", "label")).alias("main"))
     several = sizes.where("main.m < all").select("bucket", F.col("main.label").alias("main"), parts(F.col("main.m")).alias("mains"), parts(F.col("all") - F.col("main.m")).alias("others"))
-    open_ = cut(open_.join(several, "bucket"))
+    open_ = written(open_.join(several, "bucket"))
     known = open_.groupBy("node").agg(F.collect_list("bucket").alias("shares")).join(own.select("node", "size", "hist"), "node")
     is_main, h = F.col("label") == F.col("main"), F.xxhash64("node", F.lit(SEED))
     part = F.when(is_main, F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("others"))).cast("int")
@@ -225,12 +258,7 @@ def _rest(member: DataFrame, label: DataFrame, own: DataFrame, texts: DataFrame)
     among = upto("others", lambda x: at(F.least(p, x), F.greatest(p, x), p))
     across = F.when(is_main, upto("others", lambda x: at(-1 - x, p, p))).otherwise(F.concat(among, upto("mains", lambda x: at(-1 - p, x, -1 - p))))
     dealt = open_.withColumn("part", part).select("node", "bucket", "label", F.explode(across).alias("at")).select("node", "bucket", "label", "at.*").join(known, "node")
-    pairs = cut(dealt.groupBy("bucket", "i", "j").applyInArrow(_may, "bucket long, i long, j long, a long, b long"))
-    by = ["bucket", "i", "j"]
-    ends = pairs.select(*by, F.col("a").alias("node")).unionByName(pairs.select(*by, F.col("b").alias("node"))).distinct()
-    ends = ends.join(open_.select("node", "label").distinct(), "node").join(texts, "node").select(*by, F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "label", "text")
-    both = pairs.select(*by, "a", "b", F.lit(None).cast("long").alias("label"), F.lit(None).cast("string").alias("text")).unionByName(ends)
-    return cut(both.groupBy(*by).applyInArrow(_linked, "a long, b long"))
+    return written(dealt.groupBy("bucket", "i", "j").applyInArrow(_candidates(most), "bucket long, i long, j long, a long, b long, more boolean")), open_
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,9 +290,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     if more.limit(1).count():
         links = links.unionByName(more)
         label = components(links)
-    rest = _rest(member, label, own, held)
-    if rest.limit(1).count():
-        label = components(links.unionByName(rest))
+    label = _rest(member, label, links, own, held)
     of = reps.select("node", "best").join(label, "node", "left").select("node", "best", F.coalesce("label", "node").alias("label"))
     least = cut(of.join(of.groupBy("label").agg(F.min("best").alias("least")), "label").select("node", "least"))
     ids = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
