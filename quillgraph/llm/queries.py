@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillgraph.llm import decontam, html, langid, lm, minhash, mixing, quality, sharding, suffix, tokens
+from quillgraph.llm import decontam, html, langid, lm, minhash, mixing, pieces, quality, sharding, suffix, tokens, treaps, vectors
 from quillgraph.session import table
 
 
@@ -60,5 +61,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_tokens": op2_tokens, "op3_minhash": op3_minhash, "op4_repeats": op4_repeats, "op5_decontaminate": op5_decontaminate, "op6_html": op6_html, "op7_langid": op7_langid, "op8_lm": op8_lm, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
-ORACLE_SQL = {"op1_quality": quality.SQL, "op5_decontaminate": decontam.SQL}
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code, squared error and error of the label of every kept vector. Null vectors and those with null or non-finite components go; see ``vectors``."""
+    coded, books = vectors.compress(table(spark, sf_dir, "embeddings"))
+    return vectors.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(vectors.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the text that they decode to, as digests. Null is empty and has the two end ids; see ``pieces``."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item. Null texts have no terms; items that no document answers have no rows; see ``treaps``."""
+    return treaps.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_tokens": op2_tokens, "op3_minhash": op3_minhash, "op4_repeats": op4_repeats, "op5_decontaminate": op5_decontaminate, "op6_html": op6_html, "op7_langid": op7_langid, "op8_lm": op8_lm, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding, "op11_vectors": op11_vectors, "op12_pieces": op12_pieces, "op13_search": op13_search}
+ORACLE_SQL = {"op1_quality": quality.SQL, "op5_decontaminate": decontam.SQL, "op13_search": treaps.SQL}
