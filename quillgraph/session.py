@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,25 +43,65 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found or held.get()
 
 
+#: Names of the tables that ``written`` made and that are still there.
+_WRITTEN: set[str] = set()
+
+
+def _path(spark: SparkSession, path: str):
+    """(file system, Hadoop path)"""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet under the shared folder and reread.
 
     As ``cut``, but its plan knows the size of what was written; the estimate of a checkpointed plan is the product of all
-    joins before it, which doubles its digits a round in a loop. Row order is not kept.
+    joins before it, which doubles its digits a round in a loop. Row order is not kept. What ``forget`` and ``steps`` leave
+    is deleted when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+    name = f"written-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{name}"
+    fs, at = _path(spark, path)
+    fs.deleteOnExit(at)
+    _WRITTEN.add(name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _names(df: DataFrame) -> set[str]:
+    """The tables of ``written`` that ``df`` reads."""
+    return {name for f in df.inputFiles() if (name := f.rsplit("/", 2)[-2]) in _WRITTEN}
+
+
+def _delete(spark: SparkSession, names: set[str]) -> None:
+    for name in names:
+        fs, at = _path(spark, f"{checkpoint_dir(spark)}/{name}")
+        fs.delete(at, True)
+        _WRITTEN.discard(name)
+
+
 def forget(df: DataFrame) -> None:
-    """Delete what ``written`` wrote for ``df``; nothing may read it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/written-" in path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    """Delete the tables of ``written`` that ``df`` reads, and nothing else; nothing may read them any more."""
+    _delete(df.sparkSession, _names(df))
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what was written inside, but for the tables that the function it yields has written."""
+    before, kept = set(_WRITTEN), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        here = set(_WRITTEN)
+        out = written(df)
+        kept.update(_WRITTEN - here)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _delete(spark, _WRITTEN - before - kept)
 
 
 def cut(df: DataFrame) -> DataFrame:
