@@ -42,6 +42,9 @@ _BLOCK = set(
 _SECTIONS = set("article aside body footer form header main nav section table ul ol dl figure blockquote div".split())
 _CLOSES_P = _BLOCK - {"option", "optgroup"}
 
+#: Parts of class and id words that name a region; a word such as "commentlist" counts as "comment" too.
+_STEMS = ("comment", "discuss", "respon", "repl", "nav", "menu", "foot", "head", "side", "widget", "share", "social", "cookie", "advert", "promo", "relat", "subscri", "newsletter", "breadcrumb")
+
 Block = tuple[str, list[str]]  # text, features
 
 
@@ -143,7 +146,8 @@ class _Page:
             return
         last = self.stack[-1]
         words = {w.lower().rstrip("s") for a in _ATTR.findall(attrs) for w in _WORD.findall(a[1] or a[2] or a[3])} if "=" in attrs else set()
-        adds = tuple(f for f in [f"in:{name}", *(f"cls:{w}" for w in sorted(words))] if f not in self.path)
+        stems = {k for k in _STEMS for w in words if k in w}
+        adds = tuple(f for f in [f"in:{name}", *(f"cls:{w}" for w in sorted(words)), *(f"stem:{k}" for k in sorted(stems))] if f not in self.path)
         self.path.update(dict.fromkeys(adds))
         near = last.near
         if name in _SECTIONS:
@@ -236,7 +240,7 @@ def train(pages: Iterable[tuple[list[Block], list[int]]], epochs: int = 100, rat
     return Crf({f: float(w[k]) for f, k in index.items()}, w[nf : nf + 4].reshape(2, 2).tolist(), float(w[-1]))
 
 
-def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[str, list[str]]]:
+def labelled_pages(n: int = 450, seed: int = 3) -> list[tuple[str, list[str]]]:
     """(html, blocks of its article) of ``n`` written pages."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("ka lo mi ren tu sal ve dor in the an es eau chi öß ça ñe ba".split()) for _ in range(r.randint(1, 4)))
@@ -268,10 +272,14 @@ def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[str, list[str]]]:
         if kind == "form":
             return say(f'<form action="/s"><label>{label()}</label><input name="q"><button>{label()}</button></form>', f"<form><p>{para()}</p><select><option>{label()}</option></select><button>{label()}</button></form>")
         if kind == "share":
-            return f'<div class="{say("share", "social", "tags", "meta", "byline", "pagination", "author-bio")}">{"".join(f"<a href=/>{label()}</a> " for _ in range(k))}{say("", label(), para())}</div>'
+            return f'<div class="{say("share", "social", "tags", "meta", "byline", "pagination", "author-bio", "author-box", "post-author")}">{"".join(f"<a href=/>{label()}</a> " for _ in range(k))}{say("", label(), para())}</div>'
         if kind == "comments":
             one = lambda: say(f'<div class="comment"><b>{label()}</b><p>{para()}</p></div>', f'<article class="comment"><header>{label()}</header><p>{para()}</p></article>', f"<li><p>{para()}</p></li>")
-            return f'<{(t := say("section", "div"))} {say("id", "class")}="{say("comments", "comment-list", "responses", "disqus", "replies")}"><h3>{say("Comments", label())}</h3>{"".join(one() for _ in range(k))}</{t}>'
+            name = say("comments", "comment-list", "responses", "disqus", "replies", "commentlist", "comments-area", "discussion", "user-comments", "respond", "thread")
+            if r.random() < 0.3:
+                item = lambda: say(f"<li><p>{para()}</p></li>", f"<li><b>{label()}</b> {para()}</li>", f'<li class="{say("comment", "depth-1", "even")}"><div class="comment-body"><p>{para()}</p></div></li>')
+                return f'{say("", f"<h3>{k} comments</h3>", f"<h3>{label()}</h3>")}<{(t := say("ol", "ul"))} {say("id", "class")}="{name}">{"".join(item() for _ in range(k))}</{t}>'
+            return f'<{(t := say("section", "div"))} {say("id", "class")}="{name}"><h3>{say("Comments", label(), "Discussion", f"{k} comments")}</h3>{"".join(one() for _ in range(k))}</{t}>'
         return say(f"<footer>&copy; {label()} &middot; {sentence()}</footer>", f'<div class="{say("footer", "site-footer", "copyright", "bottom")}">&copy; {label()}<p>{para()}</p></div>', f"<footer><p>{para()}</p><ul>{links(k)}</ul></footer>")
 
     out = []
@@ -286,17 +294,17 @@ def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[str, list[str]]]:
             put(say("h1", "h1", "h2"), say(label(), sentence()))
         for _ in range(r.choice([1, 2, 3, 5, 8, 12])):
             u = r.random()
-            if u < 0.8:
+            if u < 0.76:
                 put("p", say(para(), para(), word().capitalize() + "."))
-            elif u < 0.87:
+            elif u < 0.83:
                 put("h2", label())
-            elif u < 0.91:
+            elif u < 0.87:
                 items = [sentence() for _ in range(r.randint(2, 5))]
                 body.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
                 text += items
-            elif u < 0.94:
+            elif u < 0.9:
                 put("blockquote", para())
-            elif u < 0.96:
+            elif u < 0.92:
                 put("td", label())
             else:
                 body.append(junk(say("ad", "side", "share", "notice")))
@@ -305,6 +313,8 @@ def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[str, list[str]]]:
             body.append(junk("comments"))
         core = "".join(body)
         wrap = say(*["<article>{}</article>"] * 4, "<main>{}</main>", "<main><article>{}</article></main>", '<div class="{c}">{}</div>', '<div id="{c}">{}</div>', '<section class="{c}">{}</section>', '<div role="main">{}</div>', '<main class="{c}"><div>{}</div></main>', '<article class="{c}"><section>{}</section></article>')
+        if r.random() < 0.4:  # nothing says that it is the article: no wrapper, or one that says nothing
+            wrap = say("{}", "{}", "<div>{}</div>", '<div class="row"><div class="col">{}</div></div>', '<div class="{n}">{}</div>', '<div id="{n}"><div class="{n}">{}</div></div>', "<section>{}</section>", "<center>{}</center>").replace("{n}", word())
         core = wrap.replace("{c}", say("content", "post", "entry-content", "article-body", "story", "post-body", "main-content", "article", "text")).replace("{}", core)
         before = [junk(k) for k in ("notice", "header", "nav", "form", "ad", "side") if r.random() < 0.45]
         after = [junk(k) for k in ("share", "ad", "side", "comments", "form", "nav", "footer", "notice") if r.random() < 0.45]
@@ -316,6 +326,9 @@ def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[str, list[str]]]:
             cell = lambda x: f"<tr><td>{x}</td></tr>"
             bare = "".join(body) if r.random() < 0.5 and text else core
             before, core, after = ["<table>", *map(cell, before)], cell(bare), [*map(cell, after), "</table>"]
+        if r.random() < 0.35:  # all of it in elements that only lay the page out
+            around = say('<div id="wrapper">', '<div class="container">', '<div id="page" class="site">', '<div class="wrap"><div class="row"><div class="col">', "<div>", f'<div class="{word()}">')
+            before, after = [around, *before], [*after, "</div>" * around.count("<div")]
         page = "".join(["<html><head><title>", label(), "</title></head><body>", *before, core, *after, say("</body></html>", "")])
         out.append((page, text))
     return out
