@@ -5,7 +5,7 @@ text is walked from left to right: an Aho-Corasick automaton gives the longest p
 taken if merging its text together with that of the token before gives these two tokens again, else its longest proper
 prefix that is a piece is tried. Where nothing fits, the position is marked in a bitfield and the walk steps back over one
 token. The tokens before a position are unique, so a position that failed once is never entered again and a text costs
-linear time. Texts are first cut where no piece crosses, and cuts met before are remembered up to a bound; a character
+linear time. Texts are first cut where no piece crosses, and cuts met lately are remembered up to a bound; a character
 without a piece gives the ids of its bytes. Decoding gathers the bytes of all ids at once.
 
 Defined cases: a null or empty text has only the begin and end ids and decodes to the empty text; the texts of begin, end and
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.columns import text_of
 
-#: Remembered cuts and token pairs of a worker; characters of a longer cut are not remembered.
-CUTS, PAIRS, LONGEST = 300_000, 500_000, 64
+#: Cuts that a worker remembers in each of two generations, token pairs that it remembers, characters of a cut worth it.
+CUTS, PAIRS, LONGEST = 200_000, 400_000, 64
 _MARK = "▁"  # how the vocabulary writes a space
 
 
@@ -64,17 +64,24 @@ class Codec:
         self.flat = np.frombuffer(b"".join(surface), np.uint8)
         # a character that only occurs inside longer pieces is a symbol of its own too, written as bytes if it stays alone
         symbols = {*self.id_of, *(c for p in self.id_of for c in p)}
+        self.names = sorted(symbols)
+        number = {p: k for k, p in enumerate(self.names)}
+        self.sizes = [len(p) for p in self.names]
         self.find = ahocorasick.Automaton()
-        for p in symbols:
-            self.find.add_word(p, len(p))
+        for p, k in number.items():
+            self.find.add_word(p, k)
         self.find.make_automaton()
-        self.shorter = {p: next(k for k in range(len(p) - 1, 0, -1) if p[:k] in symbols) for p in symbols if len(p) > 1}
+        # the longest proper prefix that is a symbol; every character is one
+        self.shorter = [number[next(p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in number)] if len(p) > 1 else -1 for p in self.names]
         joint = {c for p in self.id_of if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\r\t" if c not in joint)
         crossed = any(re.search(f"[^{_MARK}]{_MARK}", p) for p in self.id_of)
         self.cut = re.compile(r".+" if crossed else rf"{_MARK}*[^{_MARK}{alone}]+|{_MARK}+|[{alone}]" if alone else rf"{_MARK}*[^{_MARK}]+|{_MARK}+", re.S)
-        self.cuts: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.known = {p for p in symbols if len(p) == 1}
+        self.code = [np.uint32(self.id_of[p]).tobytes() if p in self.id_of else self._spelt(p) for p in self.names]
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The tokens of a short text by merging: the best-scored adjacent pair first, of equal ones the leftmost."""
@@ -90,65 +97,74 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, before: str, token: str) -> bool:
-        """Whether ``token`` can follow ``before`` (empty at the start)."""
-        known = self.pairs.get((before, token))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs = {}
-            known = self.pairs[before, token] = self.merged(before + token) == ([before, token] if before else [token])
+    def fits(self, before: int, token: int) -> bool:
+        """Whether the symbol ``token`` can follow ``before`` (-1 at the start)."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        one, two = self.names[before] if before >= 0 else "", self.names[token]
+        known = self.pairs[before * len(self.names) + token] = self.merged(one + two) == ([one, two] if one else [two])
         return known
 
-    def walk(self, text: str) -> list[str]:
-        """The tokens of a text of known characters."""
-        n = len(text)
-        longest = [0] * n
-        for last, size in self.find.iter(text):
-            longest[last - size + 1] = size  # longer ones end later
-        failed, out, pos, size, before = bytearray(n // 8 + 1), [], 0, longest[0], ""
+    def walk(self, text: str) -> list[int]:
+        """The symbols (positions in ``names``) of a text of known characters."""
+        n, many, sizes, shorter, fits, get = len(text), len(self.names), self.sizes, self.shorter, self.fits, self.pairs.get
+        longest = [-1] * (n + 1)
+        for last, token in self.find.iter(text):
+            longest[last - sizes[token] + 1] = token  # longer ones end later
+        failed, out, pos, token, before = None, [], 0, longest[0], -1
         while pos < n:
-            while size:
-                stop = pos + size
-                token = text[pos:stop]
-                if not failed[stop >> 3] >> (stop & 7) & 1 and self.fits(before, token):
-                    out.append(token)
-                    pos, before = stop, token
-                    size = longest[pos] if pos < n else 0
-                    break
-                size = self.shorter.get(token, 0)
+            while token >= 0:
+                stop = pos + sizes[token]
+                if failed is None or not failed[stop >> 3] >> (stop & 7) & 1:
+                    good = get(before * many + token)
+                    if good is None:
+                        good = fits(before, token)
+                    if good:
+                        out.append(token)
+                        pos, before = stop, token
+                        token = longest[pos]
+                        break
+                token = shorter[token]
             else:
+                if failed is None:
+                    failed = bytearray(n // 8 + 1)
                 failed[pos >> 3] |= 1 << (pos & 7)
                 token = out.pop()
-                pos, size, before = pos - len(token), len(token), out[-1] if out else ""
+                pos, before = pos - sizes[token], out[-1] if out else -1
         return out
 
     def _ids(self, cut: str) -> bytes:
-        ids: list[int] = []
-        pos, n, known = 0, len(cut), self.find.exists
-        for stop in [k for k, c in enumerate(cut) if not known(c)] + [n]:
+        if self.known.issuperset(cut):
+            return b"".join([self.code[token] for token in self.walk(cut)])
+        ids: list[bytes] = []
+        pos, n = 0, len(cut)
+        for stop in [k for k, c in enumerate(cut) if c not in self.known] + [n]:
             if stop > pos:
-                for token in self.walk(cut[pos:stop]):
-                    i = self.id_of.get(token)
-                    ids += [i] if i is not None else [self.bytes_of[b] for b in token.encode()]
+                ids += [self.code[token] for token in self.walk(cut[pos:stop])]
             if stop < n:
-                ids += [self.bytes_of[b] for b in cut[stop].encode()]
+                ids.append(self._spelt(cut[stop]))
             pos = stop + 1
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(ids)
+
+    def _spelt(self, text: str) -> bytes:
+        return np.array([self.bytes_of[b] for b in text.encode()], "<u4").tobytes()
 
     def encode(self, text: str, ends: bool = True) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, between the begin and end id if ``ends``."""
-        out = [np.uint32(self.begin).tobytes()] if ends else []
-        cuts = self.cuts
+        out = []
+        recent, older = self.recent, self.older
         for c in self.cut.findall((_MARK + text).replace(" ", _MARK)) if text else []:
-            ids = cuts.get(c)
+            ids = recent.get(c)
             if ids is None:
-                ids = self._ids(c)
+                ids = older.get(c) or self._ids(c)
                 if len(c) <= LONGEST:
-                    if len(cuts) >= CUTS:
-                        cuts.clear()
-                    cuts[c] = ids
+                    if len(recent) >= CUTS:  # what was met lately stays
+                        older, recent = recent, {}
+                        self.recent, self.older = recent, older
+                    recent[c] = ids
             out.append(ids)
-        return b"".join([*out, np.uint32(self.end).tobytes()] if ends else out)
+        ids = b"".join(out)
+        return np.uint32(self.begin).tobytes() + ids + np.uint32(self.end).tobytes() if ends else ids
 
     def decode(self, ids: bytes) -> str:
         """The text of ids as ``encode`` gives them, without the blank that encoding puts in front."""
