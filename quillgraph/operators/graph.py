@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,119 +57,6 @@ def shortest_paths(edges: DataFrame, source: str, depth: int = 10) -> DataFrame:
     return best.select("id", "cost", "path")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 50, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """(id, rank): no redistribution from nodes without edges; divided by the greatest."""
-    ids = written(nodes.select("id"))
-    n, edges = ids.count(), written(edges.select("src", "dst"))
-    out = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    e = written(edges.join(out, "src"))
-    rank = ids.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for k in range(iterations):
-        sent = e.join(rank.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        rank = ids.join(sent.withColumnRenamed("dst", "id"), "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if k % every == every - 1:
-            rank = written(rank)
-    top = rank.agg(F.max("rank").alias("top"))
-    return rank.crossJoin(F.broadcast(top)).select("id", (F.col("rank") / F.greatest("top", F.lit(1e-9))).alias("rank"))
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
-    """(id, score), undirected: shortest-path dependencies of every source, sources spread over tasks.
-
-    Each task needs the adjacency, so a graph over ``most_edges`` edges is refused rather than broadcast.
-    """
-    spark = nodes.sparkSession
-    if edges.count() > most_edges:
-        raise ValueError(f"betweenness needs the adjacency in each task; {most_edges} edges are the bound")
-    near = defaultdict(list)
-    for r in edges.select("src", "dst").collect():
-        near[r.src].append(r.dst)
-        near[r.dst].append(r.src)
-    shared = spark.sparkContext.broadcast(dict(near))
-    n = nodes.count()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        adj, total = shared.value, defaultdict(float)
-        for p in parts:
-            for s in p["id"]:
-                order, before, ways, dist, queue = [], defaultdict(list), defaultdict(float), {s: 0}, deque([s])
-                ways[s] = 1.0
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in adj.get(v, ()):
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            ways[w] += ways[v]
-                            before[w].append(v)
-                dep = defaultdict(float)
-                for w in reversed(order):
-                    for v in before[w]:
-                        dep[v] += ways[v] / ways[w] * (1 + dep[w])
-                    if w != s:
-                        total[w] += dep[w]
-        yield pd.DataFrame({"id": list(total), "part": list(total.values())})
-
-    parts = nodes.select("id").repartition("id").mapInPandas(run, "id string, part double").groupBy("id").agg(F.sum("part").alias("raw"))
-    norm = (n - 1) * (n - 2) if n > 2 else 1
-    all_ = nodes.select("id").join(parts, "id", "left").select("id", (F.coalesce("raw", F.lit(0.0)) / norm).alias("raw"))
-    top = all_.agg(F.max("raw").alias("top"))
-    return all_.crossJoin(F.broadcast(top)).select("id", (F.col("raw") / F.greatest("top", F.lit(1e-9))).alias("score"))
-
-
-def louvain_groups(nodes: list[str], edges: list[tuple[str, str, float]], sweeps: int = 20) -> dict[str, int]:
-    """Greedy modularity moves in node order; groups renumbered by name order."""
-    weight, degree = defaultdict(lambda: defaultdict(float)), defaultdict(float)
-    for a, b, w in edges:
-        if a != b:
-            weight[a][b] += w
-            weight[b][a] += w
-    for a in weight:
-        degree[a] = sum(weight[a].values())
-    m = sum(degree.values()) / 2
-    group = {v: v for v in nodes}
-    if m > 0:
-        total = {v: degree[v] for v in nodes}
-        for _ in range(sweeps):
-            moved = False
-            for v in nodes:
-                own, k = group[v], degree[v]
-                to = defaultdict(float)
-                for w, x in weight[v].items():
-                    to[group[w]] += x
-                total[own] -= k
-                best, gain = own, to[own] / m - k * total[own] / (2 * m * m)
-                for g in sorted(to):
-                    x = to[g] / m - k * total[g] / (2 * m * m)
-                    if x > gain + 1e-15:
-                        best, gain = g, x
-                total[best] += k
-                if best != own:
-                    group[v], moved = best, True
-            if not moved:
-                break
-    names = {g: i for i, g in enumerate(sorted(set(group.values())))}
-    return {v: names[g] for v, g in group.items()}
-
-
-def louvain(nodes: DataFrame, edges: DataFrame, collection: str = "collection_id") -> DataFrame:
-    """(collection, id, community). A collection's graph is handled whole by one task, as the sweeps are sequential; use
-    ``label_components`` for graphs beyond one task."""
-    rows = nodes.select(collection, F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight")).unionByName(edges.select(collection, "src", "dst", F.col("weight").cast("double").alias("weight")))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(p.loc[p.dst.isna(), "src"])
-        known = set(ids)
-        es = [(a, b, w) for a, b, w in p.loc[p.dst.notna(), ["src", "dst", "weight"]].sort_values(["src", "dst"]).itertuples(index=False) if a in known and b in known]
-        g = louvain_groups(ids, es)
-        return pd.DataFrame({collection: p[collection].iloc[0], "id": list(g), "community": list(g.values())})
-
-    kind = nodes.schema[collection].dataType.simpleString()
-    return rows.groupBy(collection).applyInPandas(run, f"{collection} {kind}, id string, community int")
-
-
 def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each node is linked with; distributed, for graphs of any size."""
     both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())

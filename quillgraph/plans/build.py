@@ -109,9 +109,16 @@ def _hyper(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("edge_id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("p:"), F.col("l_partkey").cast("string")))).alias("participants"))
 
 
-@register("prune_dangling_hyper", f"WITH {N}, h AS (SELECT l_orderkey AS edge_id, 'p:' || l_partkey AS p FROM lineitem) SELECT edge_id FROM h LEFT JOIN (SELECT id FROM nodes WHERE confidence > 0.55) n ON n.id = p GROUP BY 1 HAVING bool_and(n.id IS NOT NULL)")
+#: Cheap parts, so that some orders hold no other; an order's parts are the participants of one hyperedge.
+_KEPT_PARTS = "p_retailprice <= (SELECT quantile_disc(p_retailprice, 0.8) FROM part)"
+
+
+@register("prune_dangling_hyper", f"WITH h AS (SELECT l_orderkey AS edge_id, list_sort(list(DISTINCT 'p:' || l_partkey)) AS ps FROM lineitem GROUP BY 1), k AS (SELECT list('p:' || p_partkey) AS known FROM part WHERE {_KEPT_PARTS}) SELECT edge_id, array_to_string(ps, ',') AS participants FROM h, k WHERE list_has_all(known, ps)")
 def prune_dangling_hyper(spark, d):
-    return B.prune_dangling_hyper(_hyper(spark, d), D.nodes(spark, d).where("confidence > 0.55")).select("edge_id")
+    part = table(spark, d, "part")
+    bound = part.agg(F.expr("percentile_disc(0.8) WITHIN GROUP (ORDER BY p_retailprice)")).first()[0]
+    known = part.where(F.col("p_retailprice") <= bound).select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"))
+    return B.prune_dangling_hyper(_hyper(spark, d), known).select("edge_id", F.array_join("participants", ",").alias("participants"))
 
 
 @register("prune_low_weight_topk", f"WITH {E} SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM edges WHERE weight >= 0.2) WHERE r <= 10")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillgraph.operators import communities as C
 from quillgraph.operators import graph as G
+from quillgraph.operators import paths
 from quillgraph.registry import register
 from quillgraph.session import table
 from quillgraph.sources import domain as D
@@ -30,7 +32,9 @@ def bfs_reachable(spark, d):
     return G.reach(D.edges(spark, d), seeds(spark, "c:1", "s:2", "s:5"), 3)
 
 
-@register("bfs_subgraph", f"WITH {_reach_sql(E, ['c:1', 's:2'], 2, 0.2)} SELECT src, dst, edge_type FROM edges WHERE src IN (SELECT id FROM r2) AND dst IN (SELECT id FROM r2)")
+@register("bfs_subgraph", f"""WITH {D.EDGES_SQL}, h AS (SELECT src, dst FROM edges WHERE weight >= 0.2),
+r AS (SELECT 'c:1' AS id UNION SELECT 's:2' UNION SELECT dst FROM h WHERE src IN ('c:1', 's:2') UNION SELECT b.dst FROM h a JOIN h b ON b.src = a.dst WHERE a.src IN ('c:1', 's:2'))
+SELECT edges.src, edges.dst, edge_type FROM edges JOIN r a ON a.id = edges.src JOIN r b ON b.id = edges.dst""")
 def bfs_subgraph(spark, d):
     e = D.edges(spark, d)
     return G.subgraph(e, G.reach(e, seeds(spark, "c:1", "s:2"), 2, 0.2)).select("src", "dst", "edge_type")
@@ -64,6 +68,27 @@ def path_unweighted(spark, d):
     return G.reach(D.edges(spark, d), seeds(spark, "c:1"), None, directed=False)
 
 
+@register("shortest_path_between", f"""WITH {E}, two AS (SELECT a.src AS s, a.dst AS m, b.dst AS t, 1 / greatest(a.weight, 0.001) AS c1, 1 / greatest(b.weight, 0.001) AS c2 FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src = 'c:1' AND b.dst IN (SELECT 'r:' || n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey = 1))
+SELECT 0 AS step, 'node' AS kind, s AS id, NULL::VARCHAR AS src, NULL::VARCHAR AS dst, NULL::DOUBLE AS cost FROM two UNION ALL SELECT 1, 'edge', NULL, s, m, c1 FROM two UNION ALL SELECT 2, 'node', m, NULL, NULL, NULL FROM two
+UNION ALL SELECT 3, 'edge', NULL, m, t, c2 FROM two UNION ALL SELECT 4, 'node', t, NULL, NULL, NULL FROM two""")
+def shortest_path_between(spark, d):
+    """From a customer to its region."""
+    region = table(spark, d, "customer").where("c_custkey = 1").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).first()["n_regionkey"]
+    return paths.cheapest_path(D.edges(spark, d), "c:1", f"r:{region}")
+
+
+@register("path_between", f"""WITH {E}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), m AS (SELECT min(a.dst) AS m FROM u a JOIN u b ON b.src = a.dst WHERE a.src = 'p:1' AND b.dst = (SELECT 'p:' || max(l_partkey) FROM lineitem WHERE l_suppkey = (SELECT min(l_suppkey) FROM lineitem WHERE l_partkey = 1) AND l_partkey <> 1)),
+t AS (SELECT 'p:' || max(l_partkey) AS t FROM lineitem WHERE l_suppkey = (SELECT min(l_suppkey) FROM lineitem WHERE l_partkey = 1) AND l_partkey <> 1)
+SELECT 0 AS step, 'node' AS kind, 'p:1' AS id, NULL::VARCHAR AS src, NULL::VARCHAR AS dst, NULL::DOUBLE AS cost UNION ALL SELECT 1, 'edge', NULL, 'p:1', m, 1 FROM m UNION ALL SELECT 2, 'node', m, NULL, NULL, NULL FROM m
+UNION ALL SELECT 3, 'edge', NULL, m, t, 1 FROM m, t UNION ALL SELECT 4, 'node', t, NULL, NULL, NULL FROM t""")
+def path_between(spark, d):
+    """Between two parts that a supplier has in common, whatever the direction of edges."""
+    items = table(spark, d, "lineitem")
+    supplier = items.where("l_partkey = 1").agg(F.min("l_suppkey")).first()[0]
+    other = items.where((F.col("l_suppkey") == supplier) & (F.col("l_partkey") != 1)).agg(F.max("l_partkey")).first()[0]
+    return paths.path_between(D.edges(spark, d), "p:1", f"p:{other}")
+
+
 @register("neighbors_1hop", f"WITH {E} SELECT DISTINCT n FROM (SELECT dst AS n FROM edges WHERE src = 's:4' UNION SELECT src FROM edges WHERE dst = 's:4') ORDER BY n LIMIT 20")
 def neighbors_1hop(spark, d):
     e = D.edges(spark, d)
@@ -79,7 +104,7 @@ def _pagerank_sql(k: int) -> str:
 
 @register("pagerank", f"WITH {_pagerank_sql(50)} SELECT id, round(rank / (SELECT max(rank) FROM k50), 6) AS rank FROM k50")
 def pagerank(spark, d):
-    return G.pagerank(D.nodes(spark, d), D.edges(spark, d), 50).select("id", F.round("rank", 6).alias("rank"))
+    return C.pagerank(D.nodes(spark, d), D.edges(spark, d), 50).select("id", F.round("rank", 6).alias("rank"))
 
 
 @register("topk_scores", f"WITH {_pagerank_sql(50)} SELECT id, round(rank / (SELECT max(rank) FROM k50), 6) AS rank FROM k50 ORDER BY rank DESC, id LIMIT 20")
@@ -89,13 +114,13 @@ def topk_scores(spark, d):
 
 @register("betweenness")
 def betweenness(spark, d):
-    return G.betweenness(D.nodes(spark, d), D.edges(spark, d)).select("id", F.round("score", 6).alias("score"))
+    return C.betweenness(D.nodes(spark, d), D.edges(spark, d)).select("id", F.round("score", 6).alias("score"))
 
 
 @register("louvain")
 def louvain(spark, d):
     n, e = D.nodes(spark, d), D.edges(spark, d)
-    return G.louvain(n.withColumn("collection_id", F.lit("c1")), e.withColumn("collection_id", F.lit("c1")))
+    return C.louvain(n.withColumn("collection_id", F.lit("c1")), e.withColumn("collection_id", F.lit("c1")))
 
 
 def _components_sql(k: int) -> str:

@@ -10,13 +10,11 @@ from quillgraph.functions import scalars as S
 from quillgraph.registry import register
 from quillgraph.session import table
 
-#: Two patterns match differently beside letters outside ASCII in the two engines; see ``plans.text``.
-_TAGGED = [p for p in P.PATTERNS if p[1] not in ("us_case_supreme_court", "us_case_state_reporter")]
-_TAGS = "tags AS (" + " UNION ALL ".join(f"SELECT doc_id, '{lab}' AS label, unnest(regexp_extract_all(text, '{p.replace("'", "''")}', 0, 'i')) AS match FROM documents" for _, n, lab, p in _TAGGED) + ")"
+_TAGS = "tags AS (" + " UNION ALL ".join(f"SELECT doc_id, '{lab}' AS label, unnest(regexp_extract_all(text, '{p.replace("'", "''")}', 0, 'i')) AS match FROM documents" for _, n, lab, p in P.PATTERNS) + ")"
 
 
 def tags(spark, d):
-    return P.find_all(table(spark, d, "documents").select("doc_id", "text"), _TAGGED).select("doc_id", "label", "match")
+    return P.find_all(table(spark, d, "documents").select("doc_id", "text"), P.PATTERNS).select("doc_id", "label", "match")
 
 
 @register("ner_label_counts", f"WITH {_TAGS} SELECT label, count(*) AS n, count(DISTINCT doc_id) AS chunks FROM tags GROUP BY 1")
@@ -180,9 +178,9 @@ def template_list(spark, d):
     return table(spark, d, "part").where("p_size > 40").select("p_brand", "p_type").distinct()
 
 
-@register("method_list", "SELECT * FROM (VALUES ('entity', true), ('two_stage', true), ('graph_rag', false), ('light_rag', false)) t(method, implemented)")
+@register("method_list", "SELECT * FROM (VALUES ('standard', true), ('two_stage', true), ('graph_rag', false), ('light_rag', false)) t(method, implemented)")
 def method_list(spark, d):
-    return spark.createDataFrame([("entity", True), ("two_stage", True), ("graph_rag", False), ("light_rag", False)], "method string, implemented boolean")
+    return spark.createDataFrame([("standard", True), ("two_stage", True), ("graph_rag", False), ("light_rag", False)], "method string, implemented boolean")
 
 
 @register("ontology_drift", "SELECT c_mktsegment AS kind, count(*) AS n FROM customer WHERE c_mktsegment NOT IN ('BUILDING') GROUP BY 1 HAVING count(*) >= 5")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import patterns as P
 from quillgraph.functions import scalars as S
 from quillgraph.operators import build as B
+from quillgraph.operators import communities as C
 from quillgraph.operators import graph as G
 from quillgraph.operators import retrieval as R
 from quillgraph.operators import store as T
@@ -34,21 +35,15 @@ def test_shortest_path_takes_the_heavier_edge(spark):
 
 def test_pagerank_star(spark):
     n, e = ids(spark, "hub", "a", "b", "c"), edges(spark, ("a", "hub", 1), ("b", "hub", 1), ("c", "hub", 1))
-    got = {r.id: r["rank"] for r in G.pagerank(n, e).collect()}
+    got = {r.id: r["rank"] for r in C.pagerank(n, e).collect()}
     assert got["hub"] == 1.0 and got["a"] < 1
 
 
 def test_betweenness_path(spark):
-    got = {r.id: r.score for r in G.betweenness(ids(spark, "a", "b", "c"), edges(spark, ("a", "b", 1), ("b", "c", 1))).collect()}
+    got = {r.id: r.score for r in C.betweenness(ids(spark, "a", "b", "c"), edges(spark, ("a", "b", 1), ("b", "c", 1))).collect()}
     assert got["b"] == 1.0 and got["a"] == got["c"] == 0
 
 
-def test_louvain_two_clusters():
-    es = [("a", "b", 1), ("b", "c", 1), ("a", "c", 1), ("d", "e", 1), ("e", "f", 1), ("d", "f", 1), ("c", "d", 0.1)]
-    g = G.louvain_groups(list("abcdef"), es)
-    assert g["a"] == g["b"] == g["c"] != g["d"] == g["e"] == g["f"]
-
-
 def test_components(spark):
     n, e = ids(spark, *"abcdx"), edges(spark, ("b", "a", 1), ("c", "b", 1), ("d", "c", 1))
     assert {r.id: r.component for r in G.label_components(n, e).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x"}
@@ -323,11 +318,11 @@ def test_betweenness_and_louvain_against_plain_code(spark):
                     for v in p[1:-1]:
                         raw[v] += 1 / len(ps)
     n = ids(spark, *names)
-    got = {r.id: r.score for r in G.betweenness(n, edges(spark, *[(a, b, 1) for a, b in pairs])).collect()}
+    got = {r.id: r.score for r in C.betweenness(n, edges(spark, *[(a, b, 1) for a, b in pairs])).collect()}
     top = max(raw.values())
     assert all(abs(got[v] - raw[v] / top) < 1e-9 for v in names)
     one = n.withColumn("collection_id", F.lit(1)), edges(spark, *[(a, b, 1) for a, b in pairs]).withColumn("collection_id", F.lit(1))
-    groups = {r.id: r.community for r in G.louvain(*one).collect()}
+    groups = {r.id: r.community for r in C.louvain(*one).collect()}
     assert len({groups[v] for v in "abcd"}) == 1 and len({groups[v] for v in "efgh"}) == 1 and len(set(groups.values())) == 3
 
 
