@@ -264,12 +264,22 @@ def flush_graph_merge(spark, d):
     return c.join(c.groupBy("k").agg(F.min("c_custkey").alias("merged_id")), "k").select("c_custkey", "merged_id")
 
 
-@register("topic_entity_propagation", "SELECT p_partkey, array_to_string(list_sort(list(DISTINCT t)), ',') AS topics FROM (SELECT l_partkey, l_returnflag AS t FROM lineitem UNION ALL SELECT p_partkey, p_brand FROM part) x JOIN part ON p_partkey = l_partkey GROUP BY 1")
+@register("topic_entity_propagation", """WITH nd AS (SELECT p_partkey AS id, [lower(trim(p_name)), lower(trim(p_brand || ' ' || p_type))] AS names, p_type AS old FROM part),
+li AS (SELECT DISTINCT lower(trim(CASE WHEN l_linenumber % 2 = 0 THEN ' ' || upper(p_name) ELSE p_brand || ' ' || p_type END)) AS name, CASE WHEN l_linenumber = 1 THEN p_type ELSE 'flag ' || l_returnflag END AS topic FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40),
+ne AS (SELECT DISTINCT id, topic FROM (SELECT id, unnest(names) AS name FROM nd) JOIN li USING (name)),
+al AS (SELECT id, topic FROM ne UNION SELECT id, old FROM nd WHERE id IN (SELECT id FROM ne))
+SELECT id, array_to_string(list_sort(list(topic)), ',') AS topics FROM al GROUP BY 1 HAVING count(*) > 1""")
 def topic_entity_propagation(spark, d):
-    li = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.collect_set("l_returnflag").alias("new"))
-    p = table(spark, d, "part").select("p_partkey", F.array("p_brand").alias("old"))
-    both = p.join(li, F.col("p_partkey") == F.col("l_partkey"), "left")
-    return both.select("p_partkey", F.array_join(F.array_sort(F.array_union("old", F.coalesce("new", F.array().cast("array<string>")))), ",").alias("topics"))
+    """Parts are nodes with an alias and a topic; links name them by label or alias in other case, and only changed nodes come out."""
+    from quillgraph.operators import tagging
+
+    p, li = table(spark, d, "part"), table(spark, d, "lineitem").where("l_quantity > 40")
+    alias = F.concat("p_brand", F.lit(" "), "p_type")
+    nodes = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.array(alias).alias("aliases"), F.array("p_type").alias("topics"))
+    entity = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" "), F.upper("p_name"))).otherwise(alias)
+    topic = F.when(F.col("l_linenumber") == 1, F.col("p_type")).otherwise(F.concat(F.lit("flag "), "l_returnflag"))
+    links = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(topic.alias("topic"), entity.alias("entity"))
+    return tagging.propagate_topics(nodes, links).select("id", F.array_join("topics", ",").alias("topics"))
 
 
 @register("chunk_doc_join", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN c_name ELSE 'unknown' END AS title FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND o_orderkey % 2 = 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import patterns as P
+from quillgraph.operators import tagging as T
 from quillgraph.operators import text as X
 from quillgraph.registry import register
 from quillgraph.session import table
@@ -114,13 +115,72 @@ def merge_tags(spark, d):
     return X.merge_tags(a, b)
 
 
-@register("spacy_tags", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'ORGANIZATION' WHEN 1 THEN 'LOCATION' WHEN 2 THEN 'DATE' WHEN 3 THEN 'ORGANIZATION' END AS label FROM orders WHERE o_orderkey % 5 < 4")
+@register("merge_tags_greedy", """WITH RECURSIVE a AS (SELECT l_orderkey AS doc_id, (l_linenumber * 10)::INT AS s, (l_linenumber * 10 + floor(l_quantity / 10))::INT AS e FROM lineitem),
+b AS (SELECT l_orderkey AS doc_id, (l_partkey % 60)::INT AS s, (l_partkey % 60 + 6)::INT AS e, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem),
+kept AS (SELECT doc_id, list({'s': s, 'e': e}) AS ts, 0 AS k FROM a GROUP BY 1
+  UNION ALL SELECT t.doc_id, CASE WHEN len(list_filter(ts, lambda h: b.s < h.e AND h.s < b.e)) > 0 THEN ts ELSE list_append(ts, {'s': b.s, 'e': b.e}) END, t.k + 1 FROM kept t JOIN b ON b.doc_id = t.doc_id AND b.k = t.k + 1)
+SELECT doc_id, unnest(ts).s AS "start", unnest(ts).e AS "end" FROM (SELECT doc_id, arg_max(ts, k) AS ts FROM kept GROUP BY 1)""")
+def merge_tags_greedy(spark, d):
+    """The second list overlaps itself; of each order its lines in turn."""
+    of = lambda start, end: T.tag(F.lit("x"), F.lit("x"), start, end, F.lit(1.0))
+    line, size = F.col("l_linenumber") * 10, F.floor(F.col("l_quantity") / 10)
+    first, at = of(line, line + size), F.col("l_partkey") % 60
+    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(first).alias("a"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", of(at, at + 6).alias("t")))).alias("b"))
+    return g.select("doc_id", F.inline(T.merged(F.col("a"), F.transform("b", lambda x: x["t"])))).select("doc_id", "start", "end")
+
+
+_RAW = ["ORG", "GPE", "TIME", "NORP", "CARDINAL", "LOC", "FAC", "PERSON", "MONEY"]
+
+
+@register("spacy_tags", f"""SELECT o_orderkey, m.label FROM (SELECT o_orderkey, {_RAW}[o_orderkey % 9 + 1] AS raw FROM orders) JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in T.MODEL_LABELS.items())}) m(raw, label) USING (raw)""")
 def spacy_tags(spark, d):
     """The label map of a model's tags; labels without a counterpart are dropped."""
-    pairs = [("ORG", "ORGANIZATION"), ("GPE", "LOCATION"), ("TIME", "DATE"), ("NORP", "ORGANIZATION")]
-    maps = F.broadcast(spark.createDataFrame(pairs, "raw string, label string"))  # fixed values
-    raw = F.get(F.array(*[F.lit(x) for x in ("ORG", "GPE", "TIME", "NORP", "CARDINAL")]), (F.col("o_orderkey") % 5).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", raw.alias("raw")).join(maps, "raw").select("o_orderkey", "label")
+    raw = F.get(F.array(*map(F.lit, _RAW)), (F.col("o_orderkey") % 9).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", T.canonical(raw).alias("label")).where("label IS NOT NULL")
+
+
+def _gazetteer(spark, d):
+    """Names: the first two words of every benchmark item."""
+    two = F.regexp_extract("text", r"^\s*(\S+\s+\S+)", 1)
+    return table(spark, d, "benchmark").select(two.alias("name"), F.when(F.col("item_id") % 2 == 0, "PERSON").otherwise("ORGANIZATION").alias("label"))
+
+
+def _spanned(spark, d):
+    """Whole texts with the spans of a stand-in model: long capitalised words, one in lower case, one that is not there."""
+    words = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{4,}\b"), F.lit(0))), 1, 6)
+    one = lambda w, k: F.struct(F.when(k % 2 == 0, "COURT").otherwise("LEGAL_CONCEPT").alias("label"), F.when(k == 1, F.upper(w)).otherwise(w).alias("text"), (F.lit(0.5) + k / 20).alias("score"))
+    absent = F.array(F.struct(F.lit("COURT").alias("label"), F.concat(F.lit("No such "), F.col("doc_id").cast("string")).alias("text"), F.lit(0.9).alias("score")))
+    return docs(spark, d).withColumn("spans", F.concat(F.coalesce(F.transform(words, one), F.array().cast("array<struct<label:string,text:string,score:double>>")), absent))
+
+
+_EACH = ("label", "text", "start", "end", "score")
+
+
+@register("name_mentions")
+def name_mentions(spark, d):
+    return T.mentions(docs(spark, d), _gazetteer(spark, d))
+
+
+@register("resolve_span_tags")
+def resolve_span_tags(spark, d):
+    rows = _spanned(spark, d)
+    return rows.select("doc_id", F.inline(T.resolved(F.col("text"), F.col("spans"))))
+
+
+@register("tag_chunk")
+def tag_chunk(spark, d):
+    """Names, then the model's spans, then citations, as far as they are free, of every whole text."""
+    rows = _spanned(spark, d)
+    return T.tag_chunks(rows, T.mentions(rows, _gazetteer(spark, d))).select("doc_id", F.inline("tags"))
+
+
+@register("ner_backfill")
+def ner_backfill(spark, d):
+    """Texts tagged by an older version, or never, are tagged anew; the others keep their tags."""
+    rows = _spanned(spark, d).withColumn("ner_version", F.when(F.col("doc_id") % 5 > 0, (F.col("doc_id") % 4).cast("int")))
+    old = rows.where("ner_version IS NULL OR ner_version < 3")
+    new = T.tag_chunks(old, T.mentions(old, _gazetteer(spark, d))).select("doc_id", F.size("tags").alias("n_tags"), F.lit(3).alias("ner_version"))
+    return rows.where("ner_version >= 3").select("doc_id", F.lit(0).alias("n_tags"), "ner_version").unionByName(new)
 
 
 @register("embed_texts")
