@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars as S
-from quillgraph.operators.graph import reach
 from quillgraph.session import written
 
 K1, B = 1.2, 0.75
@@ -74,9 +73,25 @@ def page(df: DataFrame, offset: int, limit: int, *order) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def nearest_nodes(nodes: DataFrame, query: list[float], k: int = 5, key: str = "id", column: str = "embedding") -> DataFrame:
+    """(id): the seeds of a graph search, the ``k`` nodes nearest to the query; the ``k`` least ids where no node has a vector."""
+    held = nodes.where(F.col(column).isNotNull())
+    near = vector_top(held.select(key, column), query, None, key=key, column=column).orderBy(F.round("distance", 9), key).limit(k).select(F.col(key).alias("id"))
+    return nodes.select(F.col(key).alias("id")).orderBy("id").limit(k) if near.isEmpty() else near
+
+
 def graph_channel(edges: DataFrame, links: DataFrame, seeds: DataFrame, depth: int = 2, key: str = "chunk_id") -> DataFrame:
-    """(key, score): chunks by the nearest reached node that they mention, 1 / (hop + 1). ``links``: node, chunk."""
-    near = reach(edges, seeds, depth, directed=False)
+    """(key, score): chunks by the nearest reached node that they mention, 1 / (hop + 1). ``links``: node, chunk.
+
+    The edges are written once, both ways; the few hops are one lazy plan over them, its frontiers the small sides.
+    """
+    e = edges.select("src", "dst")
+    e = written(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    front = near = seeds.select("id").distinct().withColumn("hop", F.lit(0))
+    for hop in range(1, depth + 1):
+        front = e.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct().withColumn("hop", F.lit(hop))
+        near = near.unionByName(front)
+    near = near.groupBy("id").agg(F.min("hop").alias("hop"))
     return links.join(near, links["node"] == near["id"]).groupBy(F.col("chunk").alias(key)).agg(F.max(S.hop_score(F.col("hop"))).alias("score"))
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillgraph.operators import analytics as A
 from quillgraph.operators import communities as C
 from quillgraph.operators import graph as G
 from quillgraph.operators import paths
 from quillgraph.registry import register
-from quillgraph.session import table
+from quillgraph.session import table, written
 from quillgraph.sources import domain as D
 
 N, E = (x.replace(" AS (", " AS MATERIALIZED (", 1) for x in (D.NODES_SQL, D.EDGES_SQL))
@@ -135,42 +136,58 @@ def label_components(spark, d):
     return G.label_components(D.nodes(spark, d), D.edges(spark, d))
 
 
-_COMM = "comm AS (SELECT s_suppkey AS id, s_nationkey AS community FROM supplier)"
+#: Suppliers and parts, linked where a supplier has supplied a part often; their communities are its components.
+_OFTEN = 0.4
+_MEMBERS_SQL = f"""w AS MATERIALIZED (SELECT src, dst FROM ({D.EDGES_SQL[len("edges AS ("):-1]}) WHERE edge_type = 'supplies' AND weight >= {_OFTEN}),
+u AS MATERIALIZED (SELECT src, dst FROM w UNION SELECT dst, src FROM w), l0 AS (SELECT 's:' || s_suppkey AS id, s_name AS label, 's:' || s_suppkey AS community FROM supplier UNION ALL SELECT 'p:' || p_partkey, p_name, 'p:' || p_partkey FROM part), """ + ", ".join(
+    f"l{i} AS MATERIALIZED (SELECT id, any_value(label) AS label, min(community) AS community FROM (SELECT * FROM l{i-1} UNION ALL SELECT src, NULL, community FROM u JOIN l{i-1} ON id = dst) GROUP BY id)" for i in range(1, 25)
+) + ", mem AS (SELECT * FROM l24)"
 
 
-def _communities(spark, d):
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("community"), F.col("s_name").alias("label"))
+def _members(spark, d):
+    n = D.nodes(spark, d).where("entity_type IN ('Supplier', 'Part')").select("id", "label")
+    e = D.edges(spark, d).where((F.col("edge_type") == "supplies") & (F.col("weight") >= _OFTEN))
+    return n.join(G.label_components(n, e), "id").select(F.col("component").alias("community"), "id", "label")
 
 
-@register("community_sizes", f"WITH {_COMM} SELECT community, count(*) AS size, round(count(*)::DOUBLE / (SELECT count(*) FROM comm), 4) AS score FROM comm GROUP BY 1")
+@register("community_sizes", f"WITH {_MEMBERS_SQL}, sz AS (SELECT community, count(*) AS size FROM mem GROUP BY 1) SELECT id, label, community, size, round(size::DOUBLE / (SELECT count(*) FROM mem), 4) AS score FROM mem JOIN sz USING (community)")
 def community_sizes(spark, d):
-    g = _communities(spark, d).groupBy("community").agg(F.count("*").alias("size"))
-    return g.select("community", "size", F.round(F.col("size") / F.sum("size").over(Window.partitionBy()), 4).alias("score"))  # a row a community
+    return A.community_scores(_members(spark, d))
 
 
-@register("cluster_topics", f"WITH {_COMM}, s AS (SELECT community, count(*) AS size FROM comm GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY size DESC, community) - 1 AS i FROM s) SELECT community, size, i % 12 AS color FROM r WHERE i < 20")
+_TOPIC_SQL = r"""few AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY id) AS r FROM mem QUALIFY r <= 30),
+wd AS (SELECT community, r, unnest(string_split_regex(trim(label), '\s+')) AS w, generate_subscripts(string_split_regex(trim(label), '\s+'), 1) AS p FROM few),
+ct AS (SELECT community, lower(w) AS w, count(*) AS n, min(r * 1000 + p) AS seen FROM wd WHERE length(w) > 3 GROUP BY 1, 2),
+bw AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, seen) AS k FROM ct QUALIFY k <= 3),
+tp AS (SELECT m.community, coalesce(string_agg(w, ' / ' ORDER BY k), 'Unknown Topic') AS topic FROM (SELECT DISTINCT community FROM mem) m LEFT JOIN bw ON bw.community = m.community GROUP BY 1)"""
+
+
+@register("cluster_topics", f"""WITH {_MEMBERS_SQL}, {_TOPIC_SQL}, sz AS (SELECT community, count(*) AS size FROM mem GROUP BY 1),
+pl AS (SELECT *, (row_number() OVER (ORDER BY size DESC, community) - 1)::INT AS place FROM sz) SELECT place, community, topic, size, {A.CLUSTER_COLORS}[place % 12 + 1] AS color FROM pl JOIN tp USING (community) WHERE place < 20""")
 def cluster_topics(spark, d):
-    g = _communities(spark, d).groupBy("community").agg(F.count("*").alias("size"))
-    i = F.row_number().over(Window.orderBy(F.desc("size"), "community")) - 1
-    return g.orderBy(F.desc("size"), "community").limit(20).withColumn("i", i).select("community", "size", (F.col("i") % 12).cast("long").alias("color"))
+    return A.clusters(_members(spark, d))
 
 
-@register("cluster_topic_fallback", """WITH w AS (SELECT p_size AS community, lower(w) AS w, count(*) AS n FROM (SELECT p_size, unnest(string_split(p_name, ' ')) AS w FROM part) WHERE length(w) > 3 GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, w) AS r FROM w)
-SELECT c.community, coalesce(string_agg(w, ' / ' ORDER BY r), 'Unknown Topic') AS topic FROM (SELECT DISTINCT p_size AS community FROM part) c LEFT JOIN r ON r.community = c.community AND r <= 3 GROUP BY 1""")
+@register("cluster_topic_fallback", f"WITH {_MEMBERS_SQL}, {_TOPIC_SQL} SELECT community, topic FROM tp")
 def cluster_topic_fallback(spark, d):
-    p = table(spark, d, "part")
-    w = p.select(F.col("p_size").alias("community"), F.explode(F.split("p_name", " ")).alias("w")).where(F.length("w") > 3).groupBy("community", F.lower("w").alias("w")).agg(F.count("*").alias("n"))
-    top = w.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("n"), "w"))).where("r <= 3")
-    named = top.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]), " / ").alias("topic"))
-    return p.select(F.col("p_size").alias("community")).distinct().join(named, "community", "left").select("community", F.coalesce("topic", F.lit("Unknown Topic")).alias("topic"))
+    return A.cluster_names(_members(spark, d))
 
 
-@register("analytics_summary", f"WITH {N}, {E} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT entity_type) FROM nodes) AS types, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS communities")
+@register("analytics_summary", f"""WITH {_pagerank_sql(50)}, {_MEMBERS_SQL}, pr AS (SELECT id, round(rank / (SELECT max(rank) FROM k50), 4) AS score FROM k50 ORDER BY score DESC, id LIMIT 5)
+SELECT 'nodes' AS metric, 0 AS place, NULL::VARCHAR AS id, NULL::VARCHAR AS label, count(*)::DOUBLE AS score FROM nodes UNION ALL SELECT 'edges', 0, NULL, NULL, count(*) FROM edges
+UNION ALL SELECT 'communities', 0, NULL, NULL, count(DISTINCT community) FROM mem
+UNION ALL SELECT 'pagerank', (row_number() OVER (ORDER BY score DESC, id))::INT, id, nodes.label, score FROM pr JOIN nodes USING (id)""")
 def analytics_summary(spark, d):
-    one = lambda df, c, n: df.agg(c.alias(n))
     n, e = D.nodes(spark, d), D.edges(spark, d)
-    return one(n, F.count("*"), "nodes").crossJoin(one(e, F.count("*"), "edges")).crossJoin(one(n, F.count_distinct("entity_type"), "types")).crossJoin(one(_communities(spark, d), F.count_distinct("community"), "communities"))  # single rows
+    return A.summary(n, e, _members(spark, d), C.pagerank(n, e))
+
+
+@register("analytics_summary_betweenness")
+def analytics_summary_betweenness(spark, d):
+    """The summary of the suppliers and parts with Louvain communities and betweenness."""
+    n = D.nodes(spark, d).where("entity_type IN ('Supplier', 'Part')").withColumn("collection_id", F.lit("c"))
+    e = D.edges(spark, d).where((F.col("edge_type") == "supplies") & (F.col("weight") >= _OFTEN)).withColumn("collection_id", F.lit("c"))
+    return A.summary(n, e, C.louvain(n, e), C.pagerank(n, e), C.betweenness(n, e))
 
 
 @register("graph_full", f"WITH {N}, {E} SELECT 'node' AS kind, id AS a, label AS b FROM nodes UNION ALL SELECT 'edge', src, dst FROM edges")
@@ -202,23 +219,50 @@ def node_summary_cache(spark, d):
     return now.join(cached, (F.col("l_partkey") == F.col("k")) & (F.col("h") == F.col("ch")), "left").select("l_partkey", "h", F.col("k").isNotNull().alias("reused"))
 
 
-@register("graph_proximity", f"WITH {_reach_sql(E, ['c:1', 's:2', 's:5', 'n:3', 'r:1'], 2)}, s AS (SELECT edges.dst AS chunk_id, max(1.0::DOUBLE / (hop + 1)) AS score FROM r2 JOIN edges ON src = id GROUP BY 1) SELECT chunk_id, score FROM s ORDER BY score DESC, chunk_id LIMIT 50")
+def _seed_sql(k: int) -> str:
+    """The suppliers nearest to the query vector; a supplier's vector is the one of its number."""
+    return f"ve AS (SELECT vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS distance FROM embeddings), sd AS (SELECT 's:' || vec_id AS id FROM ve JOIN supplier ON s_suppkey = vec_id ORDER BY round(distance, 9), 's:' || vec_id LIMIT {k})"
+
+
+def _near(spark, d, k: int):
+    from quillgraph.operators import retrieval as R
+    from quillgraph.plans.retrieval import _node_vectors, _query_vector
+
+    return R.nearest_nodes(_node_vectors(spark, d), _query_vector(spark, d), k)
+
+
+@register("graph_proximity", f"""WITH {D.EDGES_SQL}, {_seed_sql(5)}, r1 AS (SELECT id, 0 AS hop FROM sd UNION ALL SELECT dst, 1 FROM edges WHERE src IN (SELECT id FROM sd)),
+r2 AS (SELECT id, min(hop) AS hop FROM (SELECT * FROM r1 UNION ALL SELECT dst, 2 FROM r1 JOIN edges ON src = id) GROUP BY 1),
+s AS (SELECT edges.dst AS chunk_id, max(1.0::DOUBLE / (hop + 1)) AS score FROM r2 JOIN edges ON src = id GROUP BY 1) SELECT chunk_id, score FROM s ORDER BY score DESC, chunk_id LIMIT 50""")
 def graph_proximity(spark, d):
     from quillgraph.functions import scalars as S
 
     e = D.edges(spark, d)
-    r = G.reach(e, seeds(spark, "c:1", "s:2", "s:5", "n:3", "r:1"), 2)
+    r = G.reach(e, _near(spark, d, 5), 2)
     return e.join(r, e["src"] == r["id"]).groupBy(F.col("dst").alias("chunk_id")).agg(F.max(S.hop_score(F.col("hop"))).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(50)
 
 
-@register("agent_multihop", f"WITH {E}, h0 AS (SELECT unnest(['s:1', 's:2', 's:3']) AS id), t AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM edges), h1 AS (SELECT DISTINCT dst AS id FROM t JOIN h0 ON src = id WHERE r <= 10), f1 AS (SELECT id FROM h1 ORDER BY id LIMIT 20), h2 AS (SELECT DISTINCT dst AS id FROM t JOIN f1 ON src = id WHERE r <= 10) SELECT id FROM h0 UNION SELECT id FROM f1 UNION SELECT id FROM h2")
+@register("agent_multihop", f"""WITH {D.EDGES_SQL}, {_seed_sql(8)}, t AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM edges),
+h1 AS (SELECT DISTINCT dst AS id FROM t JOIN sd ON src = id WHERE r <= 10), f1 AS (SELECT id FROM h1 WHERE id NOT IN (SELECT id FROM sd) ORDER BY id LIMIT 20),
+h2 AS (SELECT DISTINCT dst AS id FROM t JOIN f1 ON src = id WHERE r <= 10), f2 AS (SELECT id FROM h2 WHERE id NOT IN (SELECT id FROM sd UNION SELECT id FROM f1) ORDER BY id LIMIT 20),
+a AS (SELECT id, 0 AS hop FROM sd UNION ALL SELECT id, 1 FROM f1 UNION ALL SELECT id, 2 FROM f2), {D.NODES_SQL},
+c AS (SELECT a.id, hop, label, entity_type, (SELECT string_agg(dst || ' (' || edge_type || ')', ', ' ORDER BY t2.r) FROM (SELECT src, dst, edge_type, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM edges) t2 WHERE t2.src = a.id AND t2.r <= 3) AS links FROM a JOIN nodes USING (id))
+SELECT id, hop, label || ' [' || entity_type || ']' || coalesce(': ' || links, '') AS context FROM c""")
 def agent_multihop(spark, d):
+    """Seeds nearest to the question, two hops of at most ten edges a node and twenty new nodes, and a line of context for each."""
     w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    top = D.edges(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 10").select("src", "dst")
-    hop = lambda f: f.withColumnRenamed("id", "src").join(top, "src").select(F.col("dst").alias("id")).distinct()
-    h0 = seeds(spark, "s:1", "s:2", "s:3")
-    f1 = hop(h0).orderBy("id").limit(20)
-    return h0.union(f1).union(hop(f1)).distinct()
+    top = D.edges(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 10").select("src", "dst", "edge_type", "r")
+    top = written(top)
+    seen, front = _near(spark, d, 8).withColumn("hop", F.lit(0)), None
+    front = seen = written(seen)
+    for hop in (1, 2):
+        new = top.join(F.broadcast(front.select(F.col("id").alias("src"))), "src").select(F.col("dst").alias("id")).distinct()  # 20 rows at most
+        front = written(new.join(F.broadcast(seen.select("id")), "id", "left_anti").orderBy("id").limit(20).withColumn("hop", F.lit(hop)))
+        seen = seen.unionByName(front)
+    few = top.where("r <= 3").join(F.broadcast(seen.select(F.col("id").alias("src"))), "src")  # 48 rows at most
+    said = few.groupBy(F.col("src").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat("dst", F.lit(" ("), "edge_type", F.lit(")")).alias("t")))), lambda x: x["t"]), ", ").alias("links"))
+    line = F.concat("label", F.lit(" ["), "entity_type", F.lit("]"), F.coalesce(F.concat(F.lit(": "), "links"), F.lit("")))
+    return D.nodes(spark, d).join(F.broadcast(seen), "id").join(said, "id", "left").select("id", "hop", line.alias("context"))
 
 
 @register("agent_topn_per_hop", f"WITH {E} SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM edges WHERE edge_type = 'supplies') WHERE r <= 3")

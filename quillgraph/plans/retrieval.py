@@ -68,45 +68,74 @@ def paginate(spark, d):
     return R.page(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 50, 25, F.desc("o_totalprice"), "o_orderkey")
 
 
-#: A chunk mentions the suppliers of the order of its number; the graph search starts at one supplier.
-FUSED = f"""
-{D.EDGES_SQL},
-v AS (SELECT vec_id AS id, greatest(0, 1 - distance) AS s FROM ve ORDER BY round(distance, 9), vec_id LIMIT 40),
-k AS (SELECT doc_id AS id, score / (score + 1) AS s FROM bm ORDER BY score DESC, doc_id LIMIT 40),
+def _fetch(offset: int, limit: int) -> int:
+    """Rows of each channel for a page."""
+    return 2 * (offset + limit)
+
+
+#: A supplier's vector is the one of its number; a chunk mentions the suppliers of the order of its number.
+SEEDS = "sd AS (SELECT 's:' || vec_id AS id FROM ve JOIN supplier ON s_suppkey = vec_id ORDER BY round(distance, 9), 's:' || vec_id LIMIT 5)"
+
+
+def _fused_sql(offset: int = 0, limit: int = 20) -> str:
+    n = _fetch(offset, limit)
+    return f"""
+{VEC}, {BM25}, {D.EDGES_SQL}, {SEEDS},
+v AS (SELECT vec_id AS id, greatest(0, 1 - distance) AS s FROM ve ORDER BY round(distance, 9), vec_id LIMIT {n}),
+k AS (SELECT doc_id AS id, score / (score + 1) AS s FROM bm ORDER BY score DESC, doc_id LIMIT {n}),
 u AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
-n1 AS MATERIALIZED (SELECT 's:2' AS id, 0 AS hop UNION SELECT dst, 1 FROM u WHERE src = 's:2'),
+n1 AS MATERIALIZED (SELECT id, min(hop) AS hop FROM (SELECT id, 0 AS hop FROM sd UNION ALL SELECT dst, 1 FROM u WHERE src IN (SELECT id FROM sd)) GROUP BY 1),
 n2 AS MATERIALIZED (SELECT id, min(hop) AS hop FROM (SELECT * FROM n1 UNION ALL SELECT dst, 2 FROM n1 JOIN u ON src = id) GROUP BY 1),
-g AS (SELECT doc_id AS id, max(1.0::DOUBLE / (hop + 1)) AS s FROM n2 JOIN lineitem ON id = 's:' || l_suppkey JOIN documents ON doc_id = l_orderkey GROUP BY 1 ORDER BY s DESC, 1 LIMIT 40),
+g AS (SELECT doc_id AS id, max(1.0::DOUBLE / (hop + 1)) AS s FROM n2 JOIN lineitem ON id = 's:' || l_suppkey JOIN documents ON doc_id = l_orderkey GROUP BY 1 ORDER BY s DESC, 1 LIMIT {n}),
 fu AS (SELECT coalesce(v.id, k.id, g.id) AS chunk_id, coalesce(v.s, 0) AS vs, coalesce(k.s, 0) AS ks, coalesce(g.s, 0) AS gs
        FROM v FULL JOIN k ON k.id = v.id FULL JOIN g ON g.id = coalesce(v.id, k.id))"""
 
 
-def _channels(spark, d):
-    v = R.vector_top(table(spark, d, "embeddings"), _query_vector(spark, d), None).orderBy(F.round("distance", 9), "vec_id").limit(40)
-    k = R.bm25(table(spark, d, "documents"), TERMS, 40)
-    known = table(spark, d, "documents").select(F.col("doc_id").alias("chunk"))
-    links = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("node")).join(known, "chunk", "left_semi")
-    g = R.graph_channel(D.edges(spark, d), links, spark.createDataFrame([("s:2",)], "id string")).orderBy(F.desc("score"), "chunk_id").limit(40)
-    return v.select(F.col("vec_id").alias("chunk_id"), F.col("vector_score").alias("score")), k.select(F.col("doc_id").alias("chunk_id"), (F.col("score") / (F.col("score") + 1)).alias("score")), g
+def _node_vectors(spark, d):
+    """id, embedding of the suppliers; null without a vector."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("s_suppkey"), "embedding")
+    return table(spark, d, "supplier").select("s_suppkey").join(v, "s_suppkey", "left").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("id"), "embedding")
+
+
+def _channels(spark, d, mode: str = "hybrid", offset: int = 0, limit: int = 20):
+    """The channels of a mode (the others None), each as long as the page asks."""
+    n, query = _fetch(offset, limit), _query_vector(spark, d)
+    v = k = g = None
+    if mode in ("hybrid", "vector"):
+        v = R.vector_top(table(spark, d, "embeddings"), query, None).orderBy(F.round("distance", 9), "vec_id").limit(n)
+        v = v.select(F.col("vec_id").alias("chunk_id"), F.col("vector_score").alias("score"))
+    if mode in ("hybrid", "keyword"):
+        k = R.bm25(table(spark, d, "documents"), TERMS, n)
+        k = k.select(F.col("doc_id").alias("chunk_id"), (F.col("score") / (F.col("score") + 1)).alias("score"))
+    if mode in ("hybrid", "graph"):
+        known = table(spark, d, "documents").select(F.col("doc_id").alias("chunk"))
+        links = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("node")).join(known, "chunk", "left_semi")
+        g = R.graph_channel(D.edges(spark, d), links, R.nearest_nodes(_node_vectors(spark, d), query)).orderBy(F.desc("score"), "chunk_id").limit(n)
+    return v, k, g
 
 
-@register("fuse_scores", f"WITH {VEC}, {BM25}, {FUSED} SELECT chunk_id, round(0.6 * vs + 0.3 * ks + 0.1 * gs, 5) AS final_score FROM fu")
+@register("fuse_scores", f"WITH {_fused_sql()} SELECT chunk_id, round(0.6 * vs + 0.3 * ks + 0.1 * gs, 5) AS final_score FROM fu")
 def fuse_scores(spark, d):
     return R.fuse(*_channels(spark, d)).select("chunk_id", F.round("final_score", 5).alias("final_score"))
 
 
-@register("fuse_union", f"WITH {VEC}, {BM25}, {FUSED} SELECT chunk_id FROM fu")
+@register("fuse_union", f"WITH {_fused_sql()} SELECT chunk_id FROM fu")
 def fuse_union(spark, d):
     v, k, g = _channels(spark, d)
     return v.select("chunk_id").union(k.select("chunk_id")).union(g.select("chunk_id")).distinct()
 
 
+@register("graph_seeds", f"WITH {VEC}, {SEEDS} SELECT id FROM sd")
+def graph_seeds(spark, d):
+    return R.nearest_nodes(_node_vectors(spark, d), _query_vector(spark, d))
+
+
 _SHOWN = "round(vs, 5) AS vector_score, round(ks, 5) AS keyword_score, round(gs, 5) AS graph_score"
 
 
 def _found(spark, d, mode: str, offset: int, limit: int, topics: list[str] | None = None):
     """A page of the mode's results with snippets, after the topic filter."""
-    fused = R.search(*_channels(spark, d), mode)
+    fused = R.search(*_channels(spark, d, mode, offset, limit), mode)
     text = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.left("text", F.lit(80)).alias("snippet"), F.array("lang").alias("topics"))
     rows = text.join(fused, "chunk_id")
     rows = R.topic_postfilter(rows, topics) if topics else rows
@@ -115,24 +144,31 @@ def _found(spark, d, mode: str, offset: int, limit: int, topics: list[str] | Non
     return R.page(rows, offset, limit, F.desc("final_score"), "chunk_id")
 
 
-@register("hybrid_search", f"""WITH {VEC}, {BM25}, {FUSED}
-SELECT chunk_id, {_SHOWN}, round(0.6 * vs + 0.3 * ks + 0.1 * gs, 5) AS final_score, left(text, 80) AS snippet
-FROM fu JOIN documents ON doc_id = chunk_id ORDER BY final_score DESC, chunk_id LIMIT 20""")
+def _page_sql(offset: int, limit: int, where: str = "") -> str:
+    return f"""WITH {_fused_sql(offset, limit)} SELECT chunk_id, {_SHOWN}, round(0.6 * vs + 0.3 * ks + 0.1 * gs, 5) AS final_score, left(text, 80) AS snippet
+FROM fu JOIN documents ON doc_id = chunk_id {where} ORDER BY final_score DESC, chunk_id LIMIT {limit} OFFSET {offset}"""
+
+
+@register("hybrid_search", _page_sql(0, 20))
 def hybrid_search(spark, d):
     return _found(spark, d, "hybrid", 0, 20)
 
 
-@register("hybrid_search_page", f"""WITH {VEC}, {BM25}, {FUSED}
-SELECT chunk_id, {_SHOWN}, round(0.6 * vs + 0.3 * ks + 0.1 * gs, 5) AS final_score, left(text, 80) AS snippet
-FROM fu JOIN documents ON doc_id = chunk_id WHERE lower(lang) IN ('en', 'de') ORDER BY final_score DESC, chunk_id LIMIT 15 OFFSET 10""")
+@register("hybrid_search_page", _page_sql(10, 15, "WHERE lower(lang) IN ('en', 'de')"))
 def hybrid_search_page(spark, d):
     """With a topic filter (a text's topic is its language) and an offset."""
     return _found(spark, d, "hybrid", 10, 15, ["EN", "de"])
 
 
+@register("hybrid_search_deep", _page_sql(80, 20))
+def hybrid_search_deep(spark, d):
+    """A page far down: every channel gives as many rows as the page needs."""
+    return _found(spark, d, "hybrid", 80, 20)
+
+
 def _one_channel(mode: str, score: str) -> None:
     rest = {"vs": "0.0::DOUBLE", "ks": "0.0::DOUBLE", "gs": "0.0::DOUBLE"} | {score: f"round({score}, 5)"}
-    sql = f"""WITH {VEC}, {BM25}, {FUSED} SELECT chunk_id, {rest["vs"]} AS vector_score, {rest["ks"]} AS keyword_score, {rest["gs"]} AS graph_score, round({score}, 5) AS final_score, left(text, 80) AS snippet
+    sql = f"""WITH {_fused_sql()} SELECT chunk_id, {rest["vs"]} AS vector_score, {rest["ks"]} AS keyword_score, {rest["gs"]} AS graph_score, round({score}, 5) AS final_score, left(text, 80) AS snippet
 FROM fu JOIN documents ON doc_id = chunk_id WHERE {score} > 0 ORDER BY final_score DESC, chunk_id LIMIT 20"""
 
     @register(f"search_{mode}", sql)
