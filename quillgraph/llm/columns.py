@@ -24,3 +24,9 @@ def text_of(col: str | Column) -> Column:
 def words(text: Column) -> Column:
     """Maximal runs of characters that are no white space of ``SPACE``."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")
+
+
+def row_key(*columns: str) -> Column:
+    """A 128-bit hash of a row's columns (16 bytes); nulls differ from all values."""
+    parts = [F.coalesce(F.concat(F.lit("+"), F.octet_length(F.col(f"`{c}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in columns]
+    return F.unhex(F.md5(F.concat(*parts)))

@@ -28,3 +28,15 @@ def components(links: DataFrame) -> DataFrame:
         if not changed:
             forget(both)
             return label
+
+
+def extended(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, label; as ``components`` gives it) after further links (a, b): only the components that they join are
+    labelled anew, as nodes of a graph of their own. Nodes that are new get a label too."""
+    of = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    ends = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = written(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")))
+    up = components(ends.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    new = ends.select(F.col("a").alias("node"), F.col("la").alias("label")).unionByName(ends.select(F.col("b").alias("node"), F.col("lb").alias("label"))).distinct()
+    all_ = label.select("node", "label").unionByName(new.join(label.select("node"), "node", "left_anti"))
+    return written(all_.join(up.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label")))

@@ -5,17 +5,18 @@ each labelled with its occurrence number, so repeats count. One of ``SKETCHES``
 least hashes *in text order*: two texts agree on a sketch with a probability that follows their edit similarity, not only
 their sets. Texts that agree form a bucket. Bucket members are first compared with a hub of the bucket: the member of least
 number, then, where a bucket still holds several components, one drawn by hash. Where a bucket is of several components even
-then, all its members are compared with those outside its largest component, in blocks of ``BLOCK`` x ``BLOCK``, each pair in
-the least bucket that it shares: first by length and by item counts in ``BINS`` bins, which bound the alignment from above,
-then by alignment. Of two components a block first proposes the nearest pair, in later rounds more, and in the last round
-all that are still apart, so a group of many copies makes few pairs. A pair counts if its alignment, the longest chain of equal items within the band that ``SIMILAR`` leaves,
-reaches ``SIMILAR`` of all items (common / (a + b - common)). Linked texts form components; no two texts that share a bucket
-and are similar end in different ones. The last step's pairs grow with the square of a family of texts that are nearly, but
-not, similar.
-
-With 24 sketches of 4 items a pair at similarity 0.8 shares no bucket with probability 3e-6. Same words mean same class
-without any comparison: copies, whatever their ids, are folded into one node before anything is exchanged, and only one
-text of a node is ever read again.
+then, all its members are compared with those outside its largest component, in blocks of at most ``BLOCK`` x ``BLOCK`` members
+and about ``BYTES`` of text on each side, each pair in the least bucket that it shares: first by length and by item counts in
+``BINS`` bins, which bound the alignment from above, then the nearest first by alignment, until their components meet. A pair
+counts if its alignment, the longest chain of equal items within the band that ``SIMILAR`` leaves, reaches ``SIMILAR`` of all
+items (common / (a + b - common)). Linked texts form components; no two texts that share a bucket and are similar end in
+different ones. The block step's pairs grow with the square of a family of texts that are nearly, but not, similar.
+
+With 24 sketches of 4 items a pair of long texts at similarity 0.8 shares no bucket with probability 3e-6, one of 14 items with
+2e-5. Two texts of up to ``SHORT`` items share one for sure: their keys are also the hashes of what is left after deleting any
+one item, or any two, which are all the differences that 0.8 leaves to texts of that size. Same words mean same class without
+any comparison: copies, whatever their ids, are folded into one node before anything is exchanged, and only one text of a node
+is ever read again. Rows are told apart by 128-bit hashes of id and text, nodes are numbered.
 
 Defined cases: a text without words (null, empty) is a class of its own; texts under ``K`` words have the whole text as
 the one item; repeated rows share their class; several texts under one id are classed each for itself; a null id takes part
@@ -32,17 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.components import components
-from quillgraph.session import cut, written
+from quillgraph.llm.columns import row_key
+from quillgraph.llm.components import components, extended
+from quillgraph.session import cut, steps, written
 
 K, SIMILAR, SKETCHES, PICK, SEED = 5, 0.8, 24, 4, 11
-BLOCK, BINS = 2048, 512
-#: Pairs that a block proposes for two components, by round.
-PROPOSED = (1, 64, 1 << 40)
+BLOCK, BYTES, BINS = 2048, 16_000_000, 512
+#: Texts of up to SHORT items have exact keys; those of up to ALONE have no partner of more than SHORT, and no sketches.
+SHORT, ALONE = 13, 10
 #: Kana, ideographs, Hangul, Thai, Lao, Khmer and Burmese are written without spaces: a word a character.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U000323af"
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
@@ -104,6 +105,33 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def deletions(x: np.ndarray) -> np.ndarray:
+    """Hashes of a short text's items without none, one or two of them, as far as a similar text of that size may lack them.
+
+    Similar texts of a and b items differ in (a + b) / 9 items at most.
+    """
+    n = len(x)
+
+    def folded(keep: np.ndarray) -> np.ndarray:
+        v = np.full(keep.shape[0], 0x5BD1E995, np.uint64)
+        for j in range(keep.shape[1]):
+            v = (v ^ x[keep[:, j]]) * _MIX
+            v ^= v >> np.uint64(31)
+        return v
+
+    out = [folded(np.arange(n)[None])]
+    if n >= 5:
+        out.append(folded(np.array([[k for k in range(n) if k != i] for i in range(n)])))
+    if n >= 10:
+        out.append(folded(np.array([[k for k in range(n) if k not in (i, j)] for i in range(n) for j in range(i)])))
+    return np.unique(np.concatenate(out))
+
+
+def keys(x: np.ndarray) -> np.ndarray:
+    """The buckets of a text's items."""
+    return np.concatenate([*([deletions(x)] if len(x) <= SHORT else []), *([sketch(x)] if len(x) > ALONE else [])])
+
+
 def bins(x: np.ndarray) -> bytes:
     """Items by ``BINS`` ranges of their hashes, counted up to 255."""
     return np.minimum(np.bincount((x * _MIX >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
@@ -135,17 +163,19 @@ def aligned(a: np.ndarray, b: np.ndarray) -> float:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     items = Items()
     for b in batches:
-        sig, rows, size, hist = [], [], [], []
+        sig, rows, size, hist, weight = [], [], [], [], []
         for t in b.column(2):
-            words = _WORD.findall((t.as_py() or "").lower())
+            said = t.as_py() or ""
+            words = _WORD.findall(said.lower())
+            weight.append(len(said))
             sig.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None)
             x = items.of(words) if words else np.zeros(0, np.uint64)
-            rows.append(sketch(x).view(np.int64) if words else np.zeros(0, np.int64))
+            rows.append(keys(x).view(np.int64) if words else np.zeros(0, np.int64))
             size.append(len(x))
             hist.append(bins(x))
         offsets = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
         values = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values)), pa.array(size, pa.int32()), pa.array(hist, pa.binary())], names=["doc_id", "row", "sig", "keys", "size", "hist"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values)), pa.array(size, pa.int32()), pa.array(weight, pa.int32()), pa.array(hist, pa.binary())], names=["doc_id", "row", "sig", "keys", "size", "bytes", "hist"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,86 +199,58 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, "a long, b long")
 
 
-def _candidates(most: int):
-    def run(t: pa.Table) -> pa.Table:
-        """Members of one block pair of a bucket -> pairs (bucket, i, j, a, b) of different components that may be similar, at most
-        ``most`` of the nearest for two components; ``more``: others are left."""
-        bucket, i, j = (t.column(c)[0].as_py() for c in ("bucket", "i", "j"))
-        label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-        size, part = t.column("size").to_numpy().astype(np.float64), t.column("part").to_numpy()
-        hist = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-        shares = [frozenset(x) for x in t.column("shares").to_pylist()]
-        left, right, out = np.flatnonzero(part == i), np.flatnonzero(part == j), []
-        for k, v in enumerate(left.tolist()):
-            w = right if i < j else right[k + 1 :]
-            w = w[(label[w] != label[v]) & (np.minimum(size[w], size[v]) >= SIMILAR * np.maximum(size[w], size[v]) - 1e-9)]
-            # each bin's difference is made of items without a partner, of which (a + b) (1 - s) / (1 + s) are left at most
-            far = np.abs(hist[w] - hist[v]).sum(1, dtype=np.int64)
-            ok = far <= (size[w] + size[v]) * (1 - SIMILAR) / (1 + SIMILAR) + 1e-9
-            out += [(v, x, f) for x, f in zip(w[ok].tolist(), far[ok].tolist(), strict=True) if min(shares[v] & shares[x]) == bucket]
-        a, b, far = (np.array([p[s] for p in out], np.int64) for s in (0, 1, 2))
-        lo, hi = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-        order = np.lexsort((far, hi, lo))
-        a, b, lo, hi = a[order], b[order], lo[order], hi[order]
-        first = np.maximum.accumulate(np.where(np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))[: len(a)], np.arange(len(a)), 0)) if len(a) else a
-        keep = np.arange(len(a)) - first < most
-        n, ids, more = int(keep.sum()), t.column("node"), not keep.all()
-        same = {"bucket": bucket, "i": i, "j": j}
-        return pa.table({**{c: pa.array([v] * n, pa.int64()) for c, v in same.items()}, "a": ids.take(pa.array(a[keep])), "b": ids.take(pa.array(b[keep])), "more": pa.array([more] * n, pa.bool_())})
-
-    return run
-
-
-def _linked(t: pa.Table) -> pa.Table:
-    """Pairs (a, b) of one block pair, and rows of their nodes (a, label, text; b null) -> the pairs that are similar, without
-    those that the links found before them already join."""
-    items, of, top = Items(), {}, {}
-    ends, pairs = t.filter(pc.is_null(t.column("b"))), t.filter(pc.is_valid(t.column("b")))
-    for v, label, text in zip(*(ends.column(c).to_pylist() for c in ("a", "label", "text")), strict=True):
-        of[v] = (label, items.of(_WORD.findall((text or "").lower())))
-
-    def find(x):
-        while top.get(x, x) != x:
-            top[x] = x = top.get(top[x], top[x])
+def _compare(t: pa.Table) -> pa.Table:
+    """Members of one block pair of a bucket -> links (a, b) between members of different components, one at most for two."""
+    bucket, i, j = (t.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+    label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    size, part = t.column("size").to_numpy().astype(np.float64), t.column("part").to_numpy()
+    hist = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+    shares, found = [frozenset(x) for x in t.column("shares").to_pylist()], []
+    left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    for k, v in enumerate(left.tolist()):
+        w = right if i < j else right[k + 1 :]
+        w = w[(label[w] != label[v]) & (np.minimum(size[w], size[v]) >= SIMILAR * np.maximum(size[w], size[v]) - 1e-9)]
+        # each bin's difference is made of items without a partner, of which (a + b) (1 - s) / (1 + s) are left at most
+        far = np.abs(hist[w] - hist[v]).sum(1, dtype=np.int64)
+        ok = far <= (size[w] + size[v]) * (1 - SIMILAR) / (1 + SIMILAR) + 1e-9
+        w, far = w[ok], far[ok]
+        found.append(np.stack([np.full(len(w), v), w, far]))
+    a, b, far = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+    order = np.argsort(far, kind="stable")
+    items, held, top, keep, text = Items(), {}, list(range(len(label))), [], t.column("text")
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
         return x
 
-    keep = []
-    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-        p, q = find(of[a][0]), find(of[b][0])
-        keep.append(p != q and aligned(of[a][1], of[b][1]) >= SIMILAR - 1e-12)
-        if keep[-1]:
+    def of(v: int) -> np.ndarray:
+        if v not in held:
+            held[v] = items.of(_WORD.findall((text[v].as_py() or "").lower()))
+        return held[v]
+
+    for v, w in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        p, q = find(label[v]), find(label[w])
+        if p != q and min(shares[v] & shares[w]) == bucket and aligned(of(v), of(w)) >= SIMILAR - 1e-12:
             top[p] = q
-    return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep.append((v, w))
+    ends = np.array(keep, np.int64).reshape(-1, 2)
+    ids = t.column("node")
+    return pa.table({"a": ids.take(pa.array(ends[:, 0])), "b": ids.take(pa.array(ends[:, 1]))})
 
 
-def _rest(member: DataFrame, label: DataFrame, links: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest(member: DataFrame, label: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
     """Labels after the links between members of one bucket that are no hubs and of different components."""
-    for most in PROPOSED:
-        pairs, open_ = _proposed(member, label, own, most)
-        if pairs.isEmpty():
-            break
-        by = ["bucket", "i", "j"]
-        ends = pairs.select(*by, F.col("a").alias("node")).unionByName(pairs.select(*by, F.col("b").alias("node"))).distinct()
-        ends = ends.join(open_.select("node", "label").distinct(), "node").join(texts, "node").select(*by, F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "label", "text")
-        both = pairs.select(*by, "a", "b", F.lit(None).cast("long").alias("label"), F.lit(None).cast("string").alias("text")).unionByName(ends)
-        found = written(both.groupBy(*by).applyInArrow(_linked, "a long, b long"))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            label = components(links)
-        if pairs.where("more").isEmpty():
-            break
-    return label
-
-
-def _proposed(member: DataFrame, label: DataFrame, own: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """(candidate pairs by block pair, the members of buckets with several components)."""
     open_ = member.where("n > 3 OR (n > 2 AND least = drawn)").where("node <> least AND node <> drawn").select("node", "bucket")
     open_ = open_.join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = open_.groupBy("bucket", "label").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("all"), F.max(F.struct("m", "label")).alias("main"))
-    several = sizes.where("main.m < all").select("bucket", F.col("main.label").alias("main"), parts(F.col("main.m")).alias("mains"), parts(F.col("all") - F.col("main.m")).alias("others"))
-    open_ = written(open_.join(several, "bucket"))
-    known = open_.groupBy("node").agg(F.collect_list("bucket").alias("shares")).join(own.select("node", "size", "hist"), "node")
+    open_ = open_.join(own.select("node", F.col("bytes")), "node")
+    sizes = open_.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.sum("bytes").alias("w")).groupBy("bucket").agg(F.sum("m").alias("all"), F.sum("w").alias("bytes"), F.max(F.struct("m", "label", "w")).alias("main"))
+    parts = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BYTES), F.lit(1)).cast("int")
+    several = sizes.where("main.m < all").select(
+        "bucket", F.col("main.label").alias("main"), parts(F.col("main.m"), F.col("main.w")).alias("mains"), parts(F.col("all") - F.col("main.m"), F.col("bytes") - F.col("main.w")).alias("others")
+    )
+    open_ = written(open_.drop("bytes").join(several, "bucket"))
+    known = open_.groupBy("node").agg(F.collect_list("bucket").alias("shares")).join(own.select("node", "size", "hist"), "node").join(texts, "node")
     is_main, h = F.col("label") == F.col("main"), F.xxhash64("node", F.lit(SEED))
     part = F.when(is_main, F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("others"))).cast("int")
     upto = lambda c, body: F.transform(F.sequence(F.lit(0), F.col(c) - 1), body)
@@ -258,43 +260,45 @@ def _proposed(member: DataFrame, label: DataFrame, own: DataFrame, most: int) ->
     among = upto("others", lambda x: at(F.least(p, x), F.greatest(p, x), p))
     across = F.when(is_main, upto("others", lambda x: at(-1 - x, p, p))).otherwise(F.concat(among, upto("mains", lambda x: at(-1 - p, x, -1 - p))))
     dealt = open_.withColumn("part", part).select("node", "bucket", "label", F.explode(across).alias("at")).select("node", "bucket", "label", "at.*").join(known, "node")
-    return written(dealt.groupBy("bucket", "i", "j").applyInArrow(_candidates(most), "bucket long, i long, j long, a long, b long, more boolean")), open_
+    found = written(dealt.groupBy("bucket", "i", "j").applyInArrow(_compare, "a long, b long"))
+    return extended(label, found)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row (hash of id and text), class_id (the least id of the class) and keeper (the row hash of the class's one text to keep) of each row."""
-    texts = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = cut(texts.mapInArrow(_sketches, f"doc_id {kind}, row long, sig binary, keys array<long>, size int, hist binary"))
-    # written out, so that the joins below have plain exchanges on both sides and a hot group of copies can be split
-    best = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")).alias("best")
-    reps = cut(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("row").alias("node"), best))
-    named = cut(rows.select("doc_id", "row", "sig").join(reps.select("sig", "node"), "sig", "left").select("doc_id", "row", "node"))
-    own = cut(rows.join(reps.select(F.col("node").alias("row")), "row", "left_semi").dropDuplicates(["row"]).select(F.col("row").alias("node"), "keys", "size", "hist"))
-    keys = own.select("node", F.explode("keys").alias("bucket")).distinct()
-    hubs = keys.groupBy("bucket").agg(F.min("node").alias("least"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("drawn"), F.max("node").alias("most"), F.count("*").alias("n"))
-    shared = hubs.where("least < most").select("bucket", "least", F.col("drawn.node").alias("drawn"), "n")
-    member = cut(keys.join(shared, "bucket").select("node", "bucket", "least", "drawn", "n"))
-    held = cut(texts.select(F.col("row").alias("node"), "text").join(member.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-
-    first = member.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    links = cut(_checked(first, held))
-    label = components(links)
-    second = (
-        member.where("node <> drawn AND drawn <> least").select(F.col("node").alias("a"), F.col("drawn").alias("b")).distinct()
-        .join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-        .join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-        .where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-    )
-    more = cut(_checked(second, held))
-    if more.limit(1).count():
-        links = links.unionByName(more)
+    """doc_id, row (``row_key`` of id and text), class_id (the least id of the class) and keeper (the row key of the class's one text to keep) of each row."""
+    with steps(docs.sparkSession):
+        texts = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).select("doc_id", row_key("doc_id", "text").alias("row"), "text")
+        kind = texts.schema["doc_id"].dataType.simpleString()
+        rows = cut(texts.mapInArrow(_sketches, f"doc_id {kind}, row binary, sig binary, keys array<long>, size int, bytes int, hist binary"))
+        # written out, so that the joins below have plain exchanges on both sides and a hot group of copies can be split
+        best = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")).alias("best")
+        # one number a distinct text, and one of its rows to read it by
+        reps = cut(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("row").alias("row"), best).withColumn("node", F.monotonically_increasing_id()))
+        named = cut(rows.select("doc_id", "row", "sig").join(reps.select("sig", "node"), "sig", "left").select("doc_id", "row", "node"))
+        by_row = reps.select("row", "node")
+        own = cut(rows.select("row", "keys", "size", "bytes", "hist").join(by_row, "row").dropDuplicates(["node"]).select("node", "keys", "size", "bytes", "hist"))
+        keys = own.select("node", F.explode("keys").alias("bucket")).distinct()
+        hubs = keys.groupBy("bucket").agg(F.min("node").alias("least"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("drawn"), F.max("node").alias("most"), F.count("*").alias("n"))
+        shared = hubs.where("least < most").select("bucket", "least", F.col("drawn.node").alias("drawn"), "n")
+        member = cut(keys.join(shared, "bucket").select("node", "bucket", "least", "drawn", "n"))
+        wanted = by_row.join(member.select("node").distinct(), "node", "left_semi")
+        held = cut(texts.select("row", "text").join(wanted, "row").select("node", "text").dropDuplicates(["node"]))
+
+        first = member.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+        links = cut(_checked(first, held))
         label = components(links)
-    label = _rest(member, label, links, own, held)
-    of = reps.select("node", "best").join(label, "node", "left").select("node", "best", F.coalesce("label", "node").alias("label"))
-    least = cut(of.join(of.groupBy("label").agg(F.min("best").alias("least")), "label").select("node", "least"))
-    ids = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
-    return named.join(least, "node", "left").select("doc_id", "row", ids.alias("class_id"), F.coalesce("least.row", "row").alias("keeper"))
+        second = (
+            member.where("node <> drawn AND drawn <> least").select(F.col("node").alias("a"), F.col("drawn").alias("b")).distinct()
+            .join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
+            .join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+            .where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+        )
+        more = cut(_checked(second, held))
+        label = _rest(member, extended(label, more), own, held)
+        of = reps.select("node", "best").join(label, "node", "left").select("node", "best", F.coalesce("label", "node").alias("label"))
+        least = cut(of.join(of.groupBy("label").agg(F.min("best").alias("least")), "label").select("node", "least"))
+        ids = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+        return named.join(least, "node", "left").select("doc_id", "row", ids.alias("class_id"), F.coalesce("least.row", "row").alias("keeper"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -176,3 +176,33 @@ def test_search(spark, small, monkeypatch):
     assert got == sorted(ranked_by_hand(docs, items), key=str)
     assert treaps.search(df.where("false"), it).count() == treaps.search(df, it.where("false")).count() == 0
     assert treaps.search(df.where("doc_id = 203"), it).count() == 0
+
+
+def test_short_texts_near_the_threshold(spark):
+    """Texts of 5 to 17 words with an edit or two: every pair at the threshold shares a bucket, so classes are those of brute force."""
+    from quillgraph.llm import minhash
+
+    r, out = random.Random(31), []
+    for _ in range(120):
+        words = [f"w{r.randrange(10**9)}" for _ in range(r.randint(4, 17))]
+        out.append(words)
+        for _ in range(3):
+            near = list(words)
+            for _ in range(r.randint(1, 2)):
+                at = r.choice([0, len(near), r.randrange(len(near) + 1)])
+                near[at : at + r.randint(0, 1)] = [f"x{r.randrange(10**9)}"] * r.randint(0, 1)
+            out.append(near)
+    rows = [(k, " ".join(w)) for k, w in enumerate(out)]
+    items = minhash.Items()
+    x = [items.of(w) if w else np.zeros(0, np.uint64) for w in out]
+    label = list(range(len(x)))
+    links = [(a, b) for a in range(len(x)) for b in range(a) if out[a] == out[b] or len(x[a]) and len(x[b]) and minhash.aligned(x[a], x[b]) >= minhash.SIMILAR]
+    for _ in range(4):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert sum(len(x[a]) != len(x[b]) for a, b in links) > 40
+    got = {row.doc_id: row.class_id for row in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == label[k] for k, w in enumerate(out) if w)
+    for a, b in links:
+        if max(len(x[a]), len(x[b])) <= minhash.SHORT:
+            assert set(minhash.keys(x[a]).tolist()) & set(minhash.keys(x[b]).tolist())
