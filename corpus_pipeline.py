@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import decontam, langid, minhash, mixing, sharding
+from quillgraph.llm.columns import row_key
 from quillgraph.session import forget, table, written
 
 #: Below this confidence a prediction doesn't name a language.
@@ -60,7 +61,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_ROW, F.xxhash64("doc_id", "text"))
+    return docs.withColumn(_ROW, row_key("doc_id", "text"))
 
 
 def _only(docs: DataFrame, rows: DataFrame, once: bool = False) -> DataFrame:
