@@ -52,21 +52,55 @@ def relations_to_edges(relations: DataFrame, names: DataFrame) -> DataFrame:
     return relations.join(a, "source").join(b, "target").select("src", "dst", S.parse_type(F.col("predicate"), S.EDGE_TYPES).alias("edge_type"), F.col("confidence").alias("weight"))
 
 
-def resolve(candidates: DataFrame, existing: DataFrame, max_edits: int = 3, similar: float = 0.92) -> DataFrame:
+#: Names of up to so many characters meet by their deletions, longer ones by segments.
+_BY_DELETION = 24
+
+
+def _deletions(name: Column) -> Column:
+    """Hashes of a name and of what is left without any one or two of its characters."""
+    n = F.length(name)
+    cut = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
+    upto = lambda m: F.sequence(F.lit(1), m)
+    one = F.when(n > 0, F.transform(upto(n), lambda i: cut(name, i))).otherwise(F.array().cast("array<string>"))
+    two = F.when(n > 1, F.flatten(F.transform(upto(n - 1), lambda i: F.transform(F.sequence(i, n - 1), lambda j: cut(cut(name, i), j))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(F.array(name), one, two), lambda s: F.xxhash64(s)))
+
+
+def _segment(name: Column, size: Column, k: int, shift: int = 0) -> Column:
+    """The k-th third of a name of ``size`` characters, moved by ``shift``, with its place and the size, hashed."""
+    lo, hi = F.floor(size * k / 3).cast("int"), F.floor(size * (k + 1) / 3).cast("int")
+    return F.xxhash64(size.cast("int"), F.lit(k), F.substring(name, lo + 1 + shift, hi - lo))
+
+
+def _meeting(name: Column, probing: bool) -> Column:
+    """Join keys of which two names within two edits share one: what deletions leave of short names, and thirds of long ones, of
+    which two edits leave one whole and at most two characters away; the probing side tries all sizes and places."""
+    n, none = F.length(name), F.array().cast("array<bigint>")
+    if probing:
+        segments = [_segment(name, n + d, k, shift) for d in range(-2, 3) for k in range(3) for shift in range(-2, 3)]
+    else:
+        segments = [_segment(name, n, k) for k in range(3)]
+    return F.concat(F.when(n <= _BY_DELETION + 2, _deletions(name)).otherwise(none), F.when(n > _BY_DELETION, F.array_distinct(F.array(*segments))).otherwise(none))
+
+
+def resolve(candidates: DataFrame, existing: DataFrame, similar: float = 0.92) -> DataFrame:
     """candidate id -> outcome (exact, fuzzy, new) and the matched id.
 
-    Exact: equal normalised name or alias, whatever the type; the first by ``seq``. Fuzzy: same type, fewer than
-    ``max_edits`` edits and cosine above ``similar``; blocked by type and length, so it is an equi-join.
+    Exact: equal normalised name or alias, whatever the type; the first by ``seq``. Fuzzy: same type, at most two edits and
+    cosine above ``similar``. Names meet by deletion neighbourhoods, so the pairs compared follow the names that are close, not
+    all of a type and length; only ids and names move until the edits are counted.
     """
     known = existing.select("id", "seq", F.explode(F.array_union(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
     known = known.select("id", "seq", S.normalize_name(F.col("n")).alias("norm")).where("norm <> ''").groupBy("norm").agg(F.min_by("id", "seq").alias("exact_id"))
     cands = candidates.withColumn("norm", S.normalize_name(F.col("name")))
     done = cands.join(known, "norm", "left")
-    block = existing.select(F.col("id").alias("eid"), F.col("seq").alias("eseq"), F.col("entity_type"), F.col("embedding").alias("ee"), S.normalize_name(F.col("label")).alias("en"))
-    block = block.withColumn("len", F.explode(F.sequence(F.length("en") - (max_edits - 1), F.length("en") + (max_edits - 1))))
-    open_ = done.where("exact_id IS NULL").withColumn("len", F.length("norm"))
-    near = open_.join(block, ["entity_type", "len"]).where((F.levenshtein("norm", "en", max_edits - 1) >= 0) & (S.cosine(F.col("embedding"), F.col("ee")) > similar))
-    fuzzy = near.groupBy("cid").agg(F.min_by("eid", "eseq").alias("fuzzy_id"))
+    open_ = done.where("exact_id IS NULL").select("cid", "entity_type", "norm")
+    left = open_.select("cid", "entity_type", "norm", F.explode(_meeting(F.col("norm"), True)).alias("key"))
+    names = existing.select(F.col("id").alias("eid"), F.col("seq").alias("eseq"), "entity_type", S.normalize_name(F.col("label")).alias("en"))
+    right = names.select("eid", "eseq", "entity_type", "en", F.explode(_meeting(F.col("en"), False)).alias("key"))
+    close = left.join(right, ["entity_type", "key"]).where(F.levenshtein("norm", "en", 2) >= 0).select("cid", "eid", "eseq").distinct()
+    near = close.join(candidates.select("cid", F.col("embedding").alias("ce")), "cid").join(existing.select(F.col("id").alias("eid"), F.col("embedding").alias("ee")), "eid")
+    fuzzy = near.where(S.cosine(F.col("ce"), F.col("ee")) > similar).groupBy("cid").agg(F.min_by("eid", "eseq").alias("fuzzy_id"))
     out = done.join(fuzzy, "cid", "left")
     return out.select("cid", F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("fuzzy_id").isNotNull(), "fuzzy").otherwise("new").alias("outcome"), F.coalesce("exact_id", "fuzzy_id").alias("node_id"))
 

@@ -171,12 +171,13 @@ def test_approximate_search_answers_every_twentieth_row(spark, tmp_path, monkeyp
     import numpy as np
 
     from quillgraph import registry
-    from quillgraph.operators import ivf
+    from quillgraph.operators import ivf, pq
 
     monkeypatch.setattr(ivf, "BLOCK", 50)
     monkeypatch.setattr(ivf, "QUERIES", 4)
+    monkeypatch.setattr(pq, "BLOCK", 50)
     r = np.random.default_rng(3)
-    v = (r.normal(size=(8, 6)) * 4)[r.integers(0, 8, 400)] + r.normal(size=(400, 6))
+    v = (r.normal(size=(8, 16)) * 4)[r.integers(0, 8, 400)] + r.normal(size=(400, 16))
     spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = registry.queries()["ann_rebuild"](spark, str(tmp_path)).collect()
     assert {x.query_id for x in got} == set(range(0, 400, 20)) and len(got) == 200
