@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.operators import build as B
+from quillgraph.operators import merging as M
 from quillgraph.registry import register
 from quillgraph.session import table
 from quillgraph.sources import domain as D
@@ -216,10 +217,35 @@ def merge_field_overwrite_edges(spark, d):
     return out.select("dedup_key", "id", "context", "predicate", "time", "location", listed("participants"), listed("doc_origins"), F.round("weight", 6).alias("weight"))
 
 
-@register("merge_into_collection", f"WITH {_SIDES} SELECT count(*) FILTER (WHERE e.k IS NOT NULL) AS merged, count(*) FILTER (WHERE e.k IS NULL) AS inserted FROM i LEFT JOIN e ON e.k = i.k")
+def _incoming(spark, d):
+    """Orders are the collection, their lines come in; only orders of even number are held."""
+    o, li = table(spark, d, "orders").where("o_orderkey % 2 = 0"), table(spark, d, "lineitem")
+    key = lambda c: F.concat(F.lit("k"), F.col(c).cast("string")).alias("dedup_key")
+    e = o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), key("o_orderkey"), F.col("o_orderstatus").alias("label"), F.col("o_orderpriority").alias("description"), F.lit(0.05).alias("confidence"))
+    parts = F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    i = li.select(parts.alias("id"), key("l_orderkey"), F.col("l_returnflag").alias("label"), F.col("l_linestatus").alias("description"), F.col("l_discount").cast("double").alias("confidence"), F.col("l_linenumber").alias("seq"))
+    return e, i
+
+
+_INCOMING = """e AS (SELECT 'o' || o_orderkey AS id, 'k' || o_orderkey AS dedup_key, o_orderstatus AS label, o_orderpriority AS description, 0.05::DOUBLE AS confidence FROM orders WHERE o_orderkey % 2 = 0),
+i AS (SELECT concat_ws('-', 'l', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) AS id, 'k' || l_orderkey AS dedup_key, l_returnflag AS label, l_linestatus AS description, l_discount::DOUBLE AS confidence, l_linenumber AS seq FROM lineitem),
+w AS (SELECT i.dedup_key, e.id, i.label, i.description, i.confidence, row_number() OVER o AS r, count(*) OVER (PARTITION BY i.dedup_key) AS n,
+  coalesce(lag(i.label) OVER o, e.label) AS pl, coalesce(lag(i.description) OVER o, e.description) AS pd, coalesce(lag(i.confidence) OVER o, e.confidence) AS pc FROM i JOIN e ON e.dedup_key = i.dedup_key WINDOW o AS (PARTITION BY i.dedup_key ORDER BY i.seq, i.id)),
+m AS (SELECT dedup_key, any_value(id) AS id, arg_max(label, r) AS label, arg_max(description, r) AS description, arg_max(confidence, r) AS confidence, count(*) AS n_merged, count(*) FILTER (WHERE label IS DISTINCT FROM pl OR description IS DISTINCT FROM pd OR confidence IS DISTINCT FROM pc) AS n_conflicted FROM w GROUP BY 1),
+al AS (SELECT dedup_key, id, label, description, confidence, 'merged' AS outcome, n_merged, n_conflicted FROM m
+  UNION ALL SELECT dedup_key, id, label, description, confidence, 'kept', 0, 0 FROM e WHERE dedup_key NOT IN (SELECT dedup_key FROM i)
+  UNION ALL SELECT dedup_key, id, label, description, confidence, 'inserted', 0, 0 FROM i WHERE dedup_key NOT IN (SELECT dedup_key FROM e))"""
+
+
+@register("merge_into_collection", f"WITH {_INCOMING} SELECT dedup_key, CASE WHEN outcome = 'inserted' THEN 'new' ELSE id END AS id, label, description, confidence, outcome, n_merged, n_conflicted FROM al")
 def merge_into_collection(spark, d):
-    e, i = _sides(spark, d)
-    return i.join(e.select("dedup_key", F.lit(1).alias("m")), "dedup_key", "left").agg(F.count("m").alias("merged"), F.count_if(F.col("m").isNull()).alias("inserted"))
+    out = M.merge_into(*_incoming(spark, d), "keep_last")
+    return out.select("dedup_key", F.when(F.col("outcome") == "inserted", "new").otherwise(F.col("id")).alias("id"), "label", "description", "confidence", "outcome", "n_merged", "n_conflicted")
+
+
+@register("merge_report", f"WITH {_INCOMING} SELECT coalesce(sum(n_merged), 0)::BIGINT AS merged, count(*) FILTER (WHERE outcome = 'inserted') AS inserted, coalesce(sum(n_conflicted), 0)::BIGINT AS conflicted FROM al")
+def merge_report(spark, d):
+    return M.report(M.merge_into(*_incoming(spark, d), "keep_last"))
 
 
 @register("alias_union", f"WITH {_SIDES} SELECT e.k AS dedup_key, concat(e.al, ',x') AS aliases FROM e JOIN i ON e.k = i.k")
@@ -233,15 +259,36 @@ def chunk_ids_union(spark, d):
     return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_join(F.array_sort(F.collect_set("l_orderkey")), ",").alias("ids"))
 
 
-@register("detect_node_conflicts", f"WITH {_SIDES}, j AS (SELECT e.k, e.de AS a1, i.de AS b1, e.co AS a2, i.co AS b2 FROM e JOIN i ON e.k = i.k) SELECT k AS dedup_key, 'description' AS field, a1 AS a, b1 AS b FROM j WHERE a1 IS DISTINCT FROM b1 UNION ALL SELECT k, 'confidence', a2::VARCHAR, b2::VARCHAR FROM j WHERE a2 IS DISTINCT FROM b2")
+_NODE_PAIR = """a AS (SELECT c_custkey AS k, c_name AS label, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS description, (c_acctbal / 1000)::DOUBLE AS confidence, [c_name, c_mktsegment] AS aliases, CASE WHEN c_custkey % 3 = 0 THEN 'PERSON' END AS ontology_class, NULL::VARCHAR AS display_label FROM customer),
+b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN upper(c_name) ELSE c_name END AS label, c_mktsegment AS description, CASE WHEN c_custkey % 4 = 0 THEN 0.5 ELSE (c_acctbal / 1000)::DOUBLE END AS confidence, CASE WHEN c_custkey % 7 = 0 THEN [c_name] ELSE [c_name, c_mktsegment] END AS aliases, 'PERSON' AS ontology_class, CASE WHEN c_custkey % 6 = 0 THEN c_name END AS display_label FROM customer WHERE c_custkey % 11 <> 0)"""
+
+
+def _differing(fields: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT k AS dedup_key, '{f}' AS field, a.{f}::VARCHAR AS a, b.{f}::VARCHAR AS b FROM a JOIN b USING (k) WHERE a.{f}::VARCHAR IS DISTINCT FROM b.{f}::VARCHAR" for f in fields)
+
+
+@register("detect_node_conflicts", f"WITH {_NODE_PAIR.replace('(c_acctbal / 1000)::DOUBLE', 'c_nationkey / 4.0::DOUBLE')} {_differing(M.NODE_CONFLICTS)}")
 def detect_node_conflicts(spark, d):
-    return B.conflicts(*_sides(spark, d), ["description", "confidence"])
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    c = c.withColumn("conf", F.col("c_nationkey") / 4.0)
+    both = F.array("c_name", "c_mktsegment")
+    a = c.select(k.alias("dedup_key"), F.col("c_name").alias("label"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("description"), F.col("conf").alias("confidence"), both.alias("aliases"), F.when(k % 3 == 0, "PERSON").alias("ontology_class"), F.lit(None).cast("string").alias("display_label"))
+    b = c.where(k % 11 != 0).select(
+        k.alias("dedup_key"), F.when(k % 5 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("label"), F.col("c_mktsegment").alias("description"), F.when(k % 4 == 0, 0.5).otherwise(F.col("conf")).alias("confidence"),
+        F.when(k % 7 == 0, F.array("c_name")).otherwise(both).alias("aliases"), F.lit("PERSON").alias("ontology_class"), F.when(k % 6 == 0, F.col("c_name")).alias("display_label"),
+    )
+    return B.conflicts(a, b, list(M.NODE_CONFLICTS))
+
 
+_EDGE_SIDE = "SELECT l_orderkey AS k, {0}(l_returnflag) AS predicate, {0}(l_linestatus) AS context, {0}(l_linenumber) AS weight, {0}(l_shipdate)::DATE AS time, {0}(l_partkey % 3) AS location, {0}(l_suppkey % 2) AS display_label FROM lineitem GROUP BY 1"
 
-@register("detect_edge_conflicts", "SELECT l_orderkey AS dedup_key, 'predicate' AS field, a, b FROM (SELECT l_orderkey, min(l_returnflag) AS a, max(l_returnflag) AS b FROM lineitem GROUP BY 1) WHERE a <> b")
+
+@register("detect_edge_conflicts", f"WITH a AS ({_EDGE_SIDE.format('min')}), b AS ({_EDGE_SIDE.format('max')}) {_differing(M.EDGE_CONFLICTS)}")
 def detect_edge_conflicts(spark, d):
+    """The least and the greatest values of an order's lines as the two sides."""
     g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("dedup_key"))
-    return B.conflicts(g.agg(F.min("l_returnflag").alias("predicate")), g.agg(F.max("l_returnflag").alias("predicate")), ["predicate"])
+    side = lambda f: g.agg(f("l_returnflag").alias("predicate"), f("l_linestatus").alias("context"), f("l_linenumber").alias("weight"), f("l_shipdate").cast("date").alias("time"), f(F.col("l_partkey") % 3).alias("location"), f(F.col("l_suppkey") % 2).alias("display_label"))
+    return B.conflicts(side(F.min), side(F.max), list(M.EDGE_CONFLICTS))
 
 
 @register("merge_nodes_resolved", """WITH r AS (SELECT l_orderkey AS k, 'p' || (l_partkey % 7) AS name, l_discount::DOUBLE AS c, repeat('x', l_quantity::INT) AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_discount, l_partkey, l_suppkey, l_quantity) AS s FROM lineitem),
@@ -256,9 +303,19 @@ def merge_nodes_resolved(spark, d):
     return out.select("id", F.round(F.col("confidence") + 1e-12, 8).alias("confidence"), F.array_join("aliases", ",").alias("aliases"), F.length("description").alias("longest"))
 
 
-@register("flush_graph_merge", "WITH g AS (SELECT concat(c_mktsegment, '::', lower(n_name)) AS k, min(c_custkey) AS id, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1) SELECT c_custkey, g.id AS merged_id FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN g ON g.k = concat(c_mktsegment, '::', lower(n_name))")
+@register("flush_graph_merge", """WITH g AS (SELECT c_mktsegment || '::' || lower(n_name) AS key, c_custkey AS id, (c_custkey % 10) / 10.0::DOUBLE AS c, c_custkey % 4 AS chunk, row_number() OVER o AS r, count(*) OVER (PARTITION BY c_mktsegment || '::' || lower(n_name)) AS n
+  FROM customer JOIN nation ON n_nationkey = c_nationkey WINDOW o AS (PARTITION BY c_mktsegment || '::' || lower(n_name) ORDER BY c_custkey))
+SELECT key, min(id) AS id, any_value(n) AS n, round(sum(c * pow(0.5::DOUBLE, CASE WHEN r = 1 THEN n - 1 ELSE n - r + 1 END)), 6) AS confidence, array_to_string(list_sort(list(DISTINCT chunk)), ',') AS source_chunk_ids FROM g GROUP BY 1""")
 def flush_graph_merge(spark, d):
-    """Nodes of one type and label become the first; references are re-pointed to it."""
+    """Nodes of one type and label become the first, with the ordered mean of confidences and all chunk ids."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    nodes = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("entity_type"), F.col("n_name").alias("label"), ((F.col("c_custkey") % 10) / 10.0).alias("confidence"), F.array(F.col("c_custkey") % 4).alias("source_chunk_ids"), F.col("c_custkey").alias("seq"))
+    return M.flush(nodes).select("key", "id", "n", F.round("confidence", 6).alias("confidence"), F.array_join("source_chunk_ids", ",").alias("source_chunk_ids"))
+
+
+@register("flush_repoint", "WITH g AS (SELECT c_mktsegment || '::' || lower(n_name) AS k, min(c_custkey) AS id FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1) SELECT c_custkey, g.id AS merged_id FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN g ON g.k = c_mktsegment || '::' || lower(n_name)")
+def flush_repoint(spark, d):
+    """References re-pointed to the first node of their type and label."""
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     c = c.select("c_custkey", F.concat_ws("::", "c_mktsegment", F.lower("n_name")).alias("k"))
     return c.join(c.groupBy("k").agg(F.min("c_custkey").alias("merged_id")), "k").select("c_custkey", "merged_id")

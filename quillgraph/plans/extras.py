@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import scalars as S
 from quillgraph.operators import graph as G
 from quillgraph.operators import hooks, ivf, pq
+from quillgraph.operators import merging as M
 from quillgraph.operators import retrieval as R
 from quillgraph.operators import text as X
 from quillgraph.registry import register
@@ -39,11 +40,15 @@ def participants_intersect(spark, d):
     return _sets(spark, d).select("l_orderkey", F.arrays_overlap("a", "b").alias("hit"))
 
 
-@register("merge_py_dict", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'filled' END AS description, round((c_acctbal / 10000 + 0.9) / 2, 10) AS confidence FROM customer")
+@register("merge_py_dict", """WITH e AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS de, [c_name] AS al, c_nationkey / 100.0::DOUBLE AS co FROM customer WHERE c_custkey % 3 <> 0),
+i AS (SELECT o_custkey AS k, min(o_orderpriority) AS de, list_sort(list(DISTINCT o_orderstatus)) AS al, count(*) / 50.0::DOUBLE AS co FROM orders GROUP BY 1)
+SELECT coalesce(e.k, i.k) AS dedup_key, coalesce(e.de, i.de) AS description, array_to_string(CASE WHEN e.k IS NOT NULL AND i.k IS NOT NULL THEN list_concat(e.al, i.al) ELSE coalesce(e.al, i.al) END, ',') AS aliases, round(CASE WHEN e.k IS NOT NULL AND i.k IS NOT NULL THEN (e.co + i.co) / 2 ELSE coalesce(e.co, i.co) END, 10) AS confidence FROM e FULL JOIN i ON e.k = i.k""")
 def merge_py_dict(spark, d):
-    """Missing fields filled, confidences averaged."""
-    c = table(spark, d, "customer")
-    return c.select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")), F.lit("filled")).alias("description"), F.round((F.col("c_acctbal") / 10000 + 0.9) / 2, 10).alias("confidence"))
+    """Customers and what their orders say of them: missing fields filled, lists extended, confidences averaged."""
+    e = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("dedup_key"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("description"), F.array("c_name").alias("aliases"), (F.col("c_nationkey") / 100.0).alias("confidence"))
+    i = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("dedup_key")).agg(F.min("o_orderpriority").alias("description"), F.array_sort(F.collect_set("o_orderstatus")).alias("aliases"), (F.count("*") / 50.0).alias("confidence"))
+    out = M.fill_merge(e, i, ("description",), ("aliases",))
+    return out.select("dedup_key", "description", F.array_join("aliases", ",").alias("aliases"), F.round("confidence", 10).alias("confidence"))
 
 
 @register("spatio_temporal_key", "SELECT o_orderkey, concat(o_custkey, '|', o_orderstatus, '|', o_orderkey, '@', strftime(o_orderdate, '%Y-%m-%d'), '|', o_orderpriority) AS k FROM orders")
