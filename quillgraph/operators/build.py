@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars as S
-from quillgraph.session import written
+from quillgraph.operators.store import numbered
+from quillgraph.session import steps, written
 
 # The default ontology, entity types with subtypes and relation types with domain, range and symmetry.
 ENTITY_TYPES = {
@@ -121,14 +122,15 @@ def with_subtypes(types: list[str]) -> list[str]:
 
 def ancestors(types: DataFrame, parents: DataFrame) -> DataFrame:
     """(t, up): every type with itself and all types above it. ``parents``: t, p. One round a level, until none is new."""
-    links = parents.select(F.col("t").alias("up"), "p")
-    front = written(types.select("t", F.col("t").alias("up")).distinct())
-    out = front
-    while True:
-        front = written(front.join(links, "up").select("t", F.col("p").alias("up")).distinct().join(out, ["t", "up"], "left_anti"))
-        if front.isEmpty():
-            return out
-        out = out.unionByName(front)
+    with steps(types.sparkSession) as keep:
+        links = parents.select(F.col("t").alias("up"), "p")
+        front = written(types.select("t", F.col("t").alias("up")).distinct())
+        out = front
+        while True:
+            front = written(front.join(links, "up").select("t", F.col("p").alias("up")).distinct().join(out, ["t", "up"], "left_anti"))
+            if front.isEmpty():
+                return keep(out)
+            out = out.unionByName(front)
 
 
 def relation_problem(predicate: Column, source_type: Column, target_type: Column) -> Column:
@@ -221,12 +223,13 @@ def merge_resolved(canonical: DataFrame, incoming: DataFrame, seq: str) -> DataF
     order of ``seq``: names and aliases appended once, confidence halved towards each, the longer description taken.
 
     ``canonical``: id, confidence, aliases, description; ``incoming``: id, ``seq``, name, aliases, confidence, description.
-    The ordered mean is a sum weighted by powers of a half, and the aliases are folded by distinct name, so no task
-    gathers a node's entities; only its distinct aliases meet in one row.
+    The ordered mean is a sum weighted by powers of a half, entities are numbered by ranges of (id, ``seq``), and the aliases
+    are folded by distinct name, so no task gathers a node's entities; only its distinct aliases meet in one row.
     """
-    order = Window.partitionBy("id").orderBy(seq)
-    at = incoming.withColumn("at", F.row_number().over(order).cast("long"))
-    n = at.groupBy("id").agg(F.max("at").alias("n"))
+    rows = numbered(incoming.withColumn("by_", F.struct("id", seq)), "by_").drop("by_")
+    ends = rows.groupBy("id").agg(F.min("sequence").alias("lo_"), F.count("*").alias("n"))
+    at = rows.join(ends.select("id", "lo_"), "id").withColumn("at", F.col("sequence") - F.col("lo_") + 1).drop("sequence", "lo_")
+    n = ends.select("id", "n")
     means = at.join(n, "id").groupBy("id").agg(F.max("n").alias("n"), F.sum(F.col("confidence") * F.pow(F.lit(0.5), F.col("n") - F.col("at") + 1)).alias("part"), F.max(F.struct(F.length("description").alias("size"), (-F.col("at")).alias("first"), "description")).alias("long"))
     names = at.select("id", "at", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("pos", "alias"))
     fresh = names.groupBy("id", "alias").agg(F.min(F.struct("at", "pos")).alias("seen")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "alias"))), lambda x: x["alias"]).alias("fresh"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars as S
-from quillgraph.session import written
+from quillgraph.session import steps, written
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int | None, least: float = 0.0, directed: bool = True) -> DataFrame:
@@ -14,20 +14,21 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None, least: float =
 
     The edges are computed once and written; a round writes only its new frontier, and ends where there is none.
     """
-    e = edges.where(F.col("weight") >= least).select("src", "dst")
-    if not directed:
-        e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    e = written(e.distinct())
-    front = seen = written(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
-    hop = 0
-    while depth is None or hop < depth:
-        hop += 1
-        new = front.select(F.col("id").alias("src")).join(e, "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        front = written(new.withColumn("hop", F.lit(hop)))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+    with steps(edges.sparkSession) as keep:
+        e = edges.where(F.col("weight") >= least).select("src", "dst")
+        if not directed:
+            e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        e = written(e.distinct())
+        front = seen = written(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
+        hop = 0
+        while depth is None or hop < depth:
+            hop += 1
+            new = front.select(F.col("id").alias("src")).join(e, "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+            front = written(new.withColumn("hop", F.lit(hop)))
+            if front.isEmpty():
+                break
+            seen = seen.unionByName(front)
+        return keep(seen)
 
 
 def subgraph(edges: DataFrame, reached: DataFrame) -> DataFrame:
@@ -45,30 +46,33 @@ def batched_reach(edges: DataFrame, seeds: DataFrame, depth: int, max_degree: in
 
 def shortest_paths(edges: DataFrame, source: str, depth: int = 10) -> DataFrame:
     """(id, cost, path) of the cheapest directed paths of at most ``depth`` edges; cost 1 / weight, ties by path."""
-    e = written(edges.select("src", "dst", S.edge_cost(F.col("weight")).alias("c")).groupBy("src", "dst").agg(F.min("c").alias("c")))
-    best = written(edges.sparkSession.range(1).select(F.lit(source).alias("id"), F.lit(0.0).alias("cost"), F.lit(source).alias("path"), F.lit(0).alias("at")))
-    for step in range(1, depth + 1):
-        front = best.where(F.col("at") == step - 1).select(F.col("id").alias("src"), "cost", "path")
-        new = front.join(e, "src").select(F.col("dst").alias("id"), (F.col("cost") + F.col("c")).alias("cost"), F.concat_ws(">", "path", "dst").alias("path"), F.lit(step).alias("at"))
-        both = best.unionByName(new).groupBy("id").agg(F.min(F.struct(F.round("cost", 12).alias("k"), "path", "cost", "at")).alias("m"))
-        best = written(both.select("id", "m.cost", "m.path", "m.at"))
-        if best.where(F.col("at") == step).limit(1).count() == 0:
-            break
-    return best.select("id", "cost", "path")
+    with steps(edges.sparkSession) as keep:
+        e = written(edges.select("src", "dst", S.edge_cost(F.col("weight")).alias("c")).groupBy("src", "dst").agg(F.min("c").alias("c")))
+        best = written(edges.sparkSession.range(1).select(F.lit(source).alias("id"), F.lit(0.0).alias("cost"), F.lit(source).alias("path"), F.lit(0).alias("at")))
+        for step in range(1, depth + 1):
+            front = best.where(F.col("at") == step - 1).select(F.col("id").alias("src"), "cost", "path")
+            new = front.join(e, "src").select(F.col("dst").alias("id"), (F.col("cost") + F.col("c")).alias("cost"), F.concat_ws(">", "path", "dst").alias("path"), F.lit(step).alias("at"))
+            both = best.unionByName(new).groupBy("id").agg(F.min(F.struct(F.round("cost", 12).alias("k"), "path", "cost", "at")).alias("m"))
+            best = written(both.select("id", "m.cost", "m.path", "m.at"))
+            if best.where(F.col("at") == step).limit(1).count() == 0:
+                break
+        return keep(best.select("id", "cost", "path"))
 
 
 def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each node is linked with; distributed, for graphs of any size."""
-    both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = written(nodes.select("id", F.col("id").alias("component")))
-    while True:
-        got = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
-        step = written(label.join(got, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("next"), "component"))
-        moved = step.where("next <> component").limit(1).count()
-        jump = step.select(F.col("id").alias("next"), F.col("next").alias("top"))
-        label = written(step.select("id", "next").join(jump, "next").select("id", F.col("top").alias("component")))
-        if not moved:
-            return label
+    with steps(nodes.sparkSession) as keep:
+        both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+        label = written(nodes.select("id", F.col("id").alias("component")))
+        while True:
+            got = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
+            step = written(label.join(got, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("next"), "component"))
+            moved = step.where("next <> component").limit(1).count()
+            jump = step.select(F.col("id").alias("next"), F.col("next").alias("top"))
+            label = step.select("id", "next").join(jump, "next").select("id", F.col("top").alias("component"))
+            if not moved:
+                return keep(label)
+            label = written(label)
 
 
 def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
