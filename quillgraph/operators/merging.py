@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillgraph.operators.build import EDGE_FIELDS, NODE_FIELDS, prune_dangling
-from quillgraph.operators.store import numbered
+from quillgraph.operators.store import latest_version, numbered, versions, write_version
 
 STRATEGIES = ("keep_first", "keep_last", "field_overwrite")
 # The fields that are compared for conflicts.
@@ -162,31 +162,11 @@ def feed(nodes: DataFrame, edges: DataFrame, path: str, checkpoint: str, strateg
         prune_dangling(kept[1], kept[0]).write.mode("overwrite").parquet(f"{path}/linked")
 
 
-def _versions(spark, path: str) -> list[int]:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return []
-    found = [s.getPath() for s in fs.listStatus(at)]
-    return sorted(int(p.getName()[1:]) for p in found if p.getName()[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
-def latest_version(spark, path: str) -> DataFrame | None:
-    """The newest whole version of a collection."""
-    found = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v{found[-1]}") if found else None
-
-
 def _drain(stream: DataFrame, path: str, checkpoint: str, strategy: str, of_edges: bool, keep: int) -> None:
     def commit(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [v for v in _versions(spark, path) if v < number]
-        none = batch.drop("seq").limit(0)
-        held = spark.read.parquet(f"{path}/v{before[-1]}") if before else none
-        merge_into(held, batch, strategy, of_edges).drop("outcome", "n_merged", "n_conflicted").write.mode("overwrite").parquet(f"{path}/v{number}")
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        for v in [v for v in _versions(spark, path) if v <= number][:-keep]:
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{v}"), True)
+        before = [v for v in versions(spark, path) if v < number]
+        held = spark.read.parquet(f"{path}/v{before[-1]}") if before else batch.drop("seq").limit(0)
+        write_version(merge_into(held, batch, strategy, of_edges).drop("outcome", "n_merged", "n_conflicted"), path, number, keep)
 
     stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.session import cut
@@ -20,6 +20,42 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, seq: str) -> Data
     return existing.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions of a table that is kept as folders v0, v1, ..."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    at = of(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(p.getName()[1:]) for p in found if p.getName()[1:].isdigit() and fs.exists(of(p, "_SUCCESS")))
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest whole version."""
+    found = versions(spark, path)
+    return spark.read.parquet(f"{path}/v{found[-1]}") if found else None
+
+
+def write_version(rows: DataFrame, path: str, number: int, keep: int = 2) -> None:
+    """Writes a version, again if it was begun before, and deletes all but the last ``keep``."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{path}/v{number}")
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for v in [v for v in versions(spark, path) if v <= number][:-keep]:
+        fs.delete(of(f"{path}/v{v}"), True)
+
+
+def sink_upsert(rows: DataFrame, path: str, key: str, seq: str, keep: int = 2) -> None:
+    """Commits an upsert of rows (of a key the last by ``seq``) to a table of versions: a reader sees the version before or the
+    one after, whole."""
+    found = versions(rows.sparkSession, path)
+    if found:
+        new = upsert(rows.sparkSession.read.parquet(f"{path}/v{found[-1]}"), rows, key, seq)
+    else:
+        new = latest(rows, [key], F.desc(seq)).drop(seq)
+    write_version(new, path, found[-1] + 1 if found else 0, keep)
+
+
 def update_only(existing: DataFrame, incoming: DataFrame, key: str, column: str) -> DataFrame:
     """Matched rows take the new value where there is one; unmatched incoming rows are ignored."""
     new = incoming.select(key, F.col(column).alias("__new"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import store as T
 from quillgraph.registry import register
 from quillgraph.session import checkpoint_dir, table
-from quillgraph.sources import files
+from quillgraph.sources import files, folder
 from quillgraph.streaming import streams
 
 events = lambda s, d: table(s, d, "events")
@@ -22,6 +22,18 @@ def upsert_by_id(spark, d):
     return T.upsert(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("v")), inc, "id", "seq")
 
 
+@register("sink_upsert", "WITH i AS (SELECT user_id AS id, arg_max(event_type, event_id) AS v FROM events GROUP BY 1) SELECT c_custkey AS id, c_name AS v FROM customer WHERE c_custkey NOT IN (SELECT id FROM i) UNION ALL SELECT id, v FROM i")
+def sink_upsert(spark, d):
+    """Customers, then two upserts of events, committed to a table of versions and read back."""
+    path = f"{checkpoint_dir(spark)}/sink-{uuid.uuid4().hex}"
+    rows = events(spark, d).select(F.col("user_id").alias("id"), F.col("event_type").alias("v"), F.col("event_id").alias("seq"))
+    first = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("v"), F.lit(-1).cast("long").alias("seq"))
+    middle = rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY seq)")).first()[0]
+    for part in (first, rows.where(F.col("seq") <= middle), rows.where(F.col("seq") > middle)):
+        T.sink_upsert(part, path, "id", "seq")
+    return T.latest_version(spark, path)
+
+
 _UPDATE = "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 AND s_suppkey IS NOT NULL THEN s_name ELSE c_name END AS c_name FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey AND c_custkey % 4 = 0"
 
 
@@ -136,12 +148,13 @@ def drive_sync(spark, d):
     return files.drive_changes(p, p.where("page_id % 2 = 0").withColumn("mark", mark)).select("page_id")
 
 
-@register("scan_folder")
+@register("scan_folder", "SELECT 'text' AS kind, 2 AS depth, count(*) AS n FROM (SELECT DISTINCT lang, source FROM documents)")
 def scan_folder(spark, d):
-    """Known files below a folder that this writes first: one text file and one of an unknown kind."""
+    """The texts written as one file a language and source, and what the folder source lists of them."""
     path = f"{checkpoint_dir(spark)}/scan-{uuid.uuid4().hex}"
-    table(spark, d, "nation").select("n_name").coalesce(1).write.text(path)
-    return files.scan_folder(spark, path).select("kind", "size")
+    texts = table(spark, d, "documents").select("lang", "source", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " ").alias("text"))
+    texts.repartition("lang", "source").write.partitionBy("lang", "source").text(path)
+    return folder.scan(spark, path.removeprefix("file:")).groupBy("kind", "depth").agg(F.count("*").alias("n"))
 
 
 @register("rate_limit", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, user_id, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")

@@ -51,18 +51,14 @@ def registers(updates: DataFrame) -> DataFrame:
 
 
 def commit_batches(stream: DataFrame, path: str, checkpoint: str, key: str, seq: str, every: str | None = None) -> None:
-    """Upsert micro-batches into a table kept as numbered versions; a replayed batch rewrites its own version."""
-    from quillgraph.operators.store import upsert
+    """Upsert micro-batches into a table of versions, the last two of which stay; a replayed batch writes its own version again."""
+    from quillgraph.operators.store import latest, upsert, versions, write_version
 
     def commit(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if number == 0:
-            from quillgraph.operators.store import latest
-
-            new = latest(batch, [key], F.desc(seq)).drop(seq)
-        else:
-            new = upsert(spark.read.parquet(f"{path}/v{number - 1}"), batch, key, seq)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        before = [v for v in versions(spark, path) if v < number]
+        new = upsert(spark.read.parquet(f"{path}/v{before[-1]}"), batch, key, seq) if before else latest(batch, [key], F.desc(seq)).drop(seq)
+        write_version(new, path, number)
 
     w = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start().awaitTermination()
