@@ -37,6 +37,36 @@ def subgraph(edges: DataFrame, reached: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+def filtered_nodes(nodes: DataFrame, since=None, until=None, types: list[str] | None = None, chunks: DataFrame | None = None, labelled: DataFrame | None = None, keywords: list[str] | None = None, times: str = "created_at", sources: str = "source_chunk_ids") -> DataFrame:
+    """The nodes that pass every filter given: time between ``since`` and the end of the day ``until`` (dates), one of the
+    entity types, a source among ``chunks`` (chunk; those of a document) and among ``labelled`` (chunk; those with a label),
+    and a label that is one of the keywords whatever its case. Each chunk filter is a semi-join of (id, chunk) pairs."""
+    out = nodes
+    if since is not None:
+        out = out.where(F.col(times) >= F.lit(since).cast("timestamp"))
+    if until is not None:
+        out = out.where(F.col(times) <= F.lit(until).cast("timestamp") + F.expr("INTERVAL 1 DAY"))
+    if types is not None:
+        out = out.where(F.col("entity_type").isin(types))
+    if keywords is not None:
+        out = out.where(F.lower("label").isin([k.lower() for k in keywords]))
+    for wanted in (chunks, labelled):
+        if wanted is not None:
+            hit = out.select("id", F.explode(sources).alias("chunk")).join(wanted.select("chunk").distinct(), "chunk", "left_semi").select("id").distinct()
+            out = out.join(hit, "id", "left_semi")
+    return out
+
+
+def linked_chunks(nodes: DataFrame, tagged: DataFrame, sources: str = "source_chunk_ids", most: int = 200) -> DataFrame:
+    """id, chunk: for each node the chunks tagged with its label (``tagged``: keyword, chunk; compared in lower case), or, where
+    there are none, its source chunks; the first ``most`` of each."""
+    own = tagged.select(F.lower("keyword").alias("k"), "chunk").distinct()
+    by_tag = nodes.select("id", F.lower("label").alias("k")).join(own, "k").select("id", "chunk")
+    rest = nodes.join(by_tag.select("id").distinct(), "id", "left_anti").select("id", F.explode(F.array_distinct(sources)).alias("chunk"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("chunk"))
+    return by_tag.unionByName(rest).withColumn("r_", place).where(F.col("r_") <= most).drop("r_")
+
+
 def batched_reach(edges: DataFrame, seeds: DataFrame, depth: int, max_degree: int, least: float = 0.0) -> DataFrame:
     """As ``reach``, each node following its first ``max_degree`` qualifying edges only, heaviest first."""
     w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")

@@ -56,6 +56,37 @@ def sink_upsert(rows: DataFrame, path: str, key: str, seq: str, keep: int = 2) -
     write_version(new, path, found[-1] + 1 if found else 0, keep)
 
 
+def user_upsert(existing: DataFrame, incoming: DataFrame, first_is_admin: bool = True) -> DataFrame:
+    """The users after logins (sub, email, name, role, status, at; one a subject), with how each came about: kept, by sub, by
+    email or new.
+
+    A login is matched by its subject, else by its e-mail, and takes the id and creation time of the user it matches, whose
+    role and status stay unless the login brings its own. A new user is a pending user; with an empty table the first login
+    is an active admin, if ``first_is_admin``. Of several users with one e-mail the least id is matched, and of several
+    logins that match one user the last.
+    """
+    cols = ["id", "sub", "email", "name", "role", "status", "created_at"]
+    e = existing.select(*cols)
+    subs = e.groupBy("sub").agg(F.min("id").alias("by_sub")).where("sub IS NOT NULL")
+    mails = e.groupBy("email").agg(F.min("id").alias("by_email")).where("email IS NOT NULL AND email <> ''")
+    found = incoming.join(subs, "sub", "left").join(mails, "email", "left").withColumn("hit", F.coalesce("by_sub", "by_email"))
+    how = F.when(F.col("by_sub").isNotNull(), "by sub").when(F.col("by_email").isNotNull(), "by email").otherwise("new")
+    last = found.where("hit IS NOT NULL").groupBy("hit").agg(F.max_by(F.struct("sub", "email", "name", "role", "status", how.alias("how")), "at").alias("l"))
+    j = e.join(last, e["id"] == last["hit"], "left")
+    now = lambda c: F.when(F.col("l").isNull(), F.col(c)).otherwise(F.col(f"l.{c}")).alias(c)
+    kept = lambda c: F.coalesce(F.col(f"l.{c}"), F.col(c)).alias(c)
+    old = j.select("id", now("sub"), now("email"), now("name"), kept("role"), kept("status"), "created_at", F.coalesce("l.how", F.lit("kept")).alias("how"))
+    new = found.where("hit IS NULL")
+    role, status = F.lit("user"), F.lit("pending")
+    if first_is_admin and existing.isEmpty():
+        first = new.agg(F.min(F.struct("at", "sub")).alias("f")).first()["f"]
+        if first is not None:
+            leads = F.col("sub") == first["sub"]
+            role, status = F.when(leads, "admin").otherwise(role), F.when(leads, "active").otherwise(status)
+    made = new.select(F.concat(F.lit("u-"), F.col("sub")).alias("id"), "sub", "email", "name", F.coalesce("role", role).alias("role"), F.coalesce("status", status).alias("status"), F.col("at").alias("created_at"), F.lit("new").alias("how"))
+    return old.unionByName(made)
+
+
 def update_only(existing: DataFrame, incoming: DataFrame, key: str, column: str) -> DataFrame:
     """Matched rows take the new value where there is one; unmatched incoming rows are ignored."""
     new = incoming.select(key, F.col(column).alias("__new"))

@@ -196,18 +196,53 @@ def graph_full(spark, d):
     return n.unionByName(D.edges(spark, d).select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-@register("subgraph_filter", f"""WITH {N}, {E}, f AS (SELECT id FROM nodes WHERE entity_type IN ('Supplier', 'Nation', 'Region') AND (entity_type <> 'Supplier' OR confidence >= 0.3)),
-pg AS (SELECT id FROM f ORDER BY id LIMIT 500) SELECT src, dst, edge_type FROM edges WHERE src IN (SELECT id FROM pg) AND dst IN (SELECT id FROM pg)""")
-def subgraph_filter(spark, d):
-    n = D.nodes(spark, d).where("entity_type IN ('Supplier', 'Nation', 'Region') AND (entity_type <> 'Supplier' OR confidence >= 0.3)")
-    return G.subgraph(D.edges(spark, d), n.orderBy("id").limit(500)).select("src", "dst", "edge_type")
+#: Parts with the orders that hold them as chunks, and their first shipping date; an order's labels are its priority and status.
+_PARTS_SQL = """pn AS (SELECT 'p:' || p_partkey AS id, p_name AS label, CASE WHEN p_size < 25 THEN 'Small' ELSE 'Large' END AS entity_type, list_sort(list(DISTINCT l_orderkey)) AS chunks, min(l_shipdate)::TIMESTAMP AS created_at
+  FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL)"""
+
+
+def _part_nodes(spark, d):
+    li = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_orderkey")).alias("source_chunk_ids"), F.min("l_shipdate").cast("timestamp").alias("created_at"))
+    p = table(spark, d, "part").join(li, F.col("p_partkey") == F.col("l_partkey"), "left")
+    return p.select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"), F.when(F.col("p_size") < 25, "Small").otherwise("Large").alias("entity_type"), "source_chunk_ids", "created_at")
 
 
-@register("node_detail", f"WITH {N}, {E} SELECT n.id, n.label, count(DISTINCT e.o) AS neighbours FROM nodes n LEFT JOIN (SELECT src AS i, dst AS o FROM edges UNION SELECT dst, src FROM edges) e ON e.i = n.id WHERE n.entity_type = 'Nation' GROUP BY 1, 2")
+@register("subgraph_filter", f"""WITH {_PARTS_SQL}, {D.EDGES_SQL}, bo AS (SELECT quantile_disc(created_at::DATE, 0.1) AS lo, quantile_disc(created_at::DATE, 0.9) AS hi FROM pn),
+dc AS (SELECT o_orderkey AS chunk FROM orders WHERE o_custkey % 3 = 0), lc AS (SELECT o_orderkey AS chunk FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
+f AS (SELECT id FROM pn, bo WHERE created_at >= lo AND created_at <= hi + INTERVAL 1 DAY AND entity_type = 'Small' AND id IN (SELECT pn.id FROM pn, unnest(chunks) u(c) WHERE c IN (SELECT chunk FROM dc)) AND id IN (SELECT pn.id FROM pn, unnest(chunks) u(c) WHERE c IN (SELECT chunk FROM lc)))
+SELECT src, dst, edge_type FROM edges WHERE dst IN (SELECT id FROM f)""")
+def subgraph_filter(spark, d):
+    """Edges to the parts of a span of time, of a kind, in the chunks of some documents and in chunks with a label."""
+    nodes = _part_nodes(spark, d)
+    lo, hi = nodes.agg(*[F.to_date(F.timestamp_seconds(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY unix_seconds(created_at))"))) for q in (0.1, 0.9)]).first()
+    o = table(spark, d, "orders")
+    mine = o.where("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("chunk"))
+    marked = o.where("o_orderpriority IN ('1-URGENT', '2-HIGH')").select(F.col("o_orderkey").alias("chunk"))
+    kept = G.filtered_nodes(nodes, lo, hi, ["Small"], mine, marked)
+    return D.edges(spark, d).join(kept.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "edge_type")
+
+
+@register("subgraph_keywords", "WITH k AS (SELECT DISTINCT lower(p_name) AS k FROM part WHERE p_partkey % 40 = 1) SELECT 'p:' || p_partkey AS id FROM part WHERE lower(p_name) IN (SELECT k FROM k)")
+def subgraph_keywords(spark, d):
+    """Nodes whose label is one of the keywords, whatever its case."""
+    words = [r.w for r in table(spark, d, "part").where("p_partkey % 40 = 1").select(F.upper("p_name").alias("w")).distinct().limit(10_000).collect()]
+    return G.filtered_nodes(_part_nodes(spark, d), keywords=words).select("id")
+
+
+@register("node_detail", f"""WITH {_PARTS_SQL}, {D.EDGES_SQL}, tg AS (SELECT DISTINCT lower(p_name) AS k, o_orderkey AS chunk FROM orders JOIN part ON p_partkey = o_custkey WHERE o_orderkey % 2 = 0),
+bt AS (SELECT id, chunk FROM pn JOIN tg ON k = lower(label)), al AS (SELECT * FROM bt UNION ALL SELECT id, c FROM pn, unnest(chunks) u(c) WHERE c IS NOT NULL AND id NOT IN (SELECT id FROM bt)),
+lk AS (SELECT id, chunk FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY chunk) AS r FROM al) WHERE r <= 200),
+nb AS (SELECT i, count(DISTINCT o) AS n FROM (SELECT src AS i, dst AS o FROM edges UNION SELECT dst, src FROM edges) GROUP BY 1)
+SELECT pn.id, label, coalesce(nb.n, 0) AS neighbours, coalesce(c.chunks, '') AS chunks FROM pn LEFT JOIN nb ON nb.i = pn.id LEFT JOIN (SELECT id, string_agg(chunk::VARCHAR, ',' ORDER BY chunk) AS chunks FROM lk GROUP BY 1) c ON c.id = pn.id""")
 def node_detail(spark, d):
-    e = D.edges(spark, d)
+    """Every part with its neighbours and linked chunks: those tagged with its name, else its sources."""
+    nodes, e = _part_nodes(spark, d), D.edges(spark, d)
+    o, p = table(spark, d, "orders").where("o_orderkey % 2 = 0"), table(spark, d, "part")
+    tagged = o.join(p, F.col("o_custkey") == F.col("p_partkey")).select(F.upper("p_name").alias("keyword"), F.col("o_orderkey").alias("chunk"))
+    chunks = G.linked_chunks(nodes, tagged).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("chunk")), ",").alias("chunks"))
     both = e.select(F.col("src").alias("id"), F.col("dst").alias("o")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("o")))
-    return D.nodes(spark, d).where("entity_type = 'Nation'").join(both, "id", "left").groupBy("id", "label").agg(F.count_distinct("o").alias("neighbours"))
+    near = both.groupBy("id").agg(F.count_distinct("o").alias("neighbours"))
+    return nodes.select("id", "label").join(near, "id", "left").join(chunks, "id", "left").select("id", "label", F.coalesce("neighbours", F.lit(0)).cast("long").alias("neighbours"), F.coalesce("chunks", F.lit("")).alias("chunks"))
 
 
 @register("node_summary_cache", "WITH h AS (SELECT l_partkey, sha1(string_agg(DISTINCT l_orderkey::VARCHAR, '|' ORDER BY l_orderkey::VARCHAR)) AS h FROM lineitem GROUP BY 1) SELECT l_partkey, h, l_partkey % 2 = 0 AS reused FROM h")

@@ -61,9 +61,22 @@ def delete_document(spark, d):
     return table(spark, d, "lineitem").join(known, "l_orderkey", "left_semi").join(gone, "l_orderkey", "left_anti").agg(F.count("*").alias("chunks"))
 
 
-@register("delete_collection", "SELECT n_nationkey FROM nation WHERE n_regionkey <> 2")
+@register("delete_collection", """WITH g AS (SELECT r_regionkey AS k FROM region WHERE r_regionkey % 2 = 0), n AS (SELECT * FROM nation WHERE n_regionkey NOT IN (SELECT k FROM g)), c AS (SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)),
+o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)) SELECT 'collections' AS kind, count(*) AS n FROM region WHERE r_regionkey NOT IN (SELECT k FROM g) UNION ALL SELECT 'topics', count(*) FROM n UNION ALL SELECT 'nodes', count(*) FROM c
+UNION ALL SELECT 'documents', count(*) FROM o UNION ALL SELECT 'chunks', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)""")
 def delete_collection(spark, d):
-    return table(spark, d, "nation").where("n_regionkey <> 2").select("n_nationkey")
+    """Collections go, and all that hangs on them: topics, nodes, documents and their chunks."""
+    t = lambda name: table(spark, d, name)
+    r = t("region").where("r_regionkey % 2 <> 0")
+    n = t("nation").join(r.select(F.col("r_regionkey").alias("n_regionkey")), "n_regionkey", "left_semi")
+    c = t("customer").join(n.select(F.col("n_nationkey").alias("c_nationkey")), "c_nationkey", "left_semi")
+    o = t("orders").join(c.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    li = t("lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    out = None
+    for kind, df in (("collections", r), ("topics", n), ("nodes", c), ("documents", o), ("chunks", li)):
+        part = df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _log(spark, d):
@@ -102,12 +115,17 @@ def revocation_purge(spark, d):
     return e.join(F.broadcast(mid), F.col("us") >= F.col("now")).select("event_id")
 
 
-@register("user_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'by sub' WHEN c_custkey % 5 = 0 THEN 'by email' ELSE 'new' END AS how FROM customer")
+@register("user_upsert", """WITH e AS (SELECT 'e' || c_custkey AS id, 's' || c_custkey AS sub, lower(c_name) AS email, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN 'admin' ELSE 'user' END AS role, 'active' AS status, c_custkey::BIGINT AS created_at FROM customer WHERE c_custkey % 3 = 0),
+i AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'other' ELSE 's' END || c_custkey AS sub, lower(c_name) AS email, upper(c_name) AS name, CASE WHEN c_custkey % 7 = 0 THEN 'guest' END AS role, (1000000 + c_custkey)::BIGINT AS seen FROM customer WHERE c_custkey % 2 = 0),
+j AS (SELECT e.*, i.sub AS s2, i.name AS n2, i.role AS r2, CASE WHEN i.sub = e.sub THEN 'by sub' WHEN i.sub IS NOT NULL THEN 'by email' ELSE 'kept' END AS how FROM e LEFT JOIN i ON i.email = e.email)
+SELECT id, coalesce(s2, sub) AS sub, email, coalesce(n2, name) AS name, coalesce(r2, role) AS role, status, created_at, how FROM j
+UNION ALL SELECT 'u-' || sub, sub, email, name, coalesce(role, 'user'), 'pending', seen, 'new' FROM i WHERE email NOT IN (SELECT email FROM e)""")
 def user_upsert(spark, d):
-    """Match by subject, else by e-mail, else insert."""
-    c = table(spark, d, "customer").select("c_custkey", "c_name")
-    subs, mails = c.where("c_custkey % 3 = 0").select("c_custkey", F.lit(1).alias("s")), c.where("c_custkey % 5 = 0").select("c_name", F.lit(1).alias("m"))
-    return c.join(subs, "c_custkey", "left").join(mails, "c_name", "left").select("c_custkey", F.when(F.col("s") == 1, "by sub").when(F.col("m") == 1, "by email").otherwise("new").alias("how"))
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    e = c.where("c_custkey % 3 = 0").select(F.concat(F.lit("e"), k.cast("string")).alias("id"), F.concat(F.lit("s"), k.cast("string")).alias("sub"), F.lower("c_name").alias("email"), F.col("c_name").alias("name"), F.when(k % 4 == 0, "admin").otherwise("user").alias("role"), F.lit("active").alias("status"), k.cast("long").alias("created_at"))
+    sub = F.concat(F.when(k % 5 == 0, "other").otherwise("s"), k.cast("string"))
+    i = c.where("c_custkey % 2 = 0").select(sub.alias("sub"), F.lower("c_name").alias("email"), F.upper("c_name").alias("name"), F.when(k % 7 == 0, "guest").alias("role"), F.lit(None).cast("string").alias("status"), (F.lit(1000000) + k).cast("long").alias("at"))
+    return T.user_upsert(e, i)
 
 
 @register("latest_version", "SELECT user_id, max(event_id) AS version, arg_max(props, event_id) AS props FROM events GROUP BY 1")
