@@ -16,8 +16,10 @@ order twice, by range partitioning on the bytes themselves: in parse order (righ
 the corpus at its triggers, and in dictionary order (key, left, then right). Neighbours give the longest common part r to
 the right and l to the left; a string that starts d bytes before the trigger is shared with a neighbour if r >= ``SPAN`` - d
 and l >= d. Starts that no neighbour settles, though some phrase shares their right part and some phrase their left part,
-are put in corpus order themselves, all ``SPAN`` bytes. Only bytes decide in these steps. Sorts are read as
-streams that remember one row; two rows a partition are collected, so that neighbours meet across partitions.
+are put in corpus order themselves, all ``SPAN`` bytes, and so are settled ones beside a phrase that shares their right part
+but not the string: of equal strings that others part in both orders, each run in parse order is there. Only bytes decide in
+these steps. Sorts are read as streams that remember one row; two rows a partition are collected, so that neighbours meet
+across partitions.
 
 Defined cases: a null or empty text has 0 bytes and the hash of nothing; texts under ``SPAN`` bytes keep all; repeated rows
 are copies of each other; null keys are kept; matches never cross texts; each row gives one row; an empty table gives an
@@ -242,18 +244,20 @@ def _common(a: pa.ChunkedArray, width: int) -> np.ndarray:
 _D = np.arange(REACH)
 
 
-def _beside(t: pa.Table, lo: int, hi: int, keyed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the due rows: longest common right and left part with a neighbour, and the distances d that a neighbour settles."""
+def _beside(t: pa.Table, lo: int, hi: int, keyed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the due rows: longest common right and left part with a neighbour, the distances d that a neighbour settles, and the
+    least d from which on a neighbour shares the right part but not the string."""
     right, left = _common(t.column("right"), SPAN), _common(t.column("left"), REACH)
     if keyed:
         left = np.where(right >= KEY, left, 0)
     settled = np.zeros((hi - lo, REACH), bool)
     pad = lambda x: np.concatenate([[0], x, [0]])
     r, l = pad(right), pad(left)  # noqa: E741
+    apart = np.maximum(SPAN - r, l + 1)
     for side in (0, 1):
         rs, ls = r[lo + side : hi + side, None], l[lo + side : hi + side, None]
         settled |= (_D >= SPAN - rs) & (_D <= ls)
-    return np.maximum(r[lo:hi], r[lo + 1 : hi + 1]), np.maximum(l[lo:hi], l[lo + 1 : hi + 1]), settled
+    return np.maximum(r[lo:hi], r[lo + 1 : hi + 1]), np.maximum(l[lo:hi], l[lo + 1 : hi + 1]), settled, np.minimum(apart[lo:hi], apart[lo + 1 : hi + 1])
 
 
 Ends = dict[int, tuple[pa.Table | None, pa.Table | None]]
@@ -262,10 +266,10 @@ Ends = dict[int, tuple[pa.Table | None, pa.Table | None]]
 def _in_parse_order(ends: Ends):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, lo, hi in _stream(batches, *ends.get(TaskContext.get().partitionId(), (None, None))):
-            r, _, settled = _beside(t, lo, hi, False)
+            r, _, settled, apart = _beside(t, lo, hi, False)
             rows = t.slice(lo, hi - lo).combine_chunks()
             bits = pa.array([x.tobytes() for x in np.packbits(settled, 1)], pa.binary())
-            yield from rows.append_column("most", pa.array(r)).append_column("settled", bits).to_batches()
+            yield from rows.append_column("most", pa.array(r)).append_column("apart", pa.array(apart.astype(np.int16))).append_column("settled", bits).to_batches()
 
     return run
 
@@ -273,17 +277,17 @@ def _in_parse_order(ends: Ends):
 def _in_dictionary_order(ends: Ends):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, lo, hi in _stream(batches, *ends.get(TaskContext.get().partitionId(), (None, None))):
-            _, l, settled = _beside(t, lo, hi, True)  # noqa: E741
+            _, l, settled, _ = _beside(t, lo, hi, True)  # noqa: E741
             rows = t.slice(lo, hi - lo)
             settled |= np.unpackbits(np.frombuffer(b"".join(rows.column("settled").to_pylist()), np.uint8).reshape(hi - lo, -1), axis=1)[:, :REACH].astype(bool)
-            place, most = rows.column("place").to_numpy(), rows.column("most").to_numpy()
+            place, most, apart = (rows.column(c).to_numpy() for c in ("place", "most", "apart"))
             first, back = place >> 16, place >> 8 & 255
             # runs of settled distances are runs of starts
             step = np.diff(np.pad(settled, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             row, d0 = np.nonzero(step == 1)
             d1 = np.nonzero(step == -1)[1]
             runs = pack(first[row] + back[row] - d1 + 1, d1 - d0)
-            open_row, d = np.nonzero(~settled & (_D >= SPAN - most[:, None]) & (_D <= l[:, None]))
+            open_row, d = np.nonzero((~settled | (_D >= apart[:, None])) & (_D >= SPAN - most[:, None]) & (_D <= l[:, None]))
             right, left = rows.column("right").to_pylist(), rows.column("left").to_pylist()
             strings = [left[k][:x][::-1] + right[k][: SPAN - x] for k, x in zip(open_row.tolist(), d.tolist(), strict=True)]
             ids = pa.array(np.append(row, open_row))
@@ -334,7 +338,7 @@ def _repeated(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     marks = cut(phrases.repartition("key", "deal").sortWithinPartitions("key", "deal", "n1", "n2").mapInArrow(_phrases, f"{ids}, again boolean"))
     places = marks.where("NOT again").groupBy("r1", "r2").agg(F.collect_list("place").alias("places"))
     entries = long.join(places, ["r1", "r2"]).select("r1", "r2", "text", "places").mapInArrow(_entries, f"right binary, left binary, {ids}")
-    parsed = _ordered(cut(entries), ["right", "left"], _in_parse_order, f"right binary, left binary, {ids}, most long, settled binary")
+    parsed = _ordered(cut(entries), ["right", "left"], _in_parse_order, f"right binary, left binary, {ids}, most long, apart short, settled binary")
     keyed = parsed.select(F.substring("right", 1, KEY).alias("head"), "*")
     read = cut(_ordered(keyed, ["head", "left", "right"], _in_dictionary_order, f"string binary, {ids}"))
     rest = _ordered(read.where("string IS NOT NULL"), ["string"], _in_corpus_order, ids)

@@ -231,6 +231,18 @@ def test_repeats_with_a_hot_passage(spark):
     assert got == list(brute_removed(texts))
 
 
+def test_repeats_that_others_part(spark):
+    """Left and right parts around a core in any pairing, so that texts which share one part only lie between equal ones in both
+    orders, some of which are neighbours and some not."""
+    r = random.Random(23)
+    fill = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    parts = [([fill(50) for _ in range(3)], fill(100), [fill(50) for _ in range(3)]) for _ in range(8)]
+    texts = [fill(r.randint(20, 60)) + r.choice(left) + core + r.choice(right) + fill(r.randint(20, 60)) for left, core, right in parts for _ in range(36)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [tuple(x)[1:] for x in suffix.remove_repeats(d).orderBy("doc_id").collect()]
+    assert got == list(brute_removed(texts))
+
+
 def test_neighbours_across_partitions():
     """Streams in pieces of any size, with and without rows before and after, give each row once beside its neighbours."""
     import pyarrow as pa
