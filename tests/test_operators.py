@@ -348,3 +348,13 @@ def test_ancestors(spark):
     parents = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c")], "t string, p string")  # with a cycle
     got = {tuple(r) for r in B.ancestors(spark.createDataFrame([("a",), ("d",), ("x",)], "t string"), parents).collect()}
     assert got == {("a", u) for u in "abc"} | {("d", u) for u in "dcab"} | {("x", "x")}
+
+
+def test_linked_chunks_of_a_shared_label(spark):
+    """Very many nodes and chunks under one keyword cost a list for the keyword, not their product."""
+    from quillgraph.operators import graph as G
+
+    nodes = spark.range(40_000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") < 39_999, "Same").otherwise("own").alias("label"), F.array(F.lit(7), F.lit(3), F.lit(7)).alias("source_chunk_ids"))
+    tagged = spark.range(40_000).select(F.lit("SAME").alias("keyword"), (F.lit(50_000) - F.col("id")).cast("int").alias("chunk"))
+    got = G.linked_chunks(nodes, tagged).select("label", "chunks").distinct().collect()
+    assert {r.label: r.chunks for r in got} == {"Same": list(range(10_001, 10_201)), "own": [3, 7]}
