@@ -130,19 +130,25 @@ def fill_merge(existing: DataFrame, incoming: DataFrame, fills: tuple[str, ...],
     return j.select(*out, F.when(both, (zero(pair(confidence)[0]) + zero(pair(confidence)[1])) / 2).otherwise(F.coalesce(*pair(confidence))).alias(confidence))
 
 
+#: From so many halvings on a term is 0 in double precision.
+_HALVINGS = 1100
+
+
 def flush(nodes: DataFrame, seq: str = "seq") -> DataFrame:
     """key, id, n, confidence, source_chunk_ids: nodes of one batch merged on type and lower-cased label, in the order of ``seq``.
 
-    The id is the first's; the confidence is the ordered mean (c + i) / 2, which is a sum weighted by powers of a half; chunk
-    ids are gathered as distinct pairs. Nodes are numbered by ranges of (key, ``seq``), so a key of very many nodes is dealt
+    The id is the first's; the confidence is the ordered mean (c + i) / 2, which is a sum weighted by powers of a half, taken
+    in that order, so that it is the same in every run; terms that are 0 in double precision are not gathered. Chunk ids are
+    gathered as distinct pairs. Nodes are numbered by ranges of (key, ``seq``), so a key of very many nodes is dealt
     to many tasks.
     """
     key = F.concat_ws("::", F.coalesce("entity_type", F.lit("Concept")), F.lower("label"))
     rows = numbered(nodes.withColumn("key", key).withColumn("by_", F.struct("key", seq, "id")), "by_")
-    ends = rows.groupBy("key").agg(F.min("sequence").alias("lo"), F.max("sequence").alias("hi"), F.min_by("id", "sequence").alias("id"))
+    ends = rows.groupBy("key").agg(F.min("sequence").alias("lo"), F.max("sequence").alias("hi"), F.min_by("id", "sequence").alias("id"), F.count("*").alias("n"))
     behind = (F.col("hi") - F.col("sequence")).cast("double")
     weight = F.when(F.col("sequence") == F.col("lo"), F.pow(F.lit(0.5), behind)).otherwise(F.pow(F.lit(0.5), behind + 1))
-    means = rows.join(ends, "key").groupBy("key").agg(F.sum(weight * F.coalesce("confidence", F.lit(0.0))).alias("confidence"), F.count("*").alias("n"))
+    terms = rows.join(ends.select("key", "lo", "hi"), "key").where(behind < _HALVINGS).select("key", F.struct("sequence", (weight * F.coalesce("confidence", F.lit(0.0))).alias("x")).alias("t"))
+    means = terms.groupBy("key").agg(F.aggregate(F.array_sort(F.collect_list("t")), F.lit(0.0), lambda s, t: s + t["x"]).alias("confidence"))  # _HALVINGS rows a key
     chunks = rows.select("key", F.explode("source_chunk_ids").alias("c")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("c")).alias("source_chunk_ids"))
     none = F.array().cast(nodes.schema["source_chunk_ids"].dataType)
     return ends.join(means, "key").join(chunks, "key", "left").select("key", "id", "n", "confidence", F.coalesce("source_chunk_ids", none).alias("source_chunk_ids"))

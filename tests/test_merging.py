@@ -102,3 +102,21 @@ def test_feed_folds_across_batches_and_replays(spark, tmp_path):
     assert len([p for p in (tmp_path / "out/nodes").iterdir() if p.name[0] == "v"]) == 2
     M._drain(spark.readStream.schema(NODE + ", seq long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/n*"), f"{tmp_path}/out/nodes", f"{tmp_path}/cp/nodes", "field_overwrite", False, 2)
     assert sorted((plain(r) for r in M.latest_version(spark, f"{tmp_path}/out/nodes").collect()), key=str) == sorted(map(plain, want), key=str)
+
+
+def test_flush_sums_in_order(spark):
+    """Confidences to the last bit, however the rows lie in partitions."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(2000).select("id", F.lit("T").alias("entity_type"), F.concat(F.lit("N"), (F.col("id") % 100).cast("string")).alias("label"), (F.pmod(F.hash("id"), F.lit(10)) / 10.0).alias("confidence"), F.array(F.col("id") % 3).alias("source_chunk_ids"), F.col("id").alias("seq"))
+    by_key = {}
+    for r in rows.orderBy("id").collect():
+        by_key.setdefault(f"T::{r.label.lower()}", []).append(r.confidence)
+    want = {}
+    for k, cs in by_key.items():
+        total = 0.0
+        for i, c in enumerate(cs):
+            total += c * 0.5 ** (len(cs) - 1 if i == 0 else len(cs) - i)
+        want[k] = total
+    got = M.flush(rows.repartition(7, F.hash(F.col("id") * 31))).collect()
+    assert {r.key: r.confidence for r in got} == want and all(r.n == 20 for r in got)
