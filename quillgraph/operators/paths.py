@@ -51,7 +51,7 @@ def cheapest_path(edges: DataFrame, source: str, target: str, depth: int | None
     spark = edges.sparkSession
     if source == target:
         return _rows(spark, [source], [])
-    with steps(spark):
+    with steps(spark, edges):
         cost = S.edge_cost(F.col("weight")) if weighted else F.lit(1.0)
         e = edges.select("src", "dst", cost.alias("c"))
         e = e if directed else e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "c"))
