@@ -8,8 +8,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quillgraph.functions import patterns as P
 
@@ -30,6 +33,38 @@ def fixed_chunks(docs: DataFrame, size: int = 500, overlap: int | None = None, k
     return rows.select(key, "position", F.substring(F.col(text), F.col("at"), F.lit(size)).alias("chunk")).where(F.trim("chunk") != "")
 
 
+#: Rows, and characters of text, that a task turns into Python objects at a time.
+ROWS, CHARACTERS = 256, 1 << 20
+
+
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """(key, text) of a few rows at a time, however large the batches are that Spark sends."""
+    for b in batches:
+        held, size = [], 0
+        for k, t in zip(b.column(0), b.column(1), strict=True):
+            held.append((k.as_py(), t.as_py() or ""))
+            size += len(held[-1][1])
+            if len(held) >= ROWS or size >= CHARACTERS:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+
+def _rows_of(docs: DataFrame, key: str, text: str, each, columns: str) -> DataFrame:
+    """key and ``columns`` of the rows that ``each`` (text) gives for every row; what a task holds is a few rows."""
+    out = StructType([docs.schema[key], *StructType.fromDDL(columns).fields])
+    kinds = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _some(batches):
+            cols = list(zip(*((k, *r) for k, t in some for r in each(t)), strict=True))
+            if cols:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds)
+
+    return docs.select(key, text).mapInArrow(run, out)
+
+
 _CUTS = ("\n\n", "\n", ". ", " ", "")
 
 
@@ -53,14 +88,8 @@ def split_text(text: str, size: int, overlap: int) -> list[str]:
 
 def semantic_chunks(docs: DataFrame, size: int = 512, overlap: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, position, chunk, token_count."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [(k, i, c, -(-len(c.encode()) // 4)) for k, t in zip(p.iloc[:, 0], p.iloc[:, 1], strict=True) for i, c in enumerate(split_text(t or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "position", "chunk", "token_count"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, position int, chunk string, token_count int")
+    each = lambda t: [(i, c, -(-len(c.encode()) // 4)) for i, c in enumerate(split_text(t, size, overlap))]
+    return _rows_of(docs, key, text, each, "position int, chunk string, token_count int")
 
 
 class _Body(HTMLParser):
@@ -86,18 +115,13 @@ class _Body(HTMLParser):
 def html_text(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
     """key, title, body: the first title and all text of the body."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for k, h in zip(p.iloc[:, 0], p.iloc[:, 1], strict=True):
-                b = _Body()
-                b.feed(h or "")
-                b.close()
-                rows.append((k, b.title, "".join(b.body)))
-            yield pd.DataFrame(rows, columns=[key, "title", "body"])
+    def each(html: str) -> list[tuple]:
+        b = _Body()
+        b.feed(html)
+        b.close()
+        return [(b.title, "".join(b.body))]
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, column).mapInPandas(run, f"{key} {kind}, title string, body string")
+    return _rows_of(pages, key, column, each, "title string, body string")
 
 
 def html_title(column: Column) -> Column:
@@ -110,14 +134,7 @@ def html_title(column: Column) -> Column:
 
 def tag_spans(docs: DataFrame, patterns: list, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, start, end, label, match: with offsets, Arrow-batched."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [(k, *s) for k, t in zip(p.iloc[:, 0], p.iloc[:, 1], strict=True) for s in P.spans(t or "", patterns)]
-            yield pd.DataFrame(rows, columns=[key, "start", "end", "label", "match"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, start int, end int, label string, match string")
+    return _rows_of(docs, key, text, lambda t: P.spans(t, patterns), "start int, end int, label string, match string")
 
 
 def redacted(docs: DataFrame, patterns: list, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,7 +170,7 @@ def span_positions(text: Column, span: Column) -> Column:
     before = F.concat(F.lit("(?=\\Q"), F.replace(span, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
     start = F.struct(F.lit(1).alias("at"), none.alias("found"))
     step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.when((a["at"] > 1) | F.startswith(text, span), F.concat(a["found"], F.array(a["at"]))).otherwise(a["found"]).alias("found"))
-    return F.when(F.length(span) > 0, F.coalesce(F.aggregate(F.split(text, before), start, step, lambda a: a["found"]), none)).otherwise(none)
+    return F.when((F.length(span) > 0) & F.contains(text, span), F.coalesce(F.aggregate(F.split(text, before), start, step, lambda a: a["found"]), none)).otherwise(none)
 
 
 def merge_tags(first: DataFrame, second: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -13,3 +13,22 @@ def test_edges_spaces_and_folds(spark):
     con = duckdb.connect()
     want = [(k, n, label, m) for k, t in enumerate(texts) if t for _, n, label, p in P.PATTERNS for m in con.execute("SELECT regexp_extract_all(?, ?, 0, 'i')", [t, p]).fetchone()[0]]
     assert got == sorted(want)
+
+
+def test_spans_of_letters_that_fold():
+    """A pattern is left out of a text only where it can't match."""
+    import re
+
+    text = "Dı nr; Drİver's License: ABC12345 Caſe No. 12:abc a@b.org MEDıCAL RECORD 1234567 ٥٥٥-٥٥-٥٥٥٥ http://x"
+    want = [(m.start(), m.end(), label, m.group(0)) for _, _, label, p in P.PATTERNS for m in re.finditer(p, text, re.I)]
+    assert P.spans(text, P.PATTERNS) == sorted(want, key=lambda s: (s[0], -s[1])) and len(want) > 5
+
+
+def test_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from quillgraph.operators import text as X
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(["x" * 2000] * 4999 + [None])], names=["k", "t"])
+    parts = list(X._some(iter([batch])))
+    assert max(map(len, parts)) <= X.ROWS and [k for p in parts for k, _ in p] == list(range(5000)) and parts[-1][-1] == (4999, "")
