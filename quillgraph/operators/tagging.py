@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import patterns as P
 from quillgraph.operators.text import span_positions
+from quillgraph.session import steps
 
 TAG = "struct<label:string,text:string,start:int,end:int,score:double>"
 _TAGS = f"array<{TAG}>"
@@ -86,6 +87,7 @@ def citation_tags(text: Column) -> Column:
         hits = F.regexp_extract_all(whole, F.lit(("" if exact else "(?i)") + pattern), F.lit(0))
         parts.append(F.aggregate(hits, start, step, lambda a: a["found"]))
     spans = F.array_distinct(F.array_sort(F.flatten(F.array(*parts))))
+    spans = F.when(F.rlike(whole, F.lit(r"[\[(]\d{4}[\])]")), spans).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))  # each begins so
     return F.transform(spans, lambda x: tag(F.lit("CASE_CITATION"), F.trim(x["m"]), x["s"], x["e"], F.lit(0.95)))
 
 
@@ -179,10 +181,11 @@ def propagate_topics(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Links are made distinct before the join, and a node's topics are gathered as distinct pairs, so a name that very many
     links or nodes share costs one row a pair.
     """
-    norm = lambda c: F.lower(F.trim(c))
-    wanted = links.select(norm(F.col("entity")).alias("name"), "topic").where("name <> '' AND topic IS NOT NULL").distinct()
-    named = nodes.select("id", F.explode(F.array_distinct(F.transform(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))), norm))).alias("name"))
-    got = named.join(wanted, "name").select("id", "topic").distinct().groupBy("id").agg(F.collect_list("topic").alias("new"))
-    old = F.array_sort(F.array_distinct(F.coalesce("topics", F.array().cast("array<string>"))))
-    both = nodes.join(got, "id").select("id", old.alias("old"), F.array_sort(F.array_union(old, F.col("new"))).alias("topics"))
-    return both.where("topics <> old").select("id", "topics")
+    with steps(nodes.sparkSession, nodes, links) as keep:
+        norm = lambda c: F.lower(F.trim(c))
+        wanted = links.select(norm(F.col("entity")).alias("name"), "topic").where("name <> '' AND topic IS NOT NULL").distinct()
+        named = nodes.select("id", F.explode(F.array_distinct(F.transform(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))), norm))).alias("name"))
+        got = named.join(wanted, "name").select("id", "topic").distinct().groupBy("id").agg(F.collect_list("topic").alias("new"))
+        old = F.array_sort(F.array_distinct(F.coalesce("topics", F.array().cast("array<string>"))))
+        both = nodes.join(got, "id").select("id", old.alias("old"), F.array_sort(F.array_union(old, F.col("new"))).alias("topics"))
+        return keep(both.where("topics <> old").select("id", "topics"))
