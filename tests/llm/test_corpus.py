@@ -500,6 +500,18 @@ def test_lm_pair_features_are_normalised():
     assert np.abs(n - np.repeat(total, [3, 1]) * q - w / lm.PRIOR)[known].max() < 1e-3
 
 
+@pytest.mark.parametrize("n", [1, 40, 3000])
+def test_lm_gradient_sums(n):
+    """Sums by row with runs of one, of some and of very many rows, longest run first."""
+    r = np.random.default_rng(n)
+    g, rows = r.random((n, 5)).astype(np.float32), np.sort((r.pareto(0.5, 4 * n) * 3).astype(np.int64) % 700)
+    src, first = r.integers(0, n, 4 * n), np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    by, count, got = lm._sums(g, src, first)
+    assert sorted(by.tolist()) == list(range(len(first))) and (np.diff(count) <= 0).all() and count.sum() == 4 * n
+    for k, x in zip(by, got, strict=True):
+        assert np.allclose(x, g[src[rows == rows[first[k]]]].astype(float).sum(0), rtol=1e-4)
+
+
 def test_lm_does_not_depend_on_partitions(spark):
     r = random.Random(10)
     d = spark.createDataFrame([(k, sentence(r, 40)) for k in range(120)], "doc_id long, text string")
