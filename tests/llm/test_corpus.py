@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillgraph.llm import decontam, html, langid, lm, minhash, mixing, quality, sharding, suffix, tokens
@@ -512,6 +513,61 @@ def test_lm_gradient_sums(n):
         assert np.allclose(x, g[src[rows == rows[first[k]]]].astype(float).sum(0), rtol=1e-4)
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+@pytest.mark.parametrize("group", [5, 300])
+def test_lm_reads_whole_texts(monkeypatch, kind, group):
+    """Many texts at once are read, and counted, as token by token: nulls, empty texts, all white space, words of any length and head."""
+    monkeypatch.setattr(lm, "GROUP", group)
+    monkeypatch.setattr(lm, "_SPAN", 40)
+    monkeypatch.setattr(lm, "COUNTED", 50)
+    r = random.Random(group)
+    parts = ["a", "B", "É", "漢", "\x00", "\x1c", "\u0085", "zz" * 70, " the ", " ", "  ", "\n", "\v", "\r\n"]
+    texts = [None, "", " \t", *("".join(r.choices(parts, k=r.choice([1, 4, 90]))) for _ in range(40)), None, "end"]
+    flat = [t for x in texts for t in lm.tokens(x)]
+    col = pa.array(["before", None, *texts], kind).slice(2)
+    for head in ([], sorted(set(flat))[::2], sorted(set(flat) - {lm.END})):
+        k = 0
+        for got in lm.Reader(head).groups(col):
+            mine = flat[k : k + len(got.rank)]
+            k += len(mine)
+            assert got.rank.tolist() == [head.index(t) if t in head else -1 for t in mine]
+            assert got.hash.tolist() == [zlib.crc32(t) << 32 | zlib.crc32(t[::-1], 7) for t in mine]
+            assert got.ctx.tolist() == [head.index(t) if t in head else lm.CONTEXT + zlib.crc32(t[-2:]) % lm.ENDINGS for t in mine]
+            assert got.tail.to_pylist() == [t for t in mine if t not in head]
+            assert [mine[f + n - 1] for f, n in zip(got.first, got.size)] == [lm.END] * len(got.size) and got.size[:-1].sum() <= group
+        assert k == len(flat)
+    counts = Counter()
+    for b in lm._count(iter([pa.RecordBatch.from_arrays([col], names=["text"])])):
+        counts.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+    assert counts == Counter(flat)
+
+
+@pytest.mark.parametrize("most", [5, 1 << 20])
+def test_lm_pair_gains(spark, monkeypatch, most):
+    """Equal to a plain fit whether contexts count as very frequent or not; those that don't are read and exchanged once, without a join."""
+    monkeypatch.setattr(lm, "MOST_ROWS", most)
+    r = random.Random(13)
+    kinds = {(c, 0 if p == 0 else 1000 * c + p): -r.random() - 1 for c in range(1, 9) for p in range(4)}
+    docs, want = [], {}
+    for row in range(60):
+        held = r.choices(list(kinds), [1 + 40 * (c == 1) for c, _ in kinds], k=row % 7)
+        often = Counter(c for c, _ in held)
+        docs.append((row, row % 5 > 0, [c for c, _ in held], [p for _, p in held], [kinds[x] for x in held], list(often), list(often.values())))
+    seen = Counter(x for d in docs if d[1] for x in zip(d[2], d[3]))
+    rows = sorted(seen)
+    first, _, log_z, w = lm.fit_pairs(np.array([c for c, _ in rows]), np.array([float(seen[x]) for x in rows]), np.array([10.0 ** np.float32(kinds[x]) for x in rows]), np.array([p != 0 for _, p in rows]))
+    z, weight = dict(zip([rows[k][0] for k in first], log_z)), dict(zip(rows, w))
+    for row, _, cs, ps, *_ in docs:
+        if any(c in z for c in cs):
+            want[row] = (sum(weight.get((c, p), 0.0) - z[c] for c, p in zip(cs, ps) if c in z) / math.log(10), sum((c, p) in seen and p != 0 for c, p in zip(cs, ps)))
+    scored = spark.createDataFrame(docs, "row long, learned boolean, ctx array<long>, pair array<long>, lp array<float>, often array<long>, times array<long>")
+    gains = lm.pair_gains(scored)
+    got = {x.row: (x.gain, x.n_pairs) for x in gains.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-6 and got[k][1] == want[k][1] for k in want)
+    plan = gains._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Join" in plan) == (most == 5) and (most == 5 or plan.count("Generate") == 1)
+
+
 def test_lm_does_not_depend_on_partitions(spark):
     r = random.Random(10)
     d = spark.createDataFrame([(k, sentence(r, 40)) for k in range(120)], "doc_id long, text string")
